@@ -3,14 +3,15 @@
 1. A document becomes its distinct shingles (as 64-bit hashes), their fingerprint, the minima of 200 universal hashes,
    40 band keys of five minima each, and the low byte of each minimum as its signature.
 2. Documents with one fingerprint are one class; only the first of a class goes on, so exact copies cost one grouped minimum.
-3. Within a bucket (a band key) no pairs are listed. Each member meets two leaders only: the least document, and one drawn
-   by hash anew in each bucket. Signatures weed the pairs; of a member's leaders the best two by signature are checked
-   on the full sets.
-4. Components are found. Only pairs of one bucket that lie in different components can still change the result: these
-   all are weeded by signature, checked on the full sets, and components are found again.
-
-With similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^5)^40 = 1.3e-7, and its signature falls below the
-bar (similarity - 0.18, over six standard deviations) with a chance below 1e-8.
+3. Within a bucket (a band key) no pairs are listed. Its leader is the member that shares most with all others (the sum of
+   the sizes of its buckets); every member meets its buckets' leaders. Pairs whose signatures agree are checked on the full
+   sets, and components of these links are found.
+4. Groups of a leader with members in different components are searched for the links that are left: members outside the
+   group's largest component against all, in tiles of bounded size. A tile knows each member by how its set differs from the
+   leader's, which gives exact intersections; it returns links only, one per document and component.
+
+With similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^5)^40 = 1.3e-7. A pair (member, leader) whose signatures
+agree on less than similarity - 0.18, over six standard deviations, is no link with a chance of 1 - 1e-8.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .components import components
 
 HASHES, ROWS = 200, 5
 SLACK = 0.18
+#: Documents on either side of a tile, about.
+TILE = 128
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -108,26 +111,68 @@ def _estimated(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, estimate double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) with how u's set differs from v's: sizes, what v has and u hasn't (missing), the symmetric difference, and whether they are linked."""
     percent = round(100 * similarity)
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        keep.append(k)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["u", "v"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for a, b in zip(part.column(2), part.column(3), strict=True):
+                    a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                    differ = np.setxor1d(a, b, assume_unique=True)
+                    both = (len(a) + len(b) - len(differ)) // 2
+                    out.append((len(a), len(b), len(b) - both, differ.tobytes(), 100 * both >= percent * (len(a) + len(b) - both)))
+                columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["u", "v", "size", "leader_size", "missing", "differ", "linked"])
 
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = cut(shingle_sets(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
+
+
+def _searched(compared: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between members of one leader's group that lie in different components."""
+    percent = round(100 * similarity)
+    member = compared.select("v", "u", "size", "leader_size", "missing", "differ").join(group, F.col("u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "u")).drop("node")
+    parts = member.groupBy("v", "component").count()
+    parts = parts.groupBy("v").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("many"), F.count("*").alias("kinds")).where("kinds > 1")
+    parts = cut(parts.select("v", "main", F.expr(f"many div {TILE} + 1").alias("blocks")), "groups")  # a table, so that Spark can split a large group in the join
+    member = cut(member.join(parts, "v").withColumn("block", F.pmod(F.xxhash64("u", "v"), F.col("blocks"))), "searched")
+    every = F.expr("explode(sequence(0L, blocks - 1))")
+    columns = ("v", "u", "size", "leader_size", "missing", "differ", "component")
+    # as many blocks of those that ask as of those that are asked: a tile is one of each
+    asking = member.where("component <> main").select(*columns, F.col("block").alias("row"), every.alias("column"), F.lit(True).alias("asks"))
+    rows = cut(asking.select("v", "row").distinct().groupBy("v").agg(F.collect_set("row").alias("rows")), "rows")
+    asked = member.join(rows, "v").select(*columns, F.explode("rows").alias("row"), F.col("block").alias("column"), F.lit(False).alias("asks"))
+
+    def tile(pdf):
+        import pandas as pd
+
+        asks, all_ = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        found = []
+        if len(asks) and len(all_):
+            sets = [np.frombuffer(x, np.uint64) for x in all_["differ"]]
+            items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            size, missing, ids, component = (all_[c].to_numpy() for c in ("size", "missing", "u", "component"))
+            for q in asks.itertuples():
+                mine = np.frombuffer(q.differ, np.uint64)
+                low, high = np.searchsorted(items, mine, "left"), np.searchsorted(items, mine, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, np.int64)
+                common = np.bincount(owner[at], minlength=len(ids))
+                both = q.leader_size - q.missing - missing + common
+                for k in np.flatnonzero((100 * both >= percent * (q.size + size - both)) & (component != q.component)):
+                    found.append((q.u, ids[k], component[k]))
+        out = pd.DataFrame(found, columns=["u", "v", "component"])
+        return out.groupby(["u", "component"], as_index=False)["v"].min()[["u", "v"]].astype("int64") if len(out) else out[["u", "v"]].astype("int64")
+
+    return asking.unionByName(asked).groupBy("v", "row", "column").applyInPandas(tile, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -144,40 +189,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     whole = marks.where("n_shingles > 0 and doc_id is not null")
     classes = whole.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     first = cut(whole.join(classes, ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id", "print"]), "first")
-    member = cut(first.select("doc_id", F.explode("bands").alias("bucket")), "members")
-
-    drawn = F.struct(F.xxhash64("doc_id", "bucket").alias("draw"), "doc_id")
-    leader = cut(member.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min(drawn)["doc_id"].alias("b")).where("a < z"), "leaders")
-    met = (
-        member.join(leader, "bucket")
-        .select("doc_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
-        .where("doc_id <> other")
-        .select(F.greatest("doc_id", "other").alias("u"), F.least("doc_id", "other").alias("v"))
-        .distinct()
-    )
-    met = cut(_estimated(met, first, similarity), "estimated")
-    best = (
-        met.select("u", "v", F.struct(F.col("estimate"), (-F.col("v")).alias("other")).alias("rank"))
-        .groupBy("u")
-        .agg(F.max("rank").alias("one"), F.max(F.struct(F.col("rank.estimate"), F.xxhash64("u", "v"), (-F.col("v")).alias("other"))).alias("two"))
-        .select("u", F.explode(F.array_distinct(F.array(-F.col("one.other"), -F.col("two.other")))).alias("v"))
-    )
-    links = cut(_confirmed(best, docs, shingle, similarity), "links")
-    group = components(links)
-
-    placed = member.join(group, member.doc_id == group.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
-    rest = cut(placed.join(mixed, "bucket", "left_semi"), "rest")
-    u, v = rest.alias("p"), rest.alias("q")
-    across = (
-        u.join(v, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")))
-        .select(F.greatest("p.doc_id", "q.doc_id").alias("u"), F.least("p.doc_id", "q.doc_id").alias("v"))
-        .distinct()
-    )
-    across = cut(_estimated(across, first, similarity), "across")
-    more = _confirmed(across, docs, shingle, similarity)
-    links = cut(links.unionByName(more), "links")
-    group = components(links)
+    member = first.select("doc_id", F.explode("bands").alias("bucket"))
+    sizes = cut(member.groupBy("bucket").count().where("count > 1"), "buckets")
+    member = cut(member.join(sizes, "bucket"), "members")
+    central = member.groupBy("doc_id").agg(F.sum("count").alias("central"))
+    leaders = member.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus")))["minus"].alias("minus"))
+    leaders = cut(leaders.select("bucket", (-F.col("minus")).alias("v")), "leaders")
+    met = cut(member.join(leaders, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "met")
+    compared = cut(_compared(met, docs, shingle, similarity), "compared")
+    near = _estimated(met, first, similarity).select("u", "v")
+    links = cut(compared.where("linked").join(near, ["u", "v"], "left_semi").select("u", "v"), "links")
+    group = cut(components(links), "placed")
+    links = links.unionByName(_searched(compared, group, similarity))
+    group = components(cut(links, "links"))
 
     named = cut(classes.select("print", F.col("doc_id").alias("node")).join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "named")
     out = marks.join(named, (marks["print"] == named["print"]) & (marks.n_shingles > 0) & marks.doc_id.isNotNull(), "left")
