@@ -10,6 +10,7 @@ Remainders are then numbered within their length, and the number decides sequenc
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ CAPACITY, END = 2048, 1
 #: Remainders of a length that one task numbers, about.
 PART_ROWS = 1 << 18
 #: Chunks whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 #: Unicode white space, as the tokenizer's pattern has it.
 _S = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_S}]+(?![^{_S}])| ?[^{_S}]+|[{_S}]+")
@@ -52,7 +53,8 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBER:
             self.clear()
-        ids = np.array(self.part.encode_ordinary(chunk), "<u4").tobytes()
+        found = self.part.encode_ordinary(chunk)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) < 64:
             self[chunk] = ids
         return ids
