@@ -13,7 +13,7 @@ from marquee.llm.queries import held_out
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose best language is less probable than this is rejected.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
