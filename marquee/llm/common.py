@@ -33,11 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the plan is cut, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def written() -> int:
+    """How many tables cut() has written: a mark for drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables that cut() wrote since the mark, but for those given."""
+    kept = {df.written_to for df in keep}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _written[mark:] if p not in kept]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
 
 
 def n_words(text: Column) -> Column:

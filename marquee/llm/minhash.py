@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hashes, hashed_documents, mix, signed
+from .common import cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
 from .components import components
 
 HASHES, ROWS = 200, 5
@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Rows with a null doc_id can't be linked or named: component_id is null and kept is true. Rows that repeat a doc_id
     each get a row. Other columns of docs are ignored; an empty table gives an empty result.
     """
+    mark = written()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = cut(sketches(docs, shingle), "sketches")
+    marks = cut(sketches(docs, shingle), "sketches")  # bands and signatures; the last join reads three columns of it
     whole = marks.where("n_shingles > 0 and doc_id is not null")
     classes = whole.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     first = cut(whole.join(classes, ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id", "print"]), "first")
@@ -204,5 +205,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     group = components(cut(links, "links"))
 
     named = cut(classes.select("print", F.col("doc_id").alias("node")).join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "named")
+    drop_since(docs.sparkSession, mark, marks, named)
     out = marks.join(named, (marks["print"] == named["print"]) & (marks.n_shingles > 0) & marks.doc_id.isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

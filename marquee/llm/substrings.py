@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, gram_hashes, hashed_documents, mix, signed
+from .common import buffers, cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
 
 RUN = "doc_id long, anchor long, context long, first int, n int"
 
@@ -108,6 +108,7 @@ def _in_two(rows: DataFrame, *keys: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, first, n): n consecutive windows from word first whose words also start in a document with a smaller doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    mark = written()
     found = document_runs(docs, length)
     anchors = cut(_in_two(found, "anchor").select("anchor"), "anchors")  # tables, so that Spark can split hot keys in the joins
     found = cut(found.join(anchors, "anchor", "left_semi"), "runs")
@@ -116,7 +117,9 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     windows = cut(window_rows(docs, found.where("not covered"), length), "windows")
     least = cut(_in_two(windows, "window", "proof"), "least")
     more = windows.join(least, ["window", "proof"]).where("low < doc_id").select("doc_id", F.col("at").alias("first"), F.lit(1).alias("n"))
-    return found.where("covered").select("doc_id", "first", "n").unionByName(more)
+    spans = cut(found.where("covered").select("doc_id", "first", "n").unionByName(more), "spans")
+    drop_since(docs.sparkSession, mark, spans)
+    return spans
 
 
 def words_kept(column: pa.Array, spans: list, length: int) -> Iterator[tuple[int, int, bytes]]:
