@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import language_id, minhash, mixing, packing, substrings
-from marquee.llm.common import cut, shared_dir
+from marquee.llm.common import cut, drop_since, shared_dir, written
 from marquee.llm.queries import held_out
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat the kept doc_id one stays; rows with a null doc_id all stay.
     """
+    mark = written()
     groups = minhash.near_duplicates(docs)
     kept = cut(groups.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    drop_since(spark, mark, kept)
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
