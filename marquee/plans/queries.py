@@ -400,10 +400,12 @@ def quality_issues(spark, d):
     return quality.issues(_batch(spark, d), NOW)
 
 
-@query(_BATCH + " SELECT source, external_id FROM b WHERE source NOT IN (SELECT source FROM i WHERE code IN ('missing_source_url', 'invalid_source_url'))")
+@query(_BATCH + " SELECT source, external_id FROM b WHERE source NOT IN (SELECT source FROM i WHERE code = 'invalid_ticket_url')")
 def quality_gate(spark, d):
+    """The gate with broken ticket links as the error: every source of these tables has errors of other kinds, at any size."""
     rows = _batch(spark, d)
-    return quality.gate(rows, quality.issues(rows, NOW).where("code in ('missing_source_url', 'invalid_source_url')")).select("source", "external_id")
+    broken = quality.issues(rows, NOW).where("code = 'invalid_ticket_url'").withColumn("severity", F.lit("error"))
+    return quality.gate(rows, broken).select("source", "external_id")
 
 
 @query(_BATCH + " SELECT b.source, b.n AS collected, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM (SELECT source, count(*) AS n FROM b GROUP BY 1) b LEFT JOIN (SELECT source, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM i GROUP BY 1) USING (source)")
