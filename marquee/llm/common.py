@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bits of the mask of asked_rows.
+MASK = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,21 @@ def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
         _written.remove(path)
 
 
+def asked_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, ...) whose doc_id is in asked (doc_id, each once; a written table, as it is read twice).
+
+    The join with asked decides. Before it, a mask of MASK bits of hashed ids keeps most other rows, with their texts, out
+    of the shuffle. The mask is broadcast: it has MASK / 64 rows of two numbers at most, 2 MB, whatever asked holds; where
+    asked outgrows it, it lets more rows through and the join still gives the same rows.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MASK))
+    cell, one = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {MASK}) % 64 as int))")
+    mask = asked.select(cell.alias("_cell"), one.alias("_one")).groupBy("_cell").agg(F.bit_or("_one").alias("_bits"))
+    held = docs.withColumn("_at", cell).withColumn("_one", one)
+    held = held.join(F.broadcast(mask), (F.col("_at") == F.col("_cell")) & (F.col("_bits").bitwiseAND(F.col("_one")) != 0))
+    return held.drop("_at", "_one", "_cell", "_bits").join(asked, "doc_id")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
+from .common import asked_rows, cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
 from .components import components
 
 HASHES, ROWS = 200, 5
@@ -128,8 +128,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> D
                 columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["u", "v", "size", "leader_size", "missing", "differ", "linked"])
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "sets")
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+    sets = cut(shingle_sets(asked_rows(docs, asked).dropDuplicates(["doc_id"]), n), "sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
 

@@ -119,3 +119,13 @@ def test_substrings_of_odd_tables(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.substring_dedup(docs).collect()}
     assert got == {None: (60, 0, text), 1: (60, 0, text), 2: (61, 60, "end"), 3: (0, 0, None), 4: (0, 0, "")}
     assert substrings.substring_dedup(docs.where("false")).count() == 0
+
+
+def test_asked_rows_are_those_of_a_semi_join(spark):
+    from marquee.llm.common import asked_rows
+
+    docs = spark.createDataFrame([(k, f"t{k}") for k in [None, -5, *range(400), 7, 7]], "doc_id long, text string")
+    asked = spark.createDataFrame([(k,) for k in (-5, 7, 399, 1000)], "doc_id long")
+    assert sorted(r.doc_id for r in asked_rows(docs, asked).collect()) == [-5, 7, 7, 7, 399]
+    assert asked_rows(docs, asked.where("false")).count() == 0
+    assert asked_rows(docs.where("false"), asked).columns == ["doc_id", "text"]
