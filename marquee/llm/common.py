@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, about; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Bits of the mask of asked_rows.
 MASK = 1 << 23
 
@@ -35,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES, unless the session sets another bound: rows alone don't bound a batch of texts."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(bound, None):
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 _written: list[str] = []
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, in_batches
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 128, (2, 3, 4), 8, 6
 #: Bound of the labelled sample: texts of each language, windows of each text, and languages.
@@ -123,7 +123,7 @@ def sample_windows(docs: DataFrame, label: str, per_language: int, per_text: int
                         langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], names=["bytes", "lang"])
 
-    rows = picked.select("doc_id", "text", label).mapInArrow(run, "bytes binary, lang string").orderBy("bytes", "lang").collect()
+    rows = in_batches(picked.select("doc_id", "text", label), run, "bytes binary, lang string").orderBy("bytes", "lang").collect()
     return [(bytes(r["bytes"]), r["lang"]) for r in rows]
 
 
@@ -192,4 +192,4 @@ def predicted(docs: DataFrame, network: Network | None, keep: tuple[str, ...] =
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"`{c}` {kinds[c]}" for c in keep)])
     given = docs.select(F.col("doc_id").cast("long"), "text", has_letter(F.col("text")).alias("letter"), *(F.col(c).alias(f"_{c}") for c in keep))
-    return given.mapInArrow(run, schema)
+    return in_batches(given, run, schema)

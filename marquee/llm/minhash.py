@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import asked_rows, cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
+from .common import asked_rows, cut, drop_since, gram_hashes, hashed_documents, in_batches, mix, signed, written
 from .components import components
 
 HASHES, ROWS = 200, 5
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "print", "signature", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -92,7 +92,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
             items = [shingles(words, n).tobytes() for _, words in hashed_documents(batch.column(1), lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.large_binary()).cast(pa.binary())], names=["doc_id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, items binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, items binary")
 
 
 def _estimated(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -108,7 +108,7 @@ def _estimated(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(e[keep], pa.float64())], names=["u", "v", "estimate"])
 
     left, right = (marks.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}")) for k in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, estimate double")
+    return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long, estimate double")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -131,7 +131,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> D
     asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
     sets = cut(shingle_sets(asked_rows(docs, asked).dropDuplicates(["doc_id"]), n), "sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
+    return in_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
 
 
 def _searched(compared: DataFrame, group: DataFrame, similarity: float) -> DataFrame:

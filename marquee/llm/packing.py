@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_batches
 
 CAPACITY, END = 2048, 1
 #: Remainders of a length that one task numbers, about.
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:

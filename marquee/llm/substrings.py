@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, drop_since, gram_hashes, hashed_documents, mix, signed, written
+from .common import buffers, cut, drop_since, gram_hashes, hashed_documents, in_batches, mix, signed, written
 
 RUN = "doc_id long, anchor long, context long, first int, n int"
 
@@ -70,7 +70,7 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
                 doc = np.repeat(ids[[x[0] for x in found]], sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(signed(c)) for c in cols)], names=["doc_id", "anchor", "context", "first", "n"])
 
-    return docs.mapInArrow(run, RUN)
+    return in_batches(docs, run, RUN)
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 )
 
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    return docs.join(lists, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, at int, window long, proof int")
+    return in_batches(docs.join(lists, "doc_id").select("doc_id", "text", "spans"), run, "doc_id long, at int, window long, proof int")
 
 
 def _in_two(rows: DataFrame, *keys: str) -> DataFrame:
@@ -160,7 +160,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_{c}") for c in keep))
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long, n_words long, n_removed long, text string", *(f"`{c}` {kinds[c]}" for c in keep)])
-    return given.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(f"_{c}" for c in keep)).mapInArrow(run, schema)
+    return in_batches(given.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(f"_{c}" for c in keep)), run, schema)
 
 
 def kept_digest(cleaned: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def kept_digest(cleaned: DataFrame) -> DataFrame:
             digest = [hashlib.sha256(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())).hexdigest() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return cleaned.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return in_batches(cleaned, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 #: Field types and tags of the TIFF 6.0 specification, fixed values.
 TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 16: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -266,7 +268,7 @@ def read_pages(files: DataFrame, key: str, content: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=[key, *names])
 
-    return files.select(key, content).mapInArrow(run, f"`{key}` {kind}, {PAGE}")
+    return in_batches(files.select(key, content), run, f"`{key}` {kind}, {PAGE}")
 
 
 def stored_texts(docs: DataFrame, width: int = 64) -> DataFrame:
@@ -284,4 +286,4 @@ def stored_texts(docs: DataFrame, width: int = 64) -> DataFrame:
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")
