@@ -31,7 +31,11 @@ HIDDEN = frozenset("head iframe math noscript object script style svg template t
 #: An opening tag ends an open element of these names, as the standard's parsing rules say.
 ENDS = {**dict.fromkeys("li".split(), {"li"}), **dict.fromkeys("dd dt".split(), {"dd", "dt"}), "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCK - {"button", "option", "legend", "summary", "title", "head", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]{0,8192}\"|'[^']{0,8192}')[^>\"']*)*)>|[!?/][^>]*>)", re.S)
+#: A quote opens a value only after =, and the value ends at the same quote however far; without one, at the next ">". Groups are possessive, so that each
+#: tag is read once. A tag that the end of the page cuts off is no text, as the standard says.
+_TAG = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"'][^>]*+|[^\s>]++)?+)?+)*+)(>|\Z)|[!?/][^>]*>)", re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 #: What these hold is text up to their end tag.
 RAW = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -131,8 +135,8 @@ def leaf_blocks(html: str) -> list[tuple[list, str, int]]:
     while tag := _TAG.search(html, at):
         page.data(html[at : tag.start()])
         at = tag.end()
-        slash, name, attrs = tag.groups()
-        if name:
+        slash, name, attrs, closed = tag.groups()
+        if name and closed:
             name = name.lower()
             if slash:
                 page.end(name)

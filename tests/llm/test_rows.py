@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -70,6 +71,19 @@ def test_html_blocks_and_references():
     assert html_extract.main_text(page, html_extract.default_model()) == "One & two\nFirst line goes on.\nNext <b> é 3 < 4\na one.\nb two."
 
 
+def test_html_of_long_attributes():
+    long = "A1+/" * 25_000
+    page = f"<nav class='menu' data-state='{{&quot;{long}&quot;: \"> <p>\"}}'><a href=x>Menu</a></nav><article><p>Before <img src=\"data:image/png;base64,{long}\" alt='a > b'>after.</p></article>"
+    blocks = html_extract.leaf_blocks(page)
+    assert [t for _, t, _ in blocks] == ["Menu", "Before after."]
+    assert "menu" in blocks[0][0][0][1]
+    assert [t for _, t, _ in html_extract.leaf_blocks(f"<p don't>One.</p><p title=\"{'x' * 9000}>Two.</p><p>Three <img src='data:{long}")] == ["One.", "Two.", "Three"]
+    for part in ("<a b='>' ", '<a b="', "<a b=", "<a ", "<a b = '\"' "):
+        began = time.process_time()
+        html_extract.leaf_blocks(part * 200_000)
+        assert time.process_time() - began < 5
+
+
 def test_html_on_held_out_pages():
     model, right, all_ = html_extract.default_model(), 0, 0
     for html, labels in html_extract.labelled_pages(120, seed=991):
