@@ -7,16 +7,21 @@ one, the order-dependent greedy rules run in a grouped map per block, where a bl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..llm.common import cut
 
 TOLERANCE = 15 * 60
+#: Titles on either side of a tile, about; bins of a tile's counts of pairs of letters; titles whose clusters are found first.
+TILE, BINS, HEAD = 2048, 256, 256
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, seconds: int = TOLERANCE, order: tuple[str, ...] = ()) -> DataFrame:
@@ -92,6 +97,193 @@ def fuzzy_clusters(df: DataFrame, order: str, rule: str = "leader", seconds: int
     return dated.join(named, order).select(*df.columns, "cluster").unionByName(undated)
 
 
+class Titles:
+    """Titles sorted by length, with binned counts of their pairs of letters and sets of their fours.
+
+    Two strings of lengths that sum to s with m letters in common blocks have at most s - 2m + 1 blocks, so they share at least
+    m - (g - 1)(s - 2m + 1) runs of g letters; bins can only raise what they seem to share. From 200 letters on, text.ratio starts
+    a block only at a letter that makes up about 1 % of the second string at most, or at both starts, which bounds the blocks too.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.length = np.array([len(x) for x in texts], np.int64)
+        letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(texts)), self.length)
+        inside = owner[1:] == owner[:-1]
+        bins = ((letters[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % np.uint64(BINS)
+        longest = int(self.length.max(initial=0))
+        kind = np.uint8 if longest < 256 else np.uint16 if longest < 65536 else np.uint32
+        counts = np.bincount(owner[1:][inside] * BINS + bins[inside].astype(np.int64), minlength=len(texts) * BINS)
+        self.counts = counts.reshape(len(texts), BINS).astype(kind)
+        self.order = np.argsort(self.length, kind="stable")
+        self.sorted, self.lengths = self.counts[self.order], self.length[self.order]
+        self._fours: dict[int, set] = {}
+        self._letters: dict[int, tuple[Counter, dict]] = {}
+
+    def fours(self, k: int) -> set:
+        """Runs of four letters of title k, each with the number of its occurrence."""
+        if k not in self._fours:
+            x, seen = self.texts[k], Counter()
+            out = set()
+            for i in range(len(x) - 3):
+                gram = x[i : i + 4]
+                out.add((gram, seen[gram]) if seen[gram] else gram)
+                seen[gram] += 1
+            self._fours[k] = out
+        return self._fours[k]
+
+    def letters(self, k: int) -> tuple[Counter, dict]:
+        """How often title k has each letter: all, and those at which a block can start."""
+        if k not in self._letters:
+            all_, n = Counter(self.texts[k]), len(self.texts[k])
+            self._letters[k] = all_, {c: m for c, m in all_.items() if n < 200 or m <= n // 100 + 1}
+        return self._letters[k]
+
+    def alike(self, other: Titles, k: int, least: float) -> Iterator[int]:
+        """Places here of all whose fours allow the ratio with the other's title k."""
+        for x in self.near(other, k, least).tolist():
+            total = int(self.length[x] + other.length[k])
+            m = int(np.ceil(total * least / 2 - 1e-6))
+            blocks, shared = total - 2 * m + 1, None
+            if m > 3 * blocks and (shared := len(self.fours(x) & other.fours(k))) < m - 3 * blocks:
+                continue
+            (a, a_starts), (b, b_starts) = self.letters(x), other.letters(k)
+            starts = 1 + max(sum(min(n, a[c]) for c, n in b_starts.items()), sum(min(n, b[c]) for c, n in a_starts.items()))
+            if starts < blocks and m > 3 * starts and (len(self.fours(x) & other.fours(k)) if shared is None else shared) < m - 3 * starts:
+                continue
+            yield x
+
+    def near(self, other: Titles, k: int, least: float) -> np.ndarray:
+        """Places here of all that the other's title k can reach the ratio with."""
+        n = int(other.length[k])
+        low, high = np.searchsorted(self.lengths, n * least / (2 - least) - 1e-6), np.searchsorted(self.lengths, n * (2 - least) / least + 1e-6, "right")
+        total = self.lengths[low:high] + n
+        m = np.ceil(total * least / 2 - 1e-6)
+        shared = np.minimum(self.sorted[low:high], other.counts[k]).sum(axis=1, dtype=np.int64)
+        return self.order[low:high][shared >= 3 * m - total - 1]
+
+
+def similar_pairs(titles: DataFrame, least: float = 0.90) -> DataFrame:
+    """(a, b, similarity): all pairs of titles (ord, t), ord and t unique, whose ratio, the lesser ord first, reaches least.
+
+    Such pairs lie in one band of lengths or in neighbouring ones. Bands are compared in tiles of bounded size, which return
+    pairs that reach it only.
+    """
+    width = (2 - least) / least * 1.0001
+    banded = cut(titles.where("length(t) > 0").select("ord", "t", F.floor(F.log(F.length("t").cast("double")) / float(np.log(width))).cast("int").alias("band")), "banded")
+    blocks = {r["band"]: r["count"] // TILE + 1 for r in banded.groupBy("band").count().collect()}  # a row for each band of lengths
+    if not blocks:
+        return titles.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(None).cast("double").alias("similarity")).where("false")
+    many = F.create_map(*(F.lit(x) for item in blocks.items() for x in item))
+    of = lambda band: F.coalesce(F.element_at(many, band), F.lit(0))
+    placed = banded.withColumn("block", F.pmod(F.xxhash64("ord"), of(F.col("band"))).cast("int"))
+    band, block = F.col("band"), F.col("block")
+    every = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
+    tile = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    own = every(of(band), lambda j: tile(band, band, F.least(block, j), F.greatest(block, j)))
+    up = every(of(band + 1), lambda j: tile(band, band + 1, block, j))
+    down = every(of(band - 1), lambda j: tile(band - 1, band, j, block))
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high, i, j = (pdf[c].iloc[0] for c in ("low", "high", "i", "j"))
+        left, right = (pdf[(pdf["band"] == b) & (pdf["block"] == k)] for b, k in ((low, i), (high, j)))
+        same = low == high and i == j
+        out, (ords, others) = [], (left["ord"].to_numpy(), right["ord"].to_numpy())
+        if len(left) and len(right):
+            ours, theirs = Titles(left["t"].tolist()), Titles(right["t"].tolist())
+            for k in range(len(ours.texts)):
+                for x in theirs.alike(ours, k, least):
+                    if same and others[x] <= ords[k]:
+                        continue
+                    a, b = ((ords[k], ours.texts[k]), (others[x], theirs.texts[x]))[:: 1 if ords[k] < others[x] else -1]
+                    found = text.ratio(a[1], b[1])
+                    if found >= least:
+                        out.append((a[0], b[0], found))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    tiles = placed.select("ord", "t", "band", "block", F.explode(F.concat(own, up, down)).alias("at")).select("ord", "t", "band", "block", "at.*")
+    n = sum(m * (m + 1) // 2 + m * blocks.get(b + 1, 0) for b, m in blocks.items())  # few bytes for much work, so that Spark must not merge partitions
+    return tiles.repartition(min(max(_partitions(titles), n), 4096), "low", "high", "i", "j").groupBy("low", "high", "i", "j").applyInPandas(compared, "a long, b long, similarity double")
+
+
+def word_pairs(titles: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b), a before b: all pairs of titles (ord, t) of which one has least of the other's distinct words, which are three at least.
+
+    A title of n words that shares c of them has one of any n - c + 1; its rarest are looked up in titles of as many words or more.
+    """
+    words = titles.select("ord", "t", F.array_distinct(F.split("t", " ")).alias("w")).where("size(w) >= 3")
+    word = cut(words.select("ord", "t", F.size("w").alias("n"), F.explode("w").alias("x")), "words")
+    ranked = word.join(word.groupBy("x").agg(F.count("*").alias("df")), "x")
+    rare = ranked.groupBy("ord", "t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("w"))
+    rare = rare.select("ord", "t", "n", F.explode(F.slice("w", 1, F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1)).alias("w")).select("ord", "t", "n", "w.x")
+    l, r = rare.alias("l"), word.alias("r")
+    met = l.join(r, (F.col("l.x") == F.col("r.x")) & ((F.col("l.n") < F.col("r.n")) | (F.col("l.n") == F.col("r.n")) & (F.col("l.ord") < F.col("r.ord"))))
+    shared = F.size(F.array_intersect(F.split("l.t", " "), F.split("r.t", " ")))
+    return met.where(shared / F.col("l.n") >= least).select(F.least("l.ord", "r.ord").alias("a"), F.greatest("l.ord", "r.ord").alias("b")).distinct()
+
+
+def title_clusters(df: DataFrame, order: str) -> DataFrame:
+    """df (.., title) with cluster, the order of its leader: by_leader with same_title over all rows in the order given, without a block.
+
+    Rows of one normalised title are one, with their least order. Clusters of the first titles are found first, so that a large
+    group's pairs are not listed. The others' leaders follow from all pairs that match: a title is a leader if none before it
+    that it matches is one; rounds decide those whose matches before them are decided.
+    """
+    key = text.normalized(text.bare_title(F.coalesce("title", F.lit(""))), compose=True)
+    keyed = cut(df.withColumn("_t", key), "keyed")
+    titles = cut(keyed.groupBy(F.col("_t").alias("t")).agg(F.min(F.col(order).cast("long")).alias("ord")), "titles")
+    head = titles.orderBy("ord").limit(HEAD).collect()
+    found = by_leader([{"t": r["t"], "w": set(r["t"].split())} for r in head], lambda x, y: _matches(x["t"], y["t"]))
+    first = [head[found.index(k)] for k in range(max(found, default=-1) + 1)]
+    ords, leaders = [r["ord"] for r in first], [r["t"] for r in first]
+
+    @F.pandas_udf("long")
+    def joined(found: pd.Series) -> pd.Series:
+        """The first leader that matches; a title of the head matches none that came after it but for its own."""
+        theirs, ours = Titles(leaders), Titles(found.tolist())
+        words = [set(x.split()) for x in leaders]
+        place = {x: k for k, x in enumerate(leaders)}
+        out = []
+        for k, x in enumerate(ours.texts):
+            mine = set(x.split())
+            hits = {place[x]} if x in place else set()
+            hits.update(i for i, w in enumerate(words) if min(len(w), len(mine)) >= 3 and len(w & mine) / min(len(w), len(mine)) >= 0.85)
+            hits.update(i for i in theirs.alike(ours, k, 0.90) if i < min(hits, default=len(leaders)) and text.ratio(leaders[i], x) >= 0.90)
+            out.append(ords[min(hits)] if hits else None)
+        return pd.Series(out, dtype="Int64")
+
+    placed = cut(titles.repartition(_partitions(df)).withColumn("cluster", joined("t")), "placed")
+    rest = placed.where("cluster is null").select("ord", "t")
+    pairs = cut(similar_pairs(rest).select("a", "b").unionByName(word_pairs(rest)).distinct(), "pairs")
+    left, members = pairs, pairs.select(F.col("b").alias("ord")).where("false")
+    while not left.isEmpty():
+        roots = left.select(F.col("a").alias("root")).distinct().join(left.select(F.col("b").alias("root")), "root", "left_anti")
+        hit = cut(left.join(roots, F.col("a") == F.col("root"), "left_semi").select(F.col("b").alias("ord")).distinct(), "hit")
+        members = members.unionByName(hit)
+        gone = hit.unionByName(roots.select(F.col("root").alias("ord")))
+        left = cut(left.join(gone, F.col("a") == F.col("ord"), "left_anti").join(gone, F.col("b") == F.col("ord"), "left_anti"), "left")
+    found = pairs.join(members, F.col("a") == F.col("ord"), "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+    named = placed.join(found, F.col("ord") == F.col("b"), "left").select("t", F.coalesce("cluster", "leader", "ord").cast("string").alias("cluster"))
+    return keyed.join(named, F.col("_t") == F.col("t")).select(*df.columns, "cluster")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _matches(a: str, b: str) -> bool:
+    """text.same_title, with cheap bounds before the ratio."""
+    x, y = set(a.split()), set(b.split())
+    fewer = min(len(x), len(y))
+    if a == b or fewer >= 3 and len(x & y) / fewer >= 0.85:
+        return True
+    total = len(a) + len(b)
+    if 2 * min(len(a), len(b)) / max(total, 1) < 0.90:
+        return False
+    return 2 * (Counter(a) & Counter(b)).total() / max(total, 1) >= 0.90 and text.ratio(a, b) >= 0.90
+
+
 def representatives(df: DataFrame, rule: str = "leader") -> DataFrame:
     """One row per cluster: its representative, the earliest start, and the offers sorted by source.
 

@@ -148,10 +148,9 @@ def canonical_leader(spark, d):
 
 @query(None)
 def canonical_fuzzy_titles(spark, d):
-    """Greedy leader clusters of titles (a document's first line), blocked by language and first word; the start is made from the block, so that all of a block are near."""
-    docs = t(spark, d, "documents").where("text is not null").select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"))
-    rows = docs.select("doc_id", "source", "lang", "title", F.lit(None).cast("string").alias("venue"), F.lit(NOW).cast("timestamp").alias("start_at"), F.substring(F.sha2(F.lower("title"), 256), 1, 4).alias("block"))
-    return canonical.fuzzy_clusters(rows, "doc_id", "leader", block=("lang", "block")).select("doc_id", "cluster")
+    """Greedy leader clusters of titles (a document's first line) over all documents, in the order of doc_id; all have one start and no venue."""
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    return canonical.title_clusters(docs, "doc_id").select("doc_id", "cluster")
 
 
 @query("""SELECT o_custkey, day, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS prices, count(*) AS n_offers FROM (SELECT *, o_orderdate::DATE AS day FROM orders) GROUP BY o_custkey, day""")

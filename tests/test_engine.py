@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text, timeutil
 from marquee.operators import canonical, changes, dedupe, health, quality
+from marquee.plans import queries
 from marquee.sources import pages
 from marquee.streaming import jobs
 
@@ -61,6 +62,35 @@ def test_fuzzy_clusters_against_a_loop(spark, rule):
     assert got == _loop(plain, same, rule == "any")
 
 
+def _titles(seed: int) -> list[str]:
+    """Titles with variants: letters changed, words moved, dropped or put in front, cases, commas."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("абвгdeijklmnorstu", k=rng.randint(2, 9))) for _ in range(120)]
+    out = []
+    for _ in range(45):
+        w = rng.sample(words, rng.choice([1, 2, 3, 4, 7, 12, 20, 45]))
+        out += [" ".join(w), " ".join(w).upper()]
+        letters = list(" ".join(w))
+        for k in rng.sample(range(len(letters)), max(1, len(letters) // rng.choice([8, 12, 20, 40]))):
+            letters[k] = rng.choice("xyzq ")
+        out += ["".join(letters), "- " + ", ".join(w), rng.choice(words) + " " + " ".join(w), " ".join(rng.sample(w, len(w))), " ".join(w[: max(1, len(w) * 9 // 10)])]
+    return rng.sample(out, len(out))
+
+
+@pytest.mark.parametrize(("head", "tile"), [(3, 16), (64, 2048)])
+def test_fuzzy_titles_against_by_leader(spark, tmp_path, monkeypatch, head, tile):
+    monkeypatch.setattr(canonical, "HEAD", head, raising=False)
+    monkeypatch.setattr(canonical, "TILE", tile, raising=False)
+    docs = spark.createDataFrame([(k, f"{t}\nrest", "en" if k % 2 else "de", f"s{k % 3}") for k, t in enumerate(_titles(head))], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    key = text.normalized(text.bare_title(F.substring_index("text", "\n", 1)), True)
+    rows = [{"ord": r.doc_id, "t": r.t} for r in docs.select("doc_id", key.alias("t")).orderBy("doc_id").collect()]
+    found, first = canonical.by_leader(rows, lambda a, b: text.same_title(a["t"], b["t"])), {}
+    want = {r["ord"]: str(first.setdefault(k, r["ord"])) for r, k in zip(rows, found, strict=True)}
+    assert {r.doc_id: r.cluster for r in queries.canonical_fuzzy_titles(spark, str(tmp_path)).collect()} == want
+    assert len(set(want.values())) < len({r["t"] for r in rows}) - 20
+
+
 def test_representatives(spark):
     at = datetime(2026, 8, 1, 18)
     df = spark.createDataFrame([("c", "b", "Long title", at, "10", None), ("c", "a", "Short", at - timedelta(minutes=5), None, "u")], "cluster string, source string, title string, start_at timestamp, price_text string, ticket_url string")
