@@ -164,8 +164,8 @@ class Titles:
         return self.order[low:high][shared >= 3 * m - total - 1]
 
 
-def similar_pairs(titles: DataFrame, least: float = 0.90) -> DataFrame:
-    """(a, b, similarity): all pairs of titles (ord, t), ord and t unique, whose ratio, the lesser ord first, reaches least.
+def similar_pairs(titles: DataFrame, least: float = 0.90, both: bool = False) -> DataFrame:
+    """(a, b, similarity): all pairs of titles (ord, t), ord and t unique, whose ratio, the lesser ord first, reaches least. both: either first.
 
     Such pairs lie in one band of lengths or in neighbouring ones. Bands are compared in tiles of bounded size, which return
     pairs that reach it only.
@@ -197,9 +197,10 @@ def similar_pairs(titles: DataFrame, least: float = 0.90) -> DataFrame:
                     if same and others[x] <= ords[k]:
                         continue
                     a, b = ((ords[k], ours.texts[k]), (others[x], theirs.texts[x]))[:: 1 if ords[k] < others[x] else -1]
-                    found = text.ratio(a[1], b[1])
-                    if found >= least:
-                        out.append((a[0], b[0], found))
+                    for p, q in ((a, b), (b, a)) if both else ((a, b),):
+                        found = text.ratio(p[1], q[1])
+                        if found >= least:
+                            out.append((p[0], q[0], found))
         return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
     tiles = placed.select("ord", "t", "band", "block", F.explode(F.concat(own, up, down)).alias("at")).select("ord", "t", "band", "block", "at.*")
@@ -320,3 +321,14 @@ def duplicate_candidates(df: DataFrame, similarity: float = 0.90, seconds: int =
     pairs = pairs.select("l.ord", F.col("r.ord").alias("ord_b"), F.col("l.external_id").alias("external_id_a"), F.col("r.external_id").alias("external_id_b"), "similarity")
     pairs = pairs.withColumn("low", F.least("external_id_a", "external_id_b")).withColumn("high", F.greatest("external_id_a", "external_id_b"))
     return keep_first(pairs, ["low", "high"], [F.col("ord"), F.col("ord_b")]).drop("low", "high")
+
+
+def title_duplicates(df: DataFrame, similarity: float = 0.90) -> DataFrame:
+    """duplicate_candidates where all rows (source, ord, external_id, title) are close in time, ord and external_id unique: all pairs, without a block."""
+    rows = cut(df.select("source", "ord", "external_id", text.normalized(F.col("title"), compose=True).alias("t")), "rows")
+    titles = cut(rows.groupBy("t").agg(F.min("ord").alias("ord")), "titles")
+    pairs = cut(similar_pairs(titles, similarity, both=True), "similar")
+    named = pairs.join(titles.select(F.col("ord").alias("a"), F.col("t").alias("ta")), "a").join(titles.select(F.col("ord").alias("b"), F.col("t").alias("tb")), "b").select("ta", "tb", "similarity")
+    named = named.unionByName(titles.select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("similarity")))
+    met = rows.alias("l").join(named, F.col("l.t") == F.col("ta")).join(rows.alias("r"), F.col("r.t") == F.col("tb")).where("l.ord < r.ord and l.source <> r.source")
+    return met.select("l.ord", F.col("r.ord").alias("ord_b"), F.col("l.external_id").alias("external_id_a"), F.col("r.external_id").alias("external_id_b"), "similarity")

@@ -189,10 +189,10 @@ def duplicate_candidates_band(spark, d):
 
 @query(None)
 def duplicate_candidates_fuzzy(spark, d):
-    """Similar titles of different sources: first lines, near in a time made from a hash of their first eight characters, so that the time band blocks."""
+    """Similar titles of different sources: first lines, all at one time, so that all are compared."""
     docs = t(spark, d, "documents").where("length(text) > 0")
-    classes = docs.groupBy("source", F.substring_index("text", "\n", 1).alias("title")).agg(F.min("doc_id").alias("ord")).withColumn("start_at", F.timestamp_seconds(F.pmod(F.xxhash64(F.substring(F.lower("title"), 1, 8)), F.lit(10**6)) * 3600))
-    return canonical.duplicate_candidates(classes.withColumn("external_id", F.col("ord").cast("string")))
+    classes = docs.groupBy("source", F.substring_index("text", "\n", 1).alias("title")).agg(F.min("doc_id").alias("ord"))
+    return canonical.title_duplicates(classes.withColumn("external_id", F.col("ord").cast("string")))
 
 
 @query("""WITH tok AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),

@@ -91,6 +91,16 @@ def test_fuzzy_titles_against_by_leader(spark, tmp_path, monkeypatch, head, tile
     assert len(set(want.values())) < len({r["t"] for r in rows}) - 20
 
 
+def test_fuzzy_duplicates_against_all_pairs(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"{t}\nrest", f"s{k % 3}") for k, t in enumerate(_titles(5)[:160])], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    title = F.substring_index("text", "\n", 1)
+    rows = docs.groupBy("source", title.alias("title")).agg(F.min("doc_id").alias("ord")).select("source", "ord", text.normalized(F.col("title"), True).alias("t")).orderBy("ord").collect()
+    want = {(str(a.ord), str(b.ord)) for k, a in enumerate(rows) for b in rows[k + 1 :] if a.source != b.source and text.ratio(a.t, b.t) >= 0.90}
+    got = [(r.external_id_a, r.external_id_b) for r in queries.duplicate_candidates_fuzzy(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_representatives(spark):
     at = datetime(2026, 8, 1, 18)
     df = spark.createDataFrame([("c", "b", "Long title", at, "10", None), ("c", "a", "Short", at - timedelta(minutes=5), None, "u")], "cluster string, source string, title string, start_at timestamp, price_text string, ticket_url string")
