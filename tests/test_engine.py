@@ -101,6 +101,12 @@ def test_fuzzy_duplicates_against_all_pairs(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(want) > 20
 
 
+def test_no_array_of_a_whole_key(spark):
+    plan = lambda f: f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan(queries.favorites_cluster_overlap)
+    assert "Aggregate [user_id" in (found := plan(queries.canonical_leader)) and "island" in found.split("Aggregate [user_id")[1].split("]")[0]
+
+
 def test_representatives(spark):
     at = datetime(2026, 8, 1, 18)
     df = spark.createDataFrame([("c", "b", "Long title", at, "10", None), ("c", "a", "Short", at - timedelta(minutes=5), None, "u")], "cluster string, source string, title string, start_at timestamp, price_text string, ticket_url string")
