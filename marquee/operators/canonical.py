@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..llm.common import cut
+from ..tables import Scratch
 
 TOLERANCE = 15 * 60
 #: Titles on either side of a tile, about; bins of a tile's counts of pairs of letters; titles whose clusters are found first.
@@ -164,14 +164,15 @@ class Titles:
         return self.order[low:high][shared >= 3 * m - total - 1]
 
 
-def similar_pairs(titles: DataFrame, least: float = 0.90, both: bool = False) -> DataFrame:
+def similar_pairs(titles: DataFrame, least: float = 0.90, both: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, similarity): all pairs of titles (ord, t), ord and t unique, whose ratio, the lesser ord first, reaches least. both: either first.
 
     Such pairs lie in one band of lengths or in neighbouring ones. Bands are compared in tiles of bounded size, which return
     pairs that reach it only.
     """
     width = (2 - least) / least * 1.0001
-    banded = cut(titles.where("length(t) > 0").select("ord", "t", F.floor(F.log(F.length("t").cast("double")) / float(np.log(width))).cast("int").alias("band")), "banded")
+    scratch = Scratch(titles.sparkSession, "titles", scratch)
+    banded = scratch.cut(titles.where("length(t) > 0").select("ord", "t", F.floor(F.log(F.length("t").cast("double")) / float(np.log(width))).cast("int").alias("band")), "banded")
     blocks = {r["band"]: r["count"] // TILE + 1 for r in banded.groupBy("band").count().collect()}  # a row for each band of lengths
     if not blocks:
         return titles.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(None).cast("double").alias("similarity")).where("false")
@@ -208,13 +209,14 @@ def similar_pairs(titles: DataFrame, least: float = 0.90, both: bool = False) ->
     return tiles.repartition(min(max(_partitions(titles), n), 4096), "low", "high", "i", "j").groupBy("low", "high", "i", "j").applyInPandas(compared, "a long, b long, similarity double")
 
 
-def word_pairs(titles: DataFrame, least: float = 0.85) -> DataFrame:
+def word_pairs(titles: DataFrame, least: float = 0.85, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a before b: all pairs of titles (ord, t) of which one has least of the other's distinct words, which are three at least.
 
     A title of n words that shares c of them has one of any n - c + 1; its rarest are looked up in titles of as many words or more.
     """
     words = titles.select("ord", "t", F.array_distinct(F.split("t", " ")).alias("w")).where("size(w) >= 3")
-    word = cut(words.select("ord", "t", F.size("w").alias("n"), F.explode("w").alias("x")), "words")
+    scratch = Scratch(titles.sparkSession, "titles", scratch)
+    word = scratch.cut(words.select("ord", "t", F.size("w").alias("n"), F.explode("w").alias("x")), "words")
     ranked = word.join(word.groupBy("x").agg(F.count("*").alias("df")), "x")
     rare = ranked.groupBy("ord", "t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("w"))
     rare = rare.select("ord", "t", "n", F.explode(F.slice("w", 1, F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1)).alias("w")).select("ord", "t", "n", "w.x")
@@ -224,7 +226,7 @@ def word_pairs(titles: DataFrame, least: float = 0.85) -> DataFrame:
     return met.where(shared / F.col("l.n") >= least).select(F.least("l.ord", "r.ord").alias("a"), F.greatest("l.ord", "r.ord").alias("b")).distinct()
 
 
-def title_clusters(df: DataFrame, order: str) -> DataFrame:
+def title_clusters(df: DataFrame, order: str, scratch: Scratch | None = None) -> DataFrame:
     """df (.., title) with cluster, the order of its leader: by_leader with same_title over all rows in the order given, without a block.
 
     Rows of one normalised title are one, with their least order. Clusters of the first titles are found first, so that a large
@@ -232,8 +234,9 @@ def title_clusters(df: DataFrame, order: str) -> DataFrame:
     that it matches is one; rounds decide those whose matches before them are decided.
     """
     key = text.normalized(text.bare_title(F.coalesce("title", F.lit(""))), compose=True)
-    keyed = cut(df.withColumn("_t", key), "keyed")
-    titles = cut(keyed.groupBy(F.col("_t").alias("t")).agg(F.min(F.col(order).cast("long")).alias("ord")), "titles")
+    scratch = Scratch(df.sparkSession, "titles", scratch)
+    keyed = scratch.cut(df.withColumn("_t", key), "keyed")
+    titles = scratch.cut(keyed.groupBy(F.col("_t").alias("t")).agg(F.min(F.col(order).cast("long")).alias("ord")), "titles")
     head = titles.orderBy("ord").limit(HEAD).collect()
     found = by_leader([{"t": r["t"], "w": set(r["t"].split())} for r in head], lambda x, y: _matches(x["t"], y["t"]))
     first = [head[found.index(k)] for k in range(max(found, default=-1) + 1)]
@@ -254,18 +257,19 @@ def title_clusters(df: DataFrame, order: str) -> DataFrame:
             out.append(ords[min(hits)] if hits else None)
         return pd.Series(out, dtype="Int64")
 
-    placed = cut(titles.repartition(_partitions(df)).withColumn("cluster", joined("t")), "placed")
+    placed = scratch.cut(titles.repartition(_partitions(df)).withColumn("cluster", joined("t")), "placed")
     rest = placed.where("cluster is null").select("ord", "t")
-    pairs = cut(similar_pairs(rest).select("a", "b").unionByName(word_pairs(rest)).distinct(), "pairs")
+    pairs = scratch.cut(similar_pairs(rest, scratch=scratch).select("a", "b").unionByName(word_pairs(rest, scratch=scratch)).distinct(), "pairs")
     left, members = pairs, pairs.select(F.col("b").alias("ord")).where("false")
     while not left.isEmpty():
         roots = left.select(F.col("a").alias("root")).distinct().join(left.select(F.col("b").alias("root")), "root", "left_anti")
-        hit = cut(left.join(roots, F.col("a") == F.col("root"), "left_semi").select(F.col("b").alias("ord")).distinct(), "hit")
+        hit = scratch.cut(left.join(roots, F.col("a") == F.col("root"), "left_semi").select(F.col("b").alias("ord")).distinct(), "hit")
         members = members.unionByName(hit)
         gone = hit.unionByName(roots.select(F.col("root").alias("ord")))
-        left = cut(left.join(gone, F.col("a") == F.col("ord"), "left_anti").join(gone, F.col("b") == F.col("ord"), "left_anti"), "left")
+        left = scratch.cut(left.join(gone, F.col("a") == F.col("ord"), "left_anti").join(gone, F.col("b") == F.col("ord"), "left_anti"), "left")
     found = pairs.join(members, F.col("a") == F.col("ord"), "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
-    named = placed.join(found, F.col("ord") == F.col("b"), "left").select("t", F.coalesce("cluster", "leader", "ord").cast("string").alias("cluster"))
+    named = scratch.cut(placed.join(found, F.col("ord") == F.col("b"), "left").select("t", F.coalesce("cluster", "leader", "ord").cast("string").alias("cluster")), "named")
+    scratch.keep_only(keyed, named)
     return keyed.join(named, F.col("_t") == F.col("t")).select(*df.columns, "cluster")
 
 
@@ -323,11 +327,12 @@ def duplicate_candidates(df: DataFrame, similarity: float = 0.90, seconds: int =
     return keep_first(pairs, ["low", "high"], [F.col("ord"), F.col("ord_b")]).drop("low", "high")
 
 
-def title_duplicates(df: DataFrame, similarity: float = 0.90) -> DataFrame:
+def title_duplicates(df: DataFrame, similarity: float = 0.90, scratch: Scratch | None = None) -> DataFrame:
     """duplicate_candidates where all rows (source, ord, external_id, title) are close in time, ord and external_id unique: all pairs, without a block."""
-    rows = cut(df.select("source", "ord", "external_id", text.normalized(F.col("title"), compose=True).alias("t")), "rows")
-    titles = cut(rows.groupBy("t").agg(F.min("ord").alias("ord")), "titles")
-    pairs = cut(similar_pairs(titles, similarity, both=True), "similar")
+    scratch = Scratch(df.sparkSession, "titles", scratch)
+    rows = scratch.cut(df.select("source", "ord", "external_id", text.normalized(F.col("title"), compose=True).alias("t")), "rows")
+    titles = scratch.cut(rows.groupBy("t").agg(F.min("ord").alias("ord")), "titles")
+    pairs = scratch.cut(similar_pairs(titles, similarity, both=True, scratch=scratch), "similar")
     named = pairs.join(titles.select(F.col("ord").alias("a"), F.col("t").alias("ta")), "a").join(titles.select(F.col("ord").alias("b"), F.col("t").alias("tb")), "b").select("ta", "tb", "similarity")
     named = named.unionByName(titles.select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("similarity")))
     met = rows.alias("l").join(named, F.col("l.t") == F.col("ta")).join(rows.alias("r"), F.col("r.t") == F.col("tb")).where("l.ord < r.ord and l.source <> r.source")
