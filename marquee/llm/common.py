@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables, the shared folder, and word hashes of Arrow batches."""
+"""What the operators of this subpackage share: tables, free column names, and word hashes of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,53 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (a local session, as in tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow in batches of BATCH_BYTES, unless the session sets another bound: rows alone don't bound a batch of texts."""
+    """df.mapInArrow in batches of BATCH_BYTES, unless the session sets another bound: rows alone don't bound a batch of texts.
+
+    Spark reads the bound when the query runs, so it stays set in a session that had none.
+    """
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not df.sparkSession.conf.get(bound, None):
         df.sparkSession.conf.set(bound, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
-_written: list[str] = []
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the plan is cut, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Column names like those given that columns doesn't have, in any case of letters: helpers beside columns of any name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def written() -> int:
-    """How many tables cut() has written: a mark for drop_since."""
-    return len(_written)
-
-
-def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Delete the tables that cut() wrote since the mark, but for those given."""
-    kept = {df.written_to for df in keep}
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _written[mark:] if p not in kept]:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _written.remove(path)
-
-
 def asked_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, ...) whose doc_id is in asked (doc_id, each once; a written table, as it is read twice).
 

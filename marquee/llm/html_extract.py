@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("head iframe math noscript object script style svg template title".split())
+HIDDEN = frozenset("head iframe noscript script style svg template title".split())
 #: An opening tag ends an open element of these names, as the standard's parsing rules say.
 ENDS = {**dict.fromkeys("li".split(), {"li"}), **dict.fromkeys("dd dt".split(), {"dd", "dt"}), "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCK - {"button", "option", "legend", "summary", "title", "head", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -55,42 +56,74 @@ HINTS = {
 _HINT = {word: hint for hint, words in HINTS.items() for word in words.split()}
 
 
+#: Elements whose opening ends others (ENDS) and those that such an end doesn't reach beyond.
+_LISTS = frozenset({"ul", "ol", "dl", "table", "select", "menu"})
+_SPECIAL = _LISTS.union(*ENDS.values())
+_INLINE = frozenset({"a", "b", "strong", "em", "label"})
+_INNER = frozenset({"header", "footer", "aside", "nav", "form", "section", "ul"})
+
+
+class Element:
+    """An open element with pointers to its parent, the nearest block and the nearest list part, and what its ancestors tell."""
+
+    __slots__ = ("tag", "hints", "hidden", "parent", "block", "special", "leaf", "found", "inner")
+
+    def __init__(self, tag: str, hints: frozenset, hidden: bool, parent: Element | None):
+        self.tag, self.hints, self.hidden, self.parent = tag, hints, hidden, parent
+        self.block = self if tag in BLOCK else parent and parent.block
+        self.special = self if tag in _SPECIAL else parent and parent.special
+        plain = tag not in ("html", "body")
+        self.leaf = tag if plain and tag in BLOCK else parent.leaf if parent else "none"
+        new = {f"hint={h}" for h in hints}
+        if plain and (tag in BLOCK or tag in _INLINE):
+            new.add(f"in={tag}")
+        #: inner: features of what lies between here and the nearest article or main; None outside of any.
+        self.inner = frozenset({"inmain"}) if tag in ("article", "main") else parent and parent.inner
+        if self.inner and tag in _INNER:
+            self.inner |= {f"inmain+{tag}"}
+        have = parent.found if parent else frozenset()
+        self.found = have if new <= have else have | new  # as many as there are names of tags and hints, at any depth
+
+
 class Blocks:
-    """Collects (ancestors, text, characters in links) for each leaf block; ancestors are (tag, hints, hidden)."""
+    """Collects (element, text, characters in links) for each leaf block."""
 
     def __init__(self):
-        self.open: list[tuple[str, frozenset, bool]] = []
-        self.out: list[tuple[list, str, int]] = []
+        self.at: Element | None = None
+        self.count: Counter = Counter()
+        self.out: list[tuple[Element | None, str, int]] = []
         self.text: list[str] = []
         self.linked = 0
-        self.links = self.hidden = 0
+        self.hidden = 0
 
     def border(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.out.append((list(self.open), text, self.linked))
+                self.out.append((self.at, text, self.linked))
             self.text, self.linked = [], 0
 
-    def pop(self) -> None:
-        tag, _, hidden = self.open.pop()
-        self.links -= tag == "a"
-        self.hidden -= hidden
-
-    def close_to(self, tag: str) -> None:
-        while self.open:
-            last = self.open[-1][0]
-            self.pop()
-            if last == tag:
+    def close(self, last: Element) -> None:
+        """Close the open elements up to last."""
+        while True:
+            gone = self.at
+            self.at = gone.parent
+            self.count[gone.tag] -= 1
+            self.hidden -= gone.hidden
+            if gone is last:
                 return
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self.border()
-        if tag in CLOSES_P:
-            self.end_open({"p"}, BLOCK - {"p"})
+        if tag in CLOSES_P and self.at and self.at.block and self.at.block.tag == "p":
+            self.close(self.at.block)
         if tag in ENDS:
-            self.end_open(ENDS[tag], {"ul", "ol", "dl", "table", "select", "menu"})
+            near = self.at and self.at.special
+            while near and near.tag not in ENDS[tag] and near.tag not in _LISTS:
+                near = near.parent and near.parent.special
+            if near and near.tag in ENDS[tag]:
+                self.close(near)
         if tag in ("br", "hr", "img"):
             self.text.append(" ")
         if tag in VOID:
@@ -102,35 +135,29 @@ class Blocks:
             if name in ("class", "id", "role", "aria-label", "itemprop"):
                 words |= {_HINT.get(w.lower()) for w in _TOKEN.findall("".join(values))}
             away |= name == "hidden" or name == "style" and "display:none" in "".join(values).replace(" ", "").lower()
-        self.open.append((tag, frozenset(words - {None}), away))
-        self.links += tag == "a"
+        self.at = Element(tag, frozenset(words - {None}), away, self.at)
+        self.count[tag] += 1
         self.hidden += away
 
-    def end_open(self, names: set, stop: set | frozenset) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in stop:
-                return
-
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.border()
-        if any(x[0] == tag for x in self.open):
-            self.close_to(tag)
+        if self.count[tag]:
+            last = self.at
+            while last.tag != tag:
+                last = last.parent
+            self.close(last)
 
     def data(self, data: str) -> None:
         if data and not self.hidden:
             if "&" in data:
                 data = unescape(data)
             self.text.append(data)
-            if self.links:
+            if self.count["a"]:
                 self.linked += len(data.strip())
 
 
-def leaf_blocks(html: str) -> list[tuple[list, str, int]]:
+def leaf_blocks(html: str) -> list[tuple[Element | None, str, int]]:
     page, at = Blocks(), 0
     while tag := _TAG.search(html, at):
         page.data(html[at : tag.start()])
@@ -161,17 +188,14 @@ _SIGNS = {
 }
 
 
-def features(blocks: list[tuple[list, str, int]]) -> list[list[str]]:
+def features(blocks: list[tuple[Element | None, str, int]]) -> list[list[str]]:
     """Names of the features that each block has."""
     out, n = [], len(blocks)
-    for k, (chain, text, linked) in enumerate(blocks):
-        tags = [t for t, _, _ in chain if t not in ("html", "body")]
-        found = {"bias", f"leaf={next((t for t in reversed(tags) if t in BLOCK), 'none')}"}
-        found |= {f"in={t}" for t in tags if t in BLOCK or t in ("a", "b", "strong", "em", "label")}
-        found |= {f"hint={h}" for _, hints, _ in chain for h in hints}
-        if "article" in tags or "main" in tags:
-            inner = tags[max(i for i, t in enumerate(tags) if t in ("article", "main")) + 1 :]
-            found |= {"inmain"} | {f"inmain+{t}" for t in inner if t in ("header", "footer", "aside", "nav", "form", "section", "ul")}
+    for k, (at, text, linked) in enumerate(blocks):
+        found = {"bias", f"leaf={at.leaf if at else 'none'}"}
+        if at:
+            found |= at.found
+            found |= at.inner or frozenset()
         words = text.count(" ") + 1
         found.add(f"words={min(6, words.bit_length())}")
         density = linked / max(1, len(text))
@@ -380,7 +404,9 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html): the main text, blocks joined by line feeds.
 
     White space inside a block becomes one space. A null or empty html, or a page without main text, gives an empty text.
-    Markup that doesn't close is closed where the standard's rules or the end close it. Other columns are ignored.
+    Markup that doesn't close is closed where the standard's rules or the end close it. Pages of any length are read whole, in
+    time that grows with their length at any depth of nesting. Repeated rows each get a row; other columns are ignored; an
+    empty table gives an empty result.
     """
     model = model or default_model()
     kinds = dict(pages.dtypes)

@@ -3,7 +3,7 @@
 Texts are read as UTF-8 bytes in windows of fixed length that overlap by the filters' width. Filters of several widths over
 learned byte vectors are max-pooled over a window, and a softmax layer gives its languages; a text's distribution is the
 mean over its windows, weighted by their bytes. The network is fitted on a bounded sample of labelled texts (fit's
-parameters per_language and most_languages); prediction covers every byte of every text.
+parameters per_language and per_text); prediction covers every byte of every text.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import buffers, in_batches
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 128, (2, 3, 4), 8, 6
-#: Bound of the labelled sample: texts of each language, windows of each text, and languages.
-PER_LANGUAGE, PER_TEXT, MOST_LANGUAGES = 700, 3, 64
+#: Bound of the labelled sample: texts of each language, windows of each text, and texts of all languages (with many, each gives fewer, ten at least).
+PER_LANGUAGE, PER_TEXT, SAMPLE = 700, 3, 45_000
 UNKNOWN = "und"
 
 
@@ -106,10 +106,12 @@ def cut_windows(data: np.ndarray) -> np.ndarray:
 
 def sample_windows(docs: DataFrame, label: str, per_language: int, per_text: int) -> Iterator[tuple[bytes, str]]:
     """Windows of about per_language texts of each label, chosen by a hash of doc_id; from each text those at hashed places."""
-    counts = docs.groupBy(label).count()
-    rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
+    counts = docs.groupBy(label).agg(F.count("*").alias("count"))
+    each = min(per_language, max(10, SAMPLE // max(1, counts.count())))
+    rate = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count"))
+    # counts has a row for each language, as the network's last layer has, so it fits wherever the network does
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = docs.join(F.broadcast(counts.orderBy(F.desc("count"), label).limit(MOST_LANGUAGES)), label).where(chance < rate)
+    picked = docs.join(F.broadcast(counts), label).where(chance < rate)
 
     def run(batches):
         for batch in batches:
@@ -130,8 +132,9 @@ def sample_windows(docs: DataFrame, label: str, per_language: int, per_text: int
 def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> Network | None:
     """The network for docs (doc_id, text, label); None without a labelled text.
 
-    It learns from about per_language texts of each of the MOST_LANGUAGES most frequent labels, per_text windows of each:
-    that bound holds for any size of docs. Null labels and texts are left out.
+    It learns from about per_language texts of each label, fewer with more than 64 labels (SAMPLE), per_text windows of each:
+    that bound holds for any size of docs, and no label is left out. Null labels and texts are. Repeated rows are sampled
+    together, as a hash of doc_id decides.
     """
     found = sample_windows(docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", label), label, per_language, per_text)
     if not found:
@@ -150,8 +153,9 @@ def predicted(docs: DataFrame, network: Network | None, keep: tuple[str, ...] =
 
     keep names further columns of docs to hand on.
 
-    A null text or one without a letter is `und` with score 0, and so is all without a network. Only the text decides.
-    Repeated rows each get a row; columns that keep doesn't name are ignored.
+    A null or empty text or one without a letter is `und` with score 0, and so is all without a network. Only the text decides;
+    of languages with equal probability the first by name is taken. Texts of any length are read whole, in windows. Repeated
+    rows each get a row; columns that keep doesn't name are ignored; an empty table gives an empty result.
     """
     names = network.languages if network else []
 
@@ -187,9 +191,10 @@ def predicted(docs: DataFrame, network: Network | None, keep: tuple[str, ...] =
             langs = [x if ok else UNKNOWN for x, ok in zip(langs, letters, strict=True)]
             scores = [x if ok else 0.0 for x, ok in zip(scores, letters, strict=True)]
             more = [batch.column(3 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=["doc_id", "lang_pred", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=["doc_id", "lang_pred", "score", *held])
 
+    held = [f"c{k}" for k in range(len(keep))]
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"`{c}` {kinds[c]}" for c in keep)])
-    given = docs.select(F.col("doc_id").cast("long"), "text", has_letter(F.col("text")).alias("letter"), *(F.col(c).alias(f"_{c}") for c in keep))
-    return in_batches(given, run, schema)
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"{h} {kinds[c]}" for c, h in zip(keep, held, strict=True))])
+    given = docs.select(F.col("doc_id").cast("long"), "text", has_letter(F.col("text")).alias("letter"), *(F.col(c).alias(h) for c, h in zip(keep, held, strict=True)))
+    return in_batches(given, run, schema).select("doc_id", "lang_pred", "score", *(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)))

@@ -4,14 +4,15 @@
    40 band keys of five minima each, and the low byte of each minimum as its signature.
 2. Documents with one fingerprint are one class; only the first of a class goes on, so exact copies cost one grouped minimum.
 3. Within a bucket (a band key) no pairs are listed. Its leader is the member that shares most with all others (the sum of
-   the sizes of its buckets); every member meets its buckets' leaders. Pairs whose signatures agree are checked on the full
-   sets, and components of these links are found.
+   the sizes of its buckets); every member meets its buckets' leaders. Signatures are verified first; only for pairs that
+   pass are the full sets made and compared, and components of these links are found.
 4. Groups of a leader with members in different components are searched for the links that are left: members outside the
    group's largest component against all, in tiles of bounded size. A tile knows each member by how its set differs from the
    leader's, which gives exact intersections; it returns links only, one per document and component.
 
 With similarity 0.8 a pair shares no bucket with a chance of (1 - 0.8^5)^40 = 1.3e-7. A pair (member, leader) whose signatures
-agree on less than similarity - 0.18, over six standard deviations, is no link with a chance of 1 - 1e-8.
+agree on less than similarity - 0.18, over six standard deviations, is no link with a chance of 1 - 1e-8; if it is one, step 4
+still finds it where its members end in different components.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import asked_rows, cut, drop_since, gram_hashes, hashed_documents, in_batches, mix, signed, written
+from ..tables import Scratch
+from .common import asked_rows, gram_hashes, hashed_documents, in_batches, mix, signed
 from .components import components
 
 HASHES, ROWS = 200, 5
@@ -74,7 +76,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     [
                         batch.column(0).take(pa.array([k for k, _ in part])),
                         pa.array([len(x) for _, x in part], pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in part], pa.binary()),
+                        pa.array([_print(x) for _, x in part], pa.binary()),
                         pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary()),
                         pa.array(list(signed(band_keys(least))), pa.list_(pa.int64())),
                     ],
@@ -84,19 +86,24 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
+def _print(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, items): the sorted distinct shingles of every document as packed 64-bit hashes."""
+    """(doc_id, items) for docs (doc_id, text, print): the sorted distinct shingles as packed 64-bit hashes, of rows with that fingerprint."""
 
     def run(batches):
         for batch in batches:
-            items = [shingles(words, n).tobytes() for _, words in hashed_documents(batch.column(1), lower=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.large_binary()).cast(pa.binary())], names=["doc_id", "items"])
+            items = [shingles(words, n) for _, words in hashed_documents(batch.column(1), lower=True)]
+            own = pa.array([k for k, (x, p) in enumerate(zip(items, batch.column(2).to_pylist(), strict=True)) if _print(x) == p], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array([items[k].tobytes() for k in own.to_pylist()], pa.large_binary()).cast(pa.binary())], names=["doc_id", "items"])
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, items binary")
+    return in_batches(docs.select("doc_id", "text", "print"), run, "doc_id long, items binary")
 
 
-def _estimated(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose signatures agree well enough, with the estimate."""
+def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose signatures in marks (doc_id, signature) agree well enough."""
     chance = 1 / 256
 
     def run(batches):
@@ -105,13 +112,13 @@ def _estimated(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFra
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
                 e = ((a == b).mean(axis=1) - chance) / (1 - chance)
                 keep = np.flatnonzero(e >= similarity - SLACK)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(e[keep], pa.float64())], names=["u", "v", "estimate"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["u", "v"])
 
     left, right = (marks.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}")) for k in "uv")
-    return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long, estimate double")
+    return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, prints: DataFrame, n: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) with how u's set differs from v's: sizes, what v has and u hasn't (missing), the symmetric difference, and whether they are linked."""
     percent = round(100 * similarity)
 
@@ -128,25 +135,30 @@ def _compared(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> D
                 columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["u", "v", "size", "leader_size", "missing", "differ", "linked"])
 
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
-    sets = cut(shingle_sets(asked_rows(docs, asked).dropDuplicates(["doc_id"]), n), "sets")
+    asked = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(prints, "doc_id"), "asked")
+    sets = scratch.cut(shingle_sets(asked_rows(docs, asked), n).dropDuplicates(["doc_id"]), "sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
     return in_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
 
 
-def _searched(compared: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between members of one leader's group that lie in different components."""
-    percent = round(100 * similarity)
-    member = compared.select("v", "u", "size", "leader_size", "missing", "differ").join(group, F.col("u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "u")).drop("node")
+def _mixed_groups(met: DataFrame, group: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of met (u, v: leader): the groups with members of more than one component, and their members with component and block."""
+    member = met.join(group, F.col("u") == F.col("node"), "left").withColumn("component", F.coalesce("component", "u")).drop("node")
     parts = member.groupBy("v", "component").count()
     parts = parts.groupBy("v").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("many"), F.count("*").alias("kinds")).where("kinds > 1")
-    parts = cut(parts.select("v", "main", F.expr(f"many div {TILE} + 1").alias("blocks")), "groups")  # a table, so that Spark can split a large group in the join
-    member = cut(member.join(parts, "v").withColumn("block", F.pmod(F.xxhash64("u", "v"), F.col("blocks"))), "searched")
+    parts = scratch.cut(parts.select("v", "main", F.expr(f"many div {TILE} + 1").alias("blocks")), "groups")  # a table, so that Spark can split a large group in the join
+    return parts, scratch.cut(member.join(parts, "v").withColumn("block", F.pmod(F.xxhash64("u", "v"), F.col("blocks"))), "mixed")
+
+
+def _searched(member: DataFrame, compared: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between members of one leader's group that lie in different components."""
+    percent = round(100 * similarity)
+    member = scratch.cut(member.join(compared.drop("linked"), ["u", "v"]), "searched")
     every = F.expr("explode(sequence(0L, blocks - 1))")
     columns = ("v", "u", "size", "leader_size", "missing", "differ", "component")
     # as many blocks of those that ask as of those that are asked: a tile is one of each
     asking = member.where("component <> main").select(*columns, F.col("block").alias("row"), every.alias("column"), F.lit(True).alias("asks"))
-    rows = cut(asking.select("v", "row").distinct().groupBy("v").agg(F.collect_set("row").alias("rows")), "rows")
+    rows = scratch.cut(asking.select("v", "row").distinct().groupBy("v").agg(F.collect_set("row").alias("rows")), "rows")
     asked = member.join(rows, "v").select(*columns, F.explode("rows").alias("row"), F.col("block").alias("column"), F.lit(False).alias("asks"))
 
     def tile(pdf):
@@ -175,36 +187,48 @@ def _searched(compared: DataFrame, group: DataFrame, similarity: float) -> DataF
     return asking.unionByName(asked).groupBy("v", "row", "column").applyInPandas(tile, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
 
     Words are runs of other than the six white-space characters, A-Z folded. Two documents are linked if the Jaccard
     similarity of their shingle sets reaches similarity; component_id is the least doc_id that can be reached.
     A document with fewer words than a shingle is one shingle; one without words (empty or null) is linked with nothing.
-    Rows with a null doc_id can't be linked or named: component_id is null and kept is true. Rows that repeat a doc_id
-    each get a row. Other columns of docs are ignored; an empty table gives an empty result.
+    Texts of any length are read whole. Rows with a null doc_id can't be linked or named: component_id is null and kept is true.
+    Rows that repeat a doc_id each get a row, all with the id's component; if their texts differ, the one with the least
+    fingerprint is compared for the id. Other columns of docs are ignored; an empty table gives an empty result.
     """
-    mark = written()
+    scratch = Scratch(docs.sparkSession, "near-duplicates", scratch)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = cut(sketches(docs, shingle), "sketches")  # bands and signatures; the last join reads three columns of it
+    marks = scratch.cut(sketches(docs, shingle), "sketches")  # bands and signatures; the last join reads three columns of it
     whole = marks.where("n_shingles > 0 and doc_id is not null")
-    classes = whole.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    first = cut(whole.join(classes, ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id", "print"]), "first")
+    prints = scratch.cut(whole.groupBy("doc_id").agg(F.min("print").alias("print")), "prints")
+    classes = scratch.cut(prints.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "classes")
+    first = scratch.cut(whole.join(classes, ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "first")
     member = first.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = cut(member.groupBy("bucket").count().where("count > 1"), "buckets")
-    member = cut(member.join(sizes, "bucket"), "members")
+    sizes = scratch.cut(member.groupBy("bucket").count().where("count > 1"), "buckets")
+    member = scratch.cut(member.join(sizes, "bucket"), "members")
     central = member.groupBy("doc_id").agg(F.sum("count").alias("central"))
     leaders = member.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus")))["minus"].alias("minus"))
-    leaders = cut(leaders.select("bucket", (-F.col("minus")).alias("v")), "leaders")
-    met = cut(member.join(leaders, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "met")
-    compared = cut(_compared(met, docs, shingle, similarity), "compared")
-    near = _estimated(met, first, similarity).select("u", "v")
-    links = cut(compared.where("linked").join(near, ["u", "v"], "left_semi").select("u", "v"), "links")
-    group = cut(components(links), "placed")
-    links = links.unionByName(_searched(compared, group, similarity))
-    group = components(cut(links, "links"))
-
-    named = cut(classes.select("print", F.col("doc_id").alias("node")).join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "named")
-    drop_since(docs.sparkSession, mark, marks, named)
-    out = marks.join(named, (marks["print"] == named["print"]) & (marks.n_shingles > 0) & marks.doc_id.isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    leaders = scratch.cut(leaders.select("bucket", (-F.col("minus")).alias("v")), "leaders")
+    met = scratch.cut(member.join(leaders, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "met")
+    near = scratch.cut(verified(met, first, similarity), "near")
+    scratch.keep_only(marks, prints, classes, met, near)
+    compared = scratch.cut(_compared(near, docs, classes, shingle, similarity, scratch), "compared")
+    links = scratch.cut(compared.where("linked").select("u", "v"), "links")
+    group = components(links, scratch)
+    parts, mixed = _mixed_groups(met, group, scratch)
+    scratch.keep_only(marks, prints, classes, links, compared, parts, mixed)
+    rest = scratch.cut(mixed.select("u", "v").join(compared.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    known = compared.unionByName(_compared(rest, docs, classes, shingle, similarity, scratch))
+    links = scratch.cut(links.unionByName(known.where("linked").join(rest, ["u", "v"], "left_semi").select("u", "v")).unionByName(_searched(mixed, known, similarity, scratch)), "links")
+    group = components(links, scratch)
+
+    named = classes.withColumnRenamed("doc_id", "node").join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
+    named = scratch.cut(prints.join(named, "print").select("doc_id", "component"), "named")
+    out = scratch.cut(marks.select("doc_id", "n_shingles"), "rows")
+    scratch.keep_only(out, named)
+    return (
+        out.join(named.withColumnRenamed("doc_id", "node"), (F.col("doc_id") == F.col("node")) & (F.col("n_shingles") > 0), "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import md5_unit, n_words
+from ..tables import Scratch
+from .common import free_names, md5_unit, n_words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -17,7 +18,8 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
     Sources by code point, null last, get weights in turn and share the sum of all sizes by them. A target stops at most
     times its source's size; the excess is shared anew by weight until none is above. In the order of cap by weight the
-    capped sources come first, so running sums give all shares at once. The windows run over one row per source.
+    capped sources come first, so running sums give all shares at once. The windows run in one task
+    over one row per source: good for millions of sources, not for one source per document.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     table = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
@@ -35,16 +37,26 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     )
 
 
-def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs (doc_id, text, source, ...) with size, source_size, target and copies; columns of these names are replaced.
+def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, source_size, target) for docs (source, size): sizes are summed by source and a part of the source's rows first."""
+    return targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+
+
+def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, scratch: Scratch | None = None) -> DataFrame:
+    """docs (doc_id, text, source, ...) with size, source_size, target and copies; columns of these names are replaced, all others stay.
 
     size is the number of words (null text: none). The rate of a source is target / source_size; a document is taken
     floor(rate) times, and once more if its hash draw, from seed and doc_id alone, is below the fraction. Sources without
-    words have rate 0. Rows that repeat a doc_id draw alike; a null doc_id draws as the empty string does.
+    words have rate 0. Rows that repeat a doc_id draw alike; a null doc_id draws as the empty string does. Texts may be of any
+    length. An empty table gives an empty result. The targets' table has one row per source and is written once, so that the
+    join can be dealt by source and a hot source split.
     """
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
-    rates = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    joined = docs.join(rates.withColumnRenamed("source", "mixed_source"), F.col("source").eqNullSafe(F.col("mixed_source")), "left").drop("mixed_source")
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
+    docs = docs.select(*names).withColumn("size", n_words(F.col("text")))
+    scratch = Scratch(docs.sparkSession, "mixing", scratch)
+    (of,) = free_names([*docs.columns, "source_size", "target", "copies"], "of_source")
+    found = scratch.cut(rates(docs, weights, most), "targets").withColumnRenamed("source", of)
+    joined = docs.join(found, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return joined.withColumn("copies", (F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
@@ -53,11 +65,11 @@ def draw(seed: str) -> Column:
     return md5_unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
-    names = docs.columns
-    taken = with_copies(docs, seed, weights, most).where("copies > 0")
-    return taken.withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).select(*names)
+def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, scratch: Scratch | None = None) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of docs, whatever their names."""
+    given = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    taken = with_copies(given, seed, weights, most, scratch).where("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select("row.*")
 
 
 ORACLE_SQL = """

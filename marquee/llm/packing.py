@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches
+from ..tables import Scratch
+from .common import free_names, in_batches
 
 CAPACITY, END = 2048, 1
 #: Remainders of a length that one task numbers, about.
@@ -146,24 +147,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, np
     return {k: np.array(v, np.int64) for k, v in out.items()}, sequence
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """parts (doc_id, start, length, ...) with sequence_id and offset. parts is read several times: give a written table.
 
     Pieces of capacity get the sequences after those of the plan. Numbering runs by hash parts of a length, whose sizes are
-    summed up before, so that no task holds a length. An empty table gives an empty result. Rows that repeat doc_id and
-    start are told apart by the order they come in within a part; a null doc_id is numbered like any other.
+    summed up before, so that no task holds a length; it moves whole rows, so
+    that payloads are better left out and joined or kept apart. Columns sequence_id and offset are replaced, all others stay,
+    whatever their names. An empty table gives an empty result. Rows that repeat doc_id and start are told apart by a hash of
+    their other columns; rows that tie there too are alike, and either may come first. A null doc_id is numbered like any other.
     """
+    scratch = Scratch(parts.sparkSession, "packing", scratch)
+    names = [c for c in parts.columns if c.lower() not in ("sequence_id", "offset")]
+    plain = [c for c in names if c not in ("doc_id", "start", "length") and not dict(parts.dtypes)[c].startswith(("map", "variant"))]
     sizes = parts.groupBy("length").count()
     counts = {r["length"]: r["count"] for r in sizes.where(F.col("length") <= capacity).collect()}  # capacity rows at most
     full = counts.pop(capacity, 0)
     lengths, base = plan(counts, capacity)
     hashed = max(64, max([full, *counts.values()], default=0) // part_rows + 1)
-    parts = parts.drop("sequence_id", "offset").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(hashed)))
-    before = cut(parts.groupBy("length", "part").count(), "length-sizes").withColumn(
-        "before", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
-    within = F.row_number().over(W.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_last(), "start"))
-    numbered = parts.withColumn("number", within).join(before.drop("count"), ["length", "part"]).withColumn("number", (F.col("number") - 1 + F.col("before")).cast("long")).drop("part", "before")
+    at, tie, number, first, of, p, spot = free_names([*names, "sequence_id", "offset"], "part", "tie", "number", "before", "of_length", "of_part", "place")
+    dealt = parts.select(*names).withColumn(at, F.pmod(F.xxhash64("doc_id", "start"), F.lit(hashed))).withColumn(tie, F.xxhash64(*plain) if plain else F.lit(0))
+    before = dealt.groupBy(F.col("length").alias(of), F.col(at).alias(p)).agg(F.count("*").alias("n"))
+    before = scratch.cut(before.withColumn(first, F.coalesce(F.sum("n").over(W.partitionBy(of).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n"), "before")
+    within = F.row_number().over(W.partitionBy("length", at).orderBy(F.col("doc_id").asc_nulls_last(), "start", tie))
+    numbered = dealt.withColumn(number, within).join(before, (F.col("length") == F.col(of)) & (F.col(at) == F.col(p)))
+    numbered = numbered.withColumn(number, (F.col(number) - 1 + F.col(first)).cast("long"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, number):
@@ -173,11 +180,11 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROW
         sequence, offset = number + base, np.zeros(len(number), np.int64)
         for k in np.unique(length):
             if k in lengths:
-                at, steps = np.flatnonzero(length == k), lengths[k]
-                row = steps[np.searchsorted(steps[:, 0], number[at], "right") - 1]
-                past = number[at] - row[:, 0]
-                sequence[at] = row[:, 1] + past // row[:, 2]
-                offset[at] = row[:, 3] + past % row[:, 2] * k
+                rows, steps = np.flatnonzero(length == k), lengths[k]
+                row = steps[np.searchsorted(steps[:, 0], number[rows], "right") - 1]
+                past = number[rows] - row[:, 0]
+                sequence[rows] = row[:, 1] + past // row[:, 2]
+                offset[rows] = row[:, 3] + past % row[:, 2] * k
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return numbered.withColumn("place", place("length", "number")).select("*", "place.sequence_id", "place.offset").drop("place", "number")
+    return numbered.withColumn(spot, place("length", number)).select(*names, F.col(f"{spot}.sequence_id").alias("sequence_id"), F.col(f"{spot}.offset").alias("offset"))

@@ -3,10 +3,13 @@
 Base rules count words and repetition. The method adds one score per text and a cutoff per stratum. The score is a sum of
 integer log odds over binned features, counted on one half of the labelled texts (by a hash of doc_id). The other half, the
 holdout, decides: for each stratum and each cutoff on a fixed grid, k of its n good texts that pass the base would be
-rejected, and the exact binomial probability of k or fewer rejections at a true rate of `risk` is the test's p value. A cutoff
-is safe if that is at most confidence's complement divided by the number of tests (all strata and cutoffs: Bonferroni).
-Each stratum takes its strictest safe cutoff, or none. So with the confidence given, in no stratum are more than `risk` of
-the good texts rejected.
+rejected, and the exact binomial probability of k or fewer rejections at a true rate of `risk` is the test's p value.
+
+Multiple testing: the cutoffs of a stratum are tested from the mildest on, each at the same level, and the first that fails
+ends the sequence (fixed-sequence testing), so the grid costs nothing; the level is `mistake` divided by the number of strata
+(Bonferroni). Each stratum takes its last cutoff before that, or none. So with probability 1 - mistake, in no stratum are more
+than `risk` of the good texts rejected. With the default risk of 5 % and four strata a cutoff needs 86 good texts in the
+stratum's holdout at least; a stratum with fewer keeps all that passes the base.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut
+from ..tables import Scratch
+from .common import SPACE, WORD, free_names
 
-RISK, MISTAKE = 0.02, 0.05
-#: A text's score is above -GRID * STEP for most; cutoffs lie at -STEP, -2 STEP, ... and texts below a cutoff go.
+RISK, MISTAKE = 0.05, 0.05
+#: Cutoffs lie at -GRID * STEP, ... 0, ... GRID * STEP, which spans the scores; texts below a cutoff go.
 GRID, STEP = 24, 500
 SMOOTH = 1.0
 
@@ -53,20 +57,20 @@ def repeated_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (doc_id, text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text has none of all."""
+    """docs (doc_id, text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text has none of all; columns of these names are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    w, x = free_names(docs.columns, "words", "lines")
     return (
-        docs.drop("_words", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        .withColumn("_words", words)
-        .withColumn("_lines", lines)
-        .withColumn("n_words", F.size("_words").cast("long"))
+        docs.withColumn(w, words)
+        .withColumn(x, lines)
+        .withColumn("n_words", F.size(w).cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_words")).cast("long"))
-        .drop("_words", "_lines")
+        .withColumn("n_dup_lines", (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        .withColumn("n_repeat_words", repeated_words(F.col(w)).cast("long"))
+        .drop(w, x)
     )
 
 
@@ -131,46 +135,49 @@ def score(of: dict[str, int]) -> Column:
     return sum(parts, F.lit(0)).cast("long")
 
 
-def cutoffs(holdout: DataFrame, stratum: str, risk: float = RISK, mistake: float = MISTAKE) -> DataFrame:
-    """(stratum, cutoff, tested, rejected, p_value): the strictest safe cutoff of each stratum that has one.
+def cutoffs(holdout: DataFrame, stratum: str, risk: float = RISK, mistake: float = MISTAKE, scratch: Scratch | None = None) -> DataFrame:
+    """(stratum, cutoff, tested, rejected, p_value): the last cutoff before the first unsafe one, of each stratum that has one.
 
-    holdout has score and stratum of good texts that pass the base; one row per stratum and grid point is all that the
-    tests see, whatever the number of texts.
+    holdout has score and stratum of good texts that pass the base; one row per stratum and cutoff is all that the tests see,
+    whatever the number of texts. Texts with a score equal to a cutoff stay.
     """
-    grid = F.array(*(F.lit(-STEP * (k + 1)) for k in range(GRID)))
-    cell = F.least(F.greatest(F.expr(f"(-score - 1) div {STEP}"), F.lit(0)), F.lit(GRID)).cast("int")
+    scratch = Scratch(holdout.sparkSession, "cutoffs", scratch)
+    cell = F.least(F.greatest(F.expr(f"floor((score + {GRID * STEP}) / {STEP}) + 1"), F.lit(0)), F.lit(2 * GRID + 1)).cast("int")  # cutoffs that a score reaches
     cells = holdout.groupBy(F.col(stratum).alias("stratum"), cell.alias("cell")).count()
-    per = cells.groupBy("stratum").agg(F.sum("count").alias("tested"), F.collect_list(F.struct("cell", "count")).alias("cells"))
-    tests = per.withColumn("strata", F.count("*").over(W.partitionBy())).select("*", F.posexplode(grid).alias("at", "cutoff"))
-    rejected = F.aggregate(F.filter("cells", lambda c: c["cell"] > F.col("at")), F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    per = scratch.cut(cells.groupBy("stratum").agg(F.sum("count").alias("tested"), F.collect_list(F.struct("cell", "count")).alias("cells")), "cells")
+    level = mistake / max(1, per.count())
+    tests = per.select("*", F.posexplode(F.array(*(F.lit(STEP * k) for k in range(-GRID, GRID + 1)))).alias("at", "cutoff"))
+    rejected = F.aggregate(F.filter("cells", lambda c: c["cell"] <= F.col("at")), F.lit(0).cast("long"), lambda a, c: a + c["count"])
     tests = tests.withColumn("rejected", rejected).withColumn("p_value", binomial_tail(F.col("rejected"), F.col("tested"), risk))
-    safe = tests.where(F.col("p_value") * GRID * F.col("strata") <= mistake)
-    best = F.max(F.struct("cutoff", "tested", "rejected", "p_value")).alias("best")
-    return safe.groupBy("stratum").agg(best).select("stratum", "best.*")
+    fails = F.min(F.when(F.col("p_value") > level, F.col("cutoff"))).over(W.partitionBy("stratum"))
+    safe = tests.withColumn("fails", fails).where("fails is null or cutoff < fails")
+    return safe.groupBy("stratum").agg(F.max(F.struct("cutoff", "tested", "rejected", "p_value")).alias("best")).select("stratum", "best.*")
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, mistake: float = MISTAKE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, mistake: float = MISTAKE, scratch: Scratch | None = None) -> DataFrame:
     """For every row of docs (doc_id, text, stratum column): doc_id, the counts, base_failed, kept, score, cutoff.
 
     labels (doc_id, quality: 1 good, 0 bad): those of docs whose md5(doc_id) starts with an even digit give the weights, the others are the
-    holdout. A null stratum is one of its own. kept is false if the base fails or the score is below the stratum's cutoff;
-    a stratum without a safe cutoff keeps what passes the base. Null texts fail the base. Labels that repeat a doc_id with
-    one quality count once, contradicting ones are left out; a null doc_id has no label. Empty tables work.
+    holdout. A null stratum is one of its own. kept is false if the base fails or the score is below the stratum's cutoff (a
+    tie stays); a stratum without a safe cutoff keeps what passes the base. Null texts fail the base. Labels that repeat a doc_id with
+    one quality count once, contradicting ones are left out; a null doc_id has no label. Rows that repeat a doc_id are judged
+    each by its own text and all count with the id's label. Texts of any length are read whole: a row needs memory for its own
+    words. Other columns are ignored. Empty tables work.
     """
+    scratch = Scratch(docs.sparkSession, "quality", scratch)
     rows = measured(docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("(none)")).alias("stratum")))
-    rows = cut(rows.withColumn("base_failed", base_failed()).withColumns(bins()).drop("text"), "features")  # small rows; texts are read once
+    rows = scratch.cut(rows.withColumn("base_failed", base_failed()).withColumns(bins()).drop("text"), "features")  # small rows; texts are read once
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     labelled = rows.join(known, "doc_id")
     half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int") % 2
     total = score(weights(labelled.where(half == 0)))
     holdout = labelled.where((half == 1) & (F.col("quality") == 1) & ~F.col("base_failed")).withColumn("score", total)
-    found = cutoffs(holdout, "stratum", risk, mistake).select("stratum", "cutoff")
+    found = scratch.cut(cutoffs(holdout, "stratum", risk, mistake, scratch).select("stratum", "cutoff"), "cutoffs")
     out = rows.withColumn("score", total).join(found, "stratum", "left")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "score", F.col("cutoff").cast("long").alias("cutoff"))
 
 
-
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '(none)') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -189,10 +196,11 @@ cnt AS (SELECT cell, split_part(cell, ':', 1) AS feature, count(*) FILTER (quali
 wt AS (SELECT cell, round(1000 * (ln((good + 1.0::DOUBLE) / (sum(good) OVER (PARTITION BY feature) + 2)) - ln((bad + 1.0::DOUBLE) / (sum(bad) OVER (PARTITION BY feature) + 2))))::BIGINT AS v FROM cnt),
 sc AS (SELECT u.r, coalesce(sum(v), 0)::BIGINT AS score FROM (SELECT r, unnest(cells) AS cell FROM b) u LEFT JOIN wt USING (cell) GROUP BY u.r),
 hold AS (SELECT stratum, score FROM lab JOIN sc USING (r) WHERE half = 1 AND quality = 1 AND NOT base_failed),
-tests AS (SELECT s.stratum, s.tested, s.strata, -500 * k AS cutoff, (SELECT count(*) FROM hold WHERE hold.stratum = s.stratum AND score < -500 * k) AS rejected
-  FROM (SELECT stratum, count(*) AS tested, count(*) OVER () AS strata FROM hold GROUP BY stratum) s, range(1, 25) g(k)),
-pv AS (SELECT *, (SELECT sum(exp(lgamma(tested + 1) - lgamma(j + 1) - lgamma(tested - j + 1) + j * ln(0.02) + (tested - j) * ln(0.98))) FROM range(0, rejected + 1) q(j)) AS p_value FROM tests),
-best AS (SELECT stratum, max(cutoff) AS cutoff FROM pv WHERE p_value * 24 * strata <= 0.05 GROUP BY stratum)
+tests AS (SELECT s.stratum, s.tested, s.strata, 500 * k AS cutoff, (SELECT count(*) FROM hold WHERE hold.stratum = s.stratum AND score < 500 * k) AS rejected
+  FROM (SELECT stratum, count(*) AS tested, count(*) OVER () AS strata FROM hold GROUP BY stratum) s, range(-24, 25) g(k)),
+pv AS (SELECT *, (SELECT sum(exp(lgamma(tested + 1) - lgamma(j + 1) - lgamma(tested - j + 1) + j * ln(0.05) + (tested - j) * ln(0.95))) FROM range(0, rejected + 1) q(j)) AS p_value FROM tests),
+seq AS (SELECT *, min(CASE WHEN p_value > 0.05 / strata THEN cutoff END) OVER (PARTITION BY stratum) AS fails FROM pv),
+best AS (SELECT stratum, max(cutoff) AS cutoff FROM seq WHERE fails IS NULL OR cutoff < fails GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score >= cutoff, TRUE) AS kept, score, cutoff::BIGINT AS cutoff
 FROM b JOIN sc USING (r) LEFT JOIN best USING (stratum)
 """

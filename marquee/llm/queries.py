@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, language_id, minhash, mixing, packing, quality_rules, sharding, substrings, tiff, url_rules
-from .common import cut, table
+from ..tables import Scratch
+from .common import table
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -38,7 +39,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"))
-    parts = cut(parts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    parts = Scratch(spark, "op5").cut(parts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
     return packing.packed(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -53,7 +54,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.kept_digest(substrings.substring_dedup(table(spark, sf_dir, "documents"), length=50))
+    return substrings.kept_digest(substrings.substring_dedup(table(spark, sf_dir, "documents"), length=50, lengths=True))
 
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +99,17 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+_CRC = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+OP6_SQL = f"""
+WITH t AS MATERIALIZED (SELECT {_CRC} AS crc),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, length(h) // 2 AS n, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS bytes FROM d),
+p AS (SELECT doc_id, n + 8 AS size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32,
+  ('0x' || substr(md5(k), 1, 5))::BIGINT % greatest(64, (SELECT count(*) FROM d) // {24 * sharding.SLOT_ROWS} + 1) AS part,
+  ({sharding.draws_sql(24)})::INT AS shard, ({sharding.draws_sql(25)})::INT AS grown_shard FROM b, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS LAST) - 1 AS slot, grown_shard FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_url_rules": OP10_SQL}
+    return {"op6_sharding": OP6_SQL, "op1_quality_rules": quality_rules.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_url_rules": OP10_SQL}

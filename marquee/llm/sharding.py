@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, md5_unit
+from ..tables import Scratch
+from .common import free_names, md5_unit
 
 #: name, racks: (name, shards: (number, weight))
 Tree = list[tuple[str, list[tuple[str, list[tuple[int, float]]]]]]
@@ -48,26 +49,50 @@ def with_shard(rows: DataFrame, key: Column, of: Tree, name: str) -> DataFrame:
     """rows with the shard of a string key as column name; a null key counts as the empty string. One level after the other."""
     key = F.coalesce(key, F.lit(""))
     weigh = lambda racks: sum(w for _, shards in racks for _, w in shards)
-    region, rack = F.col(f"{name}_region"), F.col(f"{name}_rack")
-    rows = rows.withColumn(f"{name}_region", _pick(key, [(r, weigh(racks)) for r, racks in of]))
-    rows = rows.withColumn(f"{name}_rack", _each(region, [_pick(key, [(f"{r}/{k}", weigh([(k, s)])) for k, s in racks]) for r, racks in of]))
+    a, b = free_names([*rows.columns, name], "region", "rack")
+    region, rack = F.col(a), F.col(b)
+    rows = rows.withColumn(a, _pick(key, [(r, weigh(racks)) for r, racks in of]))
+    rows = rows.withColumn(b, _each(region, [_pick(key, [(f"{r}/{k}", weigh([(k, s)])) for k, s in racks]) for r, racks in of]))
     leaves = [_each(rack, [F.element_at(F.array(*(F.lit(s) for s, _ in shards)), _pick(key, [(f"{r}/{k}/{s}", w) for s, w in shards]) + 1) for k, shards in racks]) for r, racks in of]
-    return rows.withColumn(name, _each(region, leaves)).drop(f"{name}_region", f"{name}_rack")
+    return rows.withColumn(name, _each(region, leaves)).drop(a, b)
 
 
-def sharded(docs: DataFrame, shards: int = BASE, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """docs with shard, slot and grown_shard (the shard with one more); columns of these names are replaced.
+def sharded(docs: DataFrame, shards: int = BASE, slot_rows: int = SLOT_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """docs with shard, slot and grown_shard (the shard with one more); columns of these names are replaced, all others stay.
 
     doc_id and the number of shards decide, nothing else: equal ids go to one shard, a null id counts as an empty key.
     slot numbers the rows of a shard without gaps from 0: rows are numbered within a hash part of a shard, and the parts'
-    sizes are summed up before; the number of parts follows the number of rows, so no task holds a shard.
+    sizes are summed up before; the number of parts follows the number of rows, so no task holds a shard. Within a part rows
+    go by doc_id, then by a hash of all columns: rows that tie in both are alike, and it makes no difference which comes first.
+    Texts may be null, empty or of any length. An empty table gives an empty result.
     """
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot", "grown_shard")]
+    plain = [c for c in names if not dict(docs.dtypes)[c].startswith(("map", "variant"))]  # what Spark can hash
+    at, first, tie, s, p = free_names([*names, "shard", "slot", "grown_shard"], "part", "before", "tie", "of_shard", "of_part")
     key = F.col("doc_id").cast("string")
-    names = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     placed = with_shard(with_shard(docs.select(*names), key, tree(shards), "shard"), key, tree(shards + 1), "grown_shard")
-    parts = max(64, placed.count() // (shards * slot_rows) + 1)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    sizes = cut(placed.groupBy("shard", "part").count(), "shard-sizes")
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(W.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_last()))
-    return placed.withColumn("slot", within).join(before, ["shard", "part"]).withColumn("slot", (F.col("slot") - 1 + F.col("before")).cast("long")).select(*names, "shard", "slot", "grown_shard")
+    scratch = Scratch(docs.sparkSession, "shards", scratch)
+    cell = F.conv(F.substring(F.md5(F.coalesce(key, F.lit(""))), 1, 5), 16, 10).cast("long")  # 20 bits
+    narrow = scratch.cut(placed.select(F.col("shard").alias("s"), cell.alias("h")).groupBy("s", "h").count(), "cells")
+    parts = max(64, (narrow.agg(F.sum("count")).first()[0] or 0) // (shards * slot_rows) + 1)
+    sizes = narrow.groupBy(F.col("s").alias(s), F.pmod("h", F.lit(parts)).alias(p)).agg(F.sum("count").alias("n"))
+    before = sizes.withColumn(first, F.coalesce(F.sum("n").over(W.partitionBy(s).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = scratch.cut(before, "before")
+    scratch.keep_only(before)
+    placed = placed.withColumn(at, F.pmod(cell, F.lit(parts))).withColumn(tie, F.xxhash64(*plain))
+    within = F.row_number().over(W.partitionBy("shard", at).orderBy(F.col("doc_id").asc_nulls_last(), tie))
+    placed = placed.withColumn("slot", within).join(before, (F.col("shard") == F.col(s)) & (F.col(at) == F.col(p)))
+    return placed.withColumn("slot", (F.col("slot") - 1 + F.col(first)).cast("long")).select(*names, "shard", "slot", "grown_shard")
+
+
+def draws_sql(shards: int) -> str:
+    """SQL for the shard of a string column k: the same draws, level by level."""
+    unit = lambda path: f"(('0x' || substr(md5('{path}:' || k), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    pick = lambda choices: choices[0][2] if len(choices) == 1 else "(list_max([" + ", ".join(f"{{'d': ln({unit(path)}) / {w}, 'c': {c}}}" for path, w, c in choices) + "])).c"
+    of, out = tree(shards), []
+    for r, racks in of:
+        leaf = lambda rack, found, r=r: pick([(f"{r}/{rack}/{s}", w, s) for s, w in found])
+        rack = pick([(f"{r}/{k}", sum(w for _, w in found), n) for n, (k, found) in enumerate(racks)])
+        out.append(f"CASE {rack} " + " ".join(f"WHEN {n} THEN {leaf(k, found)}" for n, (k, found) in enumerate(racks)) + " END")
+    region = pick([(r, sum(w for _, found in racks for _, w in found), n) for n, (r, racks) in enumerate(of)])
+    return f"CASE {region} " + " ".join(f"WHEN {n} THEN {x}" for n, x in enumerate(out)) + " END"

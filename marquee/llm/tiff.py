@@ -13,20 +13,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import BATCH_BYTES, free_names, in_batches
 
 #: Field types and tags of the TIFF 6.0 specification, fixed values.
 TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 16: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-PAGE = "page long, width long, height long, bits int, samples int, compression int, predictor int, pixels binary, feature string, error string"
+PAGE = "page long, width long, height long, bits long, samples long, compression long, predictor long, pixels binary, feature string, error string"
+#: Bytes of a decoded page that a task makes room for; a page that says it has more gets a row with an error.
+MOST_BYTES = 1 << 30
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -61,9 +64,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
     """Codes of 9 to 12 bits, high bits first; 256 clears, 257 ends; widths grow one code early."""
-    out, table, last = [], [], b""
+    out, table, last, size = [], [], b"", 0
     width, have, held = 9, 0, 0
     for byte in data:
         held, have = held << 8 | byte, have + 8
@@ -83,6 +86,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise ValueError("LZW code out of range")
         entry = table[code] if code < len(table) else last + last[:1]
         out.append(entry)
+        size += len(entry)
+        if size >= most:
+            break
         if last:
             table.append(last + entry[:1])
         last = entry
@@ -128,7 +134,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: Decoders of (bytes, most): each stops when it has as much as the part can hold.
+_DECODE = {NONE: lambda data, most: data[:most], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list], int]:
@@ -164,13 +175,15 @@ def _pixels(data: bytes, tags: dict[int, list], order: str) -> tuple[np.ndarray,
     if len(at) < across * down * sets or len(sizes) < len(at):
         raise ValueError("strips or tiles are missing")
     kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    if min(width, height, w, h, samples) < 1 or max(width * height, w * h) * samples * kind.itemsize > MOST_BYTES:
+        raise ValueError(f"{width} x {height} of {samples} samples")
     page = np.zeros((height, width, samples), kind)
     for k in range(across * down * sets):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _DECODE[coding](data[at[k] : at[k] + sizes[k]])
         line = -(-w * each * bits // 8)
+        raw = _DECODE[coding](data[at[k] : at[k] + sizes[k]], rows * line)
         if len(raw) < rows * line:
             raise ValueError("a strip or tile is too short")
         part = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
@@ -202,7 +215,8 @@ def feature(image: np.ndarray) -> str:
 def pages(data: bytes) -> Iterator[dict]:
     """A dict with PAGE's fields for each image directory; a file that is none gives one with an error.
 
-    Pixels come row by row, samples side by side, of 1, 2 or 4 bits as a byte each, wider ones in the file's byte order.
+    Pixels come row by row, samples side by side, of 1, 2 or 4 bits as a byte each, wider ones in the file's byte order. A
+    part is decoded up to what it can hold, so a small file can't fill a worker; numbers beyond 63 bits are cut to them.
     """
     empty = dict.fromkeys(("width", "height", "bits", "samples", "compression", "predictor", "pixels", "feature"))
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4] if data else b"")
@@ -218,7 +232,7 @@ def pages(data: bytes) -> Iterator[dict]:
         except struct.error as e:
             yield row | {"error": f"directory: {e}"}
             return
-        row |= {k: (tags.get(t) or [d])[0] for k, t, d in (("width", WIDTH, 0), ("height", HEIGHT, 0), ("bits", BITS, 1), ("samples", SAMPLES, 1), ("compression", COMPRESSION, NONE), ("predictor", PREDICTOR, 1))}
+        row |= {k: min(max((tags.get(t) or [d])[0], -1 << 63), (1 << 63) - 1) for k, t, d in (("width", WIDTH, 0), ("height", HEIGHT, 0), ("bits", BITS, 1), ("samples", SAMPLES, 1), ("compression", COMPRESSION, NONE), ("predictor", PREDICTOR, 1))}
         try:
             image = _pixels(data, tags, order)[0]
             row |= {"pixels": image.tobytes(), "feature": feature(image)}
@@ -259,22 +273,36 @@ def read_pages(files: DataFrame, key: str, content: str) -> DataFrame:
     """
     kind = dict(files.dtypes)[key]
     names = [x.split()[0] for x in PAGE.split(", ")]
+    kinds = [*[pa.int64()] * 7, pa.binary(), pa.string(), pa.string()]
+    (held,) = free_names(names, "key")
+
+    def flushed(batch, at, rows):
+        columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=[held, *names])
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows = list(pages(batch.column(1)[k].as_py() or b""))
-                columns = [pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=[key, *names])
-
-    return in_batches(files.select(key, content), run, f"`{key}` {kind}, {PAGE}")
+            at, rows, size = [], [], 0
+            for k, data in enumerate(batch.column(1)):
+                for row in pages(data.as_py() or b""):
+                    at.append(k)
+                    rows.append(row)
+                    size += len(row["pixels"] or b"")
+                    if size >= BATCH_BYTES or len(rows) >= 1024:
+                        yield flushed(batch, at, rows)
+                        at, rows, size = [], [], 0
+            if rows:
+                yield flushed(batch, at, rows)
+
+    found = in_batches(files.select(F.col(key).alias(held), content), run, f"{held} {kind}, {PAGE}")
+    return found.select(F.col(held).alias(key), *names)
 
 
 def stored_texts(docs: DataFrame, width: int = 64) -> DataFrame:
     """(doc_id, n_bytes, media): the UTF-8 bytes of every whole text, padded with 0 to whole rows of width, as a TIFF file.
 
-    A null text is empty; an empty one is a row of zeros.
+    A null text is empty; an empty one is a row of zeros. Texts of any length are stored whole; repeated rows each get a row,
+    alike for equal texts; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -284,6 +312,4 @@ def stored_texts(docs: DataFrame, width: int = 64) -> DataFrame:
                 media = [write_page(t.ljust(max(1, -(-len(t) // width)) * width, b"\0"), width) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    from pyspark.sql import functions as F
-
     return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")

@@ -39,14 +39,16 @@ def judged(urls: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     """(page_id, host, path, rule, verdict) for every row of urls (page_id, url) by rules (host, path, verdict).
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest (host and path together)
-    wins, of equally long ones block, then the least. Without a fitting rule rule is null and verdict is `otherwise`. A null
-    url, or one without ://, has empty host and path and meets no rule. Repeated rows each get a row; empty tables of
+    wins, of equally long ones block, then the least. Without a fitting rule rule is null and verdict is `otherwise`. A rule
+    with a null path fits all paths; one without host or verdict is none; repeated rules are one. A null url, or one without
+    ://, has empty host and path and meets no rule; urls may be of any length. Repeated rows each get a row; empty tables of
     urls or rules work; other columns are ignored. Memory: the rules open at one point of the sweep.
     """
     spark = urls.sparkSession
     urls = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("\x02"), F.lpad(F.hex(F.xxhash64("page_id", "path")), 16, "0")))
-    rules = rules.select(F.lower("host").alias("host"), "path", "verdict", reversed_host(F.lower("host")).alias("key")).where("key <> ''").distinct()
+    host = F.lower("host")
+    rules = rules.select(host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict", reversed_host(host).alias("key")).where("key <> '' and verdict is not null").distinct()
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sample = [r.key for r in urls.select("key", F.xxhash64("page_id", "host").alias("h")).orderBy("h").limit(SAMPLE * ranges).select("key").orderBy("key").collect()]
     cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []

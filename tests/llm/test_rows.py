@@ -58,6 +58,35 @@ def test_binomial_tail(spark):
     assert big == pytest.approx(0.01605, abs=5e-4)  # normal approximation
 
 
+def test_cutoffs_by_fixed_sequence(spark):
+    """Stratum a has a cutoff before its first unsafe one, b has too few texts, c is safe at every cutoff."""
+    from math import comb
+
+    rng = random.Random(12)
+    scores = {"a": [rng.randint(900, 5000) for _ in range(280)] + [-3000] * 5 + [-800] * 20, "b": [4000] * 60, "c": [20_000] * 200}
+    rows = [(k, s) for k, many in scores.items() for s in many]
+    got = {r.stratum: r for r in quality_rules.cutoffs(spark.createDataFrame(rows, "stratum string, score long"), "stratum").collect()}
+    tail = lambda k, n: sum(comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1))
+    want = {}
+    for name, many in scores.items():
+        for cutoff in range(-12_000, 12_001, 500):
+            k = sum(s < cutoff for s in many)
+            if tail(k, len(many)) > 0.05 / 3:
+                break
+            want[name] = (cutoff, len(many), k)
+    assert {k: (r.cutoff, r.tested, r.rejected) for k, r in got.items()} == want
+    assert set(want) == {"a", "c"} and want["a"][0] == -1000 and want["c"][0] == 12_000
+    for r in got.values():
+        assert r.p_value == pytest.approx(tail(r.rejected, r.tested), rel=1e-9)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
+def test_cutoffs_reject_rows_of_the_table(spark):
+    got = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.cutoff is not None for r in got) > 100
+    assert sum(not r.base_failed and not r.kept for r in got) > 10
+
+
 def test_quality_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a " * 60, None, None, 0), (None, None, "en", "s", 0), (2, "", "en", "s", 0)], DOCS).withColumn("score", quality_rules.F.lit("x"))
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
@@ -76,7 +105,7 @@ def test_html_of_long_attributes():
     page = f"<nav class='menu' data-state='{{&quot;{long}&quot;: \"> <p>\"}}'><a href=x>Menu</a></nav><article><p>Before <img src=\"data:image/png;base64,{long}\" alt='a > b'>after.</p></article>"
     blocks = html_extract.leaf_blocks(page)
     assert [t for _, t, _ in blocks] == ["Menu", "Before after."]
-    assert "menu" in blocks[0][0][0][1]
+    assert "hint=menu" in blocks[0][0].found
     assert [t for _, t, _ in html_extract.leaf_blocks(f"<p don't>One.</p><p title=\"{'x' * 9000}>Two.</p><p>Three <img src='data:{long}")] == ["One.", "Two.", "Three"]
     for part in ("<a b='>' ", '<a b="', "<a b=", "<a ", "<a b = '\"' "):
         began = time.process_time()
@@ -84,6 +113,60 @@ def test_html_of_long_attributes():
         assert time.process_time() - began < 5
 
 
+def test_html_of_deep_pages():
+    for page in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<span>" * 100_000 + "<div>x</div>" * 20_000, "<p><button>" + "<span>" * 50_000 + "<div>x</div></b>" * 20_000, "<ul><li>" * 50_000 + "x"):
+        began = time.process_time()
+        html_extract.features(html_extract.leaf_blocks(page))
+        assert time.process_time() - began < 5
+
+
+def test_html_keeps_formulas_and_fallbacks():
+    page = "<article><h1>A title here</h1><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is one more than x.</p><p>A film: <object data=f.swf>The film shows a cat.</object> It ends.</p></article>"
+    assert html_extract.main_text(page, html_extract.default_model()) == "A title here\nThe sum x+1 is one more than x.\nA film: The film shows a cat. It ends."
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
+def test_html_of_the_whole_table(spark):
+    """Every page's text against the blocks of its article, taken by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    away = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.text = [], [], ""
+
+        def border(self):
+            if self.text.strip():
+                self.out.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.BLOCK:
+                self.border()
+            if tag not in html_extract.VOID:
+                self.open.append(tag)
+            elif tag in ("br", "img"):
+                self.text += " "
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK:
+                self.border()
+            while tag in self.open and self.open.pop() != tag:
+                pass
+
+        def handle_data(self, data):
+            if "article" in self.open and not away & set(self.open):
+                self.text += data
+
+    for r in html_extract.extracted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        parser = Article()
+        parser.feed(r.html)
+        parser.border()
+        assert r.text == "\n".join(parser.out) and r.n_chars == len(r.text)
+
+
 def test_html_on_held_out_pages():
     model, right, all_ = html_extract.default_model(), 0, 0
     for html, labels in html_extract.labelled_pages(120, seed=991):
@@ -107,6 +190,7 @@ def test_html_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<p>"), (None, "u", "<article><p>Some text that is here.</p>")], "page_id long, url string, html string").selectExpr("*", "1 AS text")
     got = rows_of(html_extract.extracted(pages))
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (2, "u", "", 0), (None, "u", "Some text that is here.", 23)], key=str)
+    assert html_extract.extracted(pages.where("false")).count() == 0
 
 
 def test_language_network_gradients():
@@ -125,6 +209,39 @@ def test_language_network_gradients():
         p[at] = old
 
 
+def test_language_network_against_a_plain_convolution(spark):
+    """Filters of each width, their maxima over a window and the softmax, byte by byte; a text's distribution is the mean by bytes."""
+    rng = np.random.default_rng(4)
+    net = language_id.Network(["a", "b", "c"])
+    net.weights += rng.normal(0, 0.5, net.weights.shape).astype(np.float32)
+    net.offsets += rng.normal(0, 0.5, net.offsets.shape).astype(np.float32)
+
+    def window(w):
+        hidden = []
+        for k in range(net.filters.shape[1]):
+            width = language_id.WIDTHS[k // language_id.FILTERS]
+            f = net.filters[:, k].reshape(-1, language_id.DEPTH)[:width]
+            hidden.append(max(0.0, max(sum(float(net.vectors[w[p + j]] @ f[j]) for j in range(width)) for p in range(len(w) - max(language_id.WIDTHS) + 1)) + float(net.offsets[k])))
+        z = np.array(hidden) @ net.weights + net.bias
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    texts = ["short", "one two three " * 9, "longer text é " * 30]
+    got = {r.doc_id: r for r in language_id.predicted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    step = language_id.WINDOW - max(language_id.WIDTHS) + 1
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        starts = range(0, max(1, len(raw) - max(language_id.WIDTHS) + 1), step)
+        weights = [step] * (len(starts) - 1) + [max(1, len(raw) - step * (len(starts) - 1))]
+        p = sum(w * window(raw[s : s + language_id.WINDOW].ljust(language_id.WINDOW)) for s, w in zip(starts, weights, strict=True)) / sum(weights)
+        assert got[k].lang_pred == "abc"[p.argmax()] and got[k].score == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_no_label_is_left_out(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 90} " * 20, f"l{k % 90:02}", "s", 0) for k in range(900)], DOCS)
+    assert {lang for _, lang in language_id.sample_windows(docs, "lang", 700, 1)} == {f"l{k:02}" for k in range(90)}
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
 def test_language_held_out_accuracy(spark):
     got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out and lang is not null")
@@ -182,9 +299,34 @@ def test_mix_of_odd_tables(spark):
     assert mixing.mixed(docs.where("false")).count() == 0
 
 
+CLASHES = ("part", "before", "tie", "of_shard", "of_part", "of_length", "number", "place", "of_source", "mixed_source", "row", "copy", "region", "rack", "REGION", "n", "words")
+
+
+def clashing(df):
+    return df.select("*", *(mixing.F.lit(f"held {c}").alias(c) for c in CLASHES if c not in ("region",)))
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = clashing(spark.createDataFrame([(k, f"a b c {k}", "en", f"s{k % 2}", 0) for k in range(50)], DOCS))
+    names = [c for c in CLASHES if c != "region"]
+    parts = clashing(spark.range(50).selectExpr("id AS doc_id", "0L AS start", "5 + id AS length"))
+    for got in (sharding.sharded(docs), mixing.with_copies(docs), mixing.mixed(docs), packing.packed(parts)):
+        rows = got.collect()
+        assert len(rows) >= 40 and all(r[c] == f"held {c}" for r in rows for c in names)
+
+
+def test_slots_of_rows_that_tie(spark):
+    docs = spark.createDataFrame([(7, f"t{k}") for k in range(40)], "doc_id long, text string")
+    first = {r.text: r.slot for r in sharding.sharded(docs).collect()}
+    assert first == {r.text: r.slot for r in sharding.sharded(docs.repartition(7)).collect()} and sorted(first.values()) == list(range(40))
+    parts = docs.selectExpr("doc_id", "0L AS start", "100L AS length", "text")
+    first = {r.text: (r.sequence_id, r.offset) for r in packing.packed(parts).collect()}
+    assert first == {r.text: (r.sequence_id, r.offset) for r in packing.packed(parts.repartition(5)).collect()} and len(set(first.values())) == 40
+
+
 def test_shards(spark):
     docs = spark.createDataFrame([(k % 1990, f"t{k % 7}", "en", "s", 0) for k in range(2000)] + [(None, None, None, None, None)], DOCS).withColumn("part", sharding.F.lit(1))
-    got = sharding.sharded(docs.drop("part")).collect()
+    got = sharding.sharded(docs).collect()
     assert len(got) == 2001 and {r.shard for r in got} == set(range(24))
     for s in range(24):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
@@ -219,6 +361,51 @@ def test_fillings_are_tight():
     assert sum(k * n for k, n in packing.fillings({3: 2, 5: 1, 7: 1}, 10)[0][0].items()) == 10
 
 
+def test_fillings_against_all_subsets():
+    """A sequence's filling around the longest length has the least slack that any multiset of the others allows."""
+    from itertools import product
+
+    rng = random.Random(15)
+    for _ in range(60):
+        capacity = rng.randint(10, 40)
+        counts = {k: rng.randint(1, 3) for k in rng.sample(range(1, capacity), rng.randint(1, 5))}
+        left = dict(counts)
+        for used, times in packing.fillings(dict(counts), capacity):
+            for _ in range(times):
+                longest = max(k for k, n in left.items() if n)
+                others = {k: n - (k == longest) for k, n in left.items()}
+                sums = (sum(k * n for k, n in zip(others, pick, strict=True)) for pick in product(*(range(n + 1) for n in others.values())))
+                best = max(s for s in sums if s + longest <= capacity) + longest
+                assert used.get(longest) and sum(k * n for k, n in used.items()) == best
+                for k, n in used.items():
+                    left[k] -= n
+                if times > 1:
+                    break  # repeated uses are checked once: later ones see a smaller multiset
+            if times > 1:
+                for k, n in used.items():
+                    left[k] -= n * (times - 1)
+        assert not any(left.values())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
+def test_op5_over_the_whole_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = queries.op5_packing(spark, SF).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {d: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4") for d, t in texts.items()}
+    seen, at = Counter(), Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+        seen[r.doc_id] += r.length
+    assert seen == Counter({d: len(x) for d, x in ids.items()}) and max(at.values()) <= 2048
+    assert len(at) <= -(-sum(at.values()) // 2048) * 1.02 + 1
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -296,6 +483,54 @@ def test_tiff_tiles_bits_and_pages():
     assert [p["error"] for p in tiff.pages(b"nothing")] == ["not a TIFF file"]
 
 
+def test_tiff_of_malformed_files(spark):
+    import struct
+
+    def page(fields, body=b""):
+        out = b"II*\0" + struct.pack("<IH", 8, len(fields))
+        for tag, kind, value in fields:
+            out += struct.pack("<HHI", tag, kind, 1) + struct.pack(f"<{tiff.TYPES[kind][1]}", value).ljust(4, b"\0")
+        return out + struct.pack("<I", 0) + body
+
+    def plain(**more):
+        fields = {256: (4, 4), 257: (4, 4), 258: (3, 8), 259: (3, 8), 273: (4, 0), 277: (3, 1), 278: (4, 4), 279: (4, 0)}
+        fields |= {int(k[1:]): v for k, v in more.items()}
+        at = 10 + 12 * len(fields) + 4
+        bomb = zlib.compress(bytes(50_000_000))
+        fields |= {273: (4, at), 279: (4, len(bomb))}
+        return page([(t, *v) for t, v in sorted(fields.items())], bomb)
+
+    files = [plain(t258=(4, 0xFFFFFFFF)), plain(t277=(4, 0xFFFFFFFF)), plain(t259=(4, 0xFFFFFFF0)), plain(t256=(4, 0xFFFFFFFF), t257=(4, 0xFFFFFFFF)), plain(t256=(9, -4)), plain()]
+    rows = {r.k: r for r in tiff.read_pages(spark.createDataFrame(list(enumerate(files)), "k int, c binary"), "k", "c").collect()}
+    assert all(rows[k].error and rows[k].pixels is None for k in range(5))
+    assert rows[5].error is None and bytes(rows[5].pixels) == bytes(16)
+    assert len(tiff.inflate(zlib.compress(bytes(50_000_000)), 100)) == 100 and len(tiff.unpack_bits(b"\x81\0" * 10_000, 1000)) < 1200
+    assert len(tiff.lzw_decode(tiff.lzw_encode(bytes(500_000)), 1000)) < 3000
+
+
+def test_tiff_feature_against_a_loop():
+    rng = random.Random(3)
+    for height, width, samples in ((1, 64, 1), (9, 64, 1), (40, 17, 3), (64, 64, 1), (3, 2, 1)):
+        image = np.array([rng.randrange(256) for _ in range(height * width * samples)], np.uint8).reshape(height, width, samples)
+        cut = lambda n: [(k * n // 8, max((k + 1) * n // 8, k * n // 8 + 1)) for k in range(8)]
+        cells = [sum(float(image[y, x].mean()) for y in range(a, b) for x in range(c, d)) / ((b - a) * (d - c)) for a, b in cut(height) for c, d in cut(width)]
+        mean = sum(cells) / 64
+        if min(abs(c - mean) for c in cells) > 1e-9:
+            bits = "".join("1" if c > mean else "0" for c in cells)
+            assert tiff.feature(image) == f"{int(bits, 2):016x}"
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data here")
+def test_op9_media_and_features(spark):
+    for r in queries.op9_tiff(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        stored = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        media = tiff.write_page(stored, 64)
+        (page,) = tiff.pages(media)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and page["pixels"] == stored
+        assert r.feature == tiff.feature(np.frombuffer(stored, np.uint8).reshape(-1, 64, 1))
+
+
 def test_tiff_of_texts(spark):
     texts = [None, "", "a", "é" * 64, "x" * 64, "y" * 65, "long " * 9000]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "a")], "doc_id long, text string").selectExpr("*", "1 AS media", "1 AS page")
@@ -335,6 +570,8 @@ def test_url_rules_against_a_loop(spark):
         best = sorted(best, key=lambda r: (r[2] != "block", r[0] + r[1]))[:1]
         want.append((k, h, path, best[0][0] + best[0][1] if best else None, best[0][2] if best else "allow"))
     assert got == sorted(want, key=str)
+    odd = spark.createDataFrame([("net", None, "block"), (None, "/", "block"), ("org", "/", None), ("net", None, "block")], "host string, path string, verdict string")
+    assert {r.page_id for r in url_rules.judged(spark.createDataFrame([(1, "x://a.net/q"), (2, "x://a.org/"), (3, "x://net" + "/y" * 50_000)], "page_id long, url string"), odd).collect() if r.verdict == "block"} == {1, 3}
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_rules.judged(spark.createDataFrame(urls, "page_id long, url string"), none).collect()} == {"allow"}
     assert url_rules.judged(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
