@@ -5,53 +5,79 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm import language_id, minhash, mixing, packing, substrings
-from marquee.llm.common import cut, drop_since, shared_dir, written
 from marquee.llm.queries import held_out
+from marquee.tables import Scratch, delete, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language is less probable than this is rejected.
-LEAST_SCORE = 0.3
+#: A text whose best language isn't so many times as probable as a guess among all languages is rejected.
+OVER_CHANCE = 1.2
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: `und` goes, and so does what no language fits; lang becomes the prediction."""
+    """Documents whose language is known: `und` goes, and so does what no language fits; lang becomes the prediction.
+
+    A null or empty text, or one without a letter, is `und`. Whole texts decide, of any length; ties go to the first language
+    by name. Rows with a null doc_id and rows that repeat one are judged like others. Without labelled texts there is no
+    network, and all rows are `und`. Further columns are left out; an empty table gives an empty result.
+    """
     network = language_id.fit(docs.where(~held_out()))
     found = language_id.predicted(docs, network, keep=("text", "source", "n_chars")).withColumnRenamed("lang_pred", "lang")
-    return found.where((F.col("lang") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    least = OVER_CHANCE / len(network.languages) if network else 1.0
+    return found.where((F.col("lang") != language_id.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8): the one with the least doc_id.
 
-    Of rows that repeat the kept doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat the kept doc_id the first by text, lang, source and n_chars stays (nulls last); rows with a null doc_id
+    all stay. Null and empty texts are like nothing and stay. Texts of any length count whole. Further columns are left out; an
+    empty table gives an empty result.
     """
-    mark = written()
-    groups = minhash.near_duplicates(docs)
-    kept = cut(groups.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    drop_since(spark, mark, kept)
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    with Scratch(spark, "near-duplicates") as scratch:
+        groups = minhash.near_duplicates(docs, scratch=scratch)
+        kept = Scratch(spark, "kept").cut(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    docs = docs.select(*COLUMNS)
+    held = docs.where("doc_id is not null").join(kept, "doc_id")
+    found = held.where("rows = 1").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    if not kept.where("rows > 1").isEmpty():  # else there is no second pass over the texts
+        order = W.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_last() for c in COLUMNS[1:]))
+        found = found.unionByName(held.where("rows > 1").withColumn("place", F.row_number().over(order)).where("place = 1").select(*COLUMNS))
+    return found
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one holds (50-word windows); those with nothing left go."""
+    """Documents without passages that an earlier one holds (50-word windows); those with nothing left go.
+
+    A document that loses nothing keeps its text as it is, null and empty ones too. A null doc_id is neither a source nor
+    changed; rows that repeat a doc_id don't remove each other. Texts of any length count whole. Further columns are left out;
+    an empty table gives an empty result.
+    """
     clean = substrings.substring_dedup(docs, length=50, keep=("lang", "source"))
     words = F.col("n_words") - F.col("n_removed")
     return clean.where((F.col("n_removed") == 0) | (words > 0)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's rate says."""
+    """Every document as often as its source's rate says.
+
+    A null source is a source; a null or empty text has no words, so it counts nothing and is taken at its source's rate. Rows
+    that repeat a doc_id draw alike; a null doc_id draws as the empty string does. Texts may be of any length. Further columns
+    are left out; an empty table gives an empty result.
+    """
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids, sequence and place; copies of a document are numbered by copy."""
-    parts = cut(packing.pieces(docs), "pieces")
-    return packing.packed(parts)
+    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); every copy of a document has pieces of its own.
+
+    A null or empty text is the end id alone. Texts of any length are cut into windows, none is dropped. Rows that repeat a
+    doc_id and null ones are packed like others. Other columns are left out; an empty table gives an empty result.
+    """
+    return packing.packed(Scratch(spark, "pieces").cut(packing.pieces(docs), "pieces"))
 
 
 STAGES = [
@@ -67,9 +93,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again; what a stage has read is deleted once its own rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return docs
