@@ -184,18 +184,22 @@ def repeated_lengths(stretches: DataFrame, length: int, scratch: Scratch) -> Dat
 
     stretches: (doc_id, first, end, id), windows first to end - 1, each found in two documents; id names its words.
     """
-    at = scratch.cut(stretches.dropDuplicates(["doc_id", "first"]), "stretches")
-    reach = []
+    own = Scratch(scratch.spark, "lengths", scratch)
+    at, reach = own.cut(stretches.dropDuplicates(["doc_id", "first"]), "stretches"), []
     while not at.isEmpty():
-        reach.append(scratch.cut(at.groupBy("doc_id").agg((F.max(F.col("end") - F.col("first")) - 1 + length).cast("long").alias("longest")), "reach"))
+        reach.append(own.cut(at.groupBy("doc_id").agg((F.max(F.col("end") - F.col("first")) - 1 + length).cast("long").alias("longest")), "reach"))
         right = at.select("doc_id", F.col("first").alias("end"), F.col("end").alias("to"), F.col("id").alias("then"))
-        twice = scratch.cut(at.join(right, ["doc_id", "end"]).select("doc_id", "first", F.col("to").alias("end"), F.xxhash64("id", "then").alias("id")), "twice")
-        kept = scratch.cut(_in_two(twice, "id").select("id"), "in-two")
-        at = scratch.cut(twice.join(kept, "id", "left_semi"), "stretches")
+        twice = own.cut(at.join(right, ["doc_id", "end"]).select("doc_id", "first", F.col("to").alias("end"), F.xxhash64("id", "then").alias("id")), "twice")
+        own.keep_only(twice, *reach)
+        kept = own.cut(_in_two(twice, "id").select("id"), "in-two")
+        at = own.cut(twice.join(kept, "id", "left_semi"), "stretches")
+        own.keep_only(at, *reach)
     every = reach[0] if reach else scratch.spark.createDataFrame([], "doc_id long, longest long")
     for more in reach[1:]:
         every = every.unionByName(more)
-    return scratch.cut(every.groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
+    found = scratch.cut(every.groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
+    own.close()
+    return found
 
 
 def words_kept(column: pa.Array, spans: Iterator[tuple[np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[int, int, bytes]]:
