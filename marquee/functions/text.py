@@ -25,8 +25,14 @@ CATALOGUE = (("standup", ("стендап", "stand-up")), ("festival", ("фес
 GENERIC = (("standup", ("стендап", "stand-up")), ("theatre", ("театр", "вистав")), ("festival", ("фестив",)), ("concert", ("концерт",)))
 MONTH_PAGE = (("concert", ("концерт",)), ("theatre", ("театр",)), ("standup", ("stand-up",)))
 DEFAULT_CATEGORY = "Інше"
-PRICE = r"(?iu)(\d[\d\s]*(?:-|–)\s*\d[\d\s]*\s*грн|\d[\d\s]*\s*грн|від\s*\d[\d\s]*\s*(?:₴|грн))"
-ENDED = r"(?iu)подія\s+закінчил(?:ась|ася)|event\s+ended|скасовано|перенесено|cancelled|transferred|продано"
+CARDS = (("standup", ("стендап", "stand-up", "stand up")), ("festival", ("фестив",)), ("theatre", ("театр", "вистав")), ("concert", ("концерт", "concert")), ("circus", ("цирк",)), ("children", ("дит",)))
+#: Parts of prices: a number with spaces, a range, the currency; fixed values.
+_NUMBER, _DASH, _HRYVNIA = r"\d[\d\s]*", "(?:-|–)", "грн"
+PRICE = rf"(?iu)({_NUMBER}{_DASH}\s*{_NUMBER}\s*{_HRYVNIA}|{_NUMBER}\s*{_HRYVNIA}|від\s*{_NUMBER}\s*(?:₴|{_HRYVNIA}))"
+#: Words that say an event is over, cancelled or moved, one vocabulary for each dialect; fixed values.
+LINE_ENDED = (r"подія\s+закінчилась", r"подія\s+закінчилася", r"event\s+ended", "скасовано", "перенесено")
+MONTH_PAGE_ENDED = ("скасовано", "перенесено", "cancelled", "transferred", "продано")
+CATALOGUE_ENDED = ("скасовано", "перенесено", "cancelled", "postponed")
 
 
 @F.pandas_udf(T.StringType())
@@ -76,6 +82,22 @@ def category_of(text: Column, ladder=CATALOGUE) -> Column:
     return out
 
 
+def any_pattern(words: tuple[str, ...]) -> str:
+    """One of the words, anywhere."""
+    return f"(?iu){'|'.join(words)}"
+
+
+def word_pattern(words: tuple[str, ...]) -> str:
+    """One of the words, standing alone."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])"
+
+
+def catalogue_price(text: Column) -> Column:
+    """A catalogue card's price: a range, an amount with what white space is before it, or "from" an amount."""
+    pattern = rf"(?iu){_NUMBER}\s*{_DASH}\s*{_NUMBER}\s*{_HRYVNIA}|[\d\s]+\s*{_HRYVNIA}|від\s*[\d\s]+\s*(?:₴|{_HRYVNIA})"
+    return F.nullif(squeezed(F.regexp_extract(text, pattern, 0)), F.lit(""))
+
+
 def price_of(text: Column) -> Column:
     return F.nullif(squeezed(F.regexp_extract(text, PRICE, 1)), F.lit(""))
 
@@ -125,3 +147,28 @@ def same_title(a: str, b: str) -> bool:
 def same_venue(a: str, b: str) -> bool:
     """Whether two normalised venues are variants; a missing one fits any."""
     return not a or not b or a in b or b in a or ratio(a, b) >= 0.80
+
+
+def event_card(title: Column, start: Column, venue: Column, prices: Column) -> Column:
+    """A card's text: title without its date, local day and time, venue or city, the distinct prices in order. start is UTC."""
+    from .timeutil import to_local
+
+    local = to_local(start)
+    shown = F.array_join(F.array_sort(F.array_distinct(F.filter(prices, lambda p: p.isNotNull() & (p != "")))), ", ")
+    return F.concat(
+        F.lit("🎟️ <b>"), bare_title(title), F.lit("</b>\n📅 "), F.coalesce(F.date_format(local, "dd.MM.yyyy"), F.lit("Дата уточнюється")),
+        F.lit("\n🕐 "), F.coalesce(F.date_format(local, "HH:mm"), F.lit("Час уточнюється")),
+        F.lit("\n📍 "), F.coalesce(F.nullif(venue, F.lit("")), F.lit(CITY.capitalize())), F.lit("\n"),
+        F.when(shown != "", F.concat(F.lit("💰 "), shown, F.lit("\n"))).otherwise(""),
+    )
+
+
+def reminder(title: Column, start: Column, venue: Column, price: Column, url: Column) -> Column:
+    """A reminder's text; lines whose value is missing or empty are left out. start is printed as it is."""
+    given = lambda c, made: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", made)
+    return F.concat_ws(
+        "\n", F.lit("🔔 <b>Нагадування про подію</b>"), F.lit(""), F.concat(F.lit("<b>"), title, F.lit("</b>")),
+        given(start, F.concat(F.lit("📅 "), F.date_format(start, "dd.MM.yyyy"), F.lit(" о "), F.date_format(start, "HH:mm"))),
+        given(venue, F.concat(F.lit("📍 "), venue)), given(price, F.concat(F.lit("💰 "), price)),
+        given(url, F.concat(F.lit('\n🎫 <a href="'), url, F.lit('">Купити квиток</a>'))),
+    )

@@ -15,6 +15,14 @@ DATE_IN_TEXT = rf"(?iu)(\d{{1,2}})\s+{_MONTH}(?:\s+(20\d{{2}}))?(?:\s*[,|—-]?\
 DATE_LINE = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(\d{{1,2}})\s+{_MONTH}\s+(?:(20\d{{2}})\s*[,—-]?\s*)?(\d{{1,2}}):(\d{{2}})(?!\p{{N}})"
 #: Numbers only: groups day, month, year, hour, minute.
 NUMERIC = r"(?<!\d)(\d{1,2})\.(\d{1,2})\.(20\d{2})\s+(\d{1,2}):(\d{2})"
+#: Numbers or a month's name, with a time, as generic cards have it; fixed pattern.
+GENERIC_DATE = rf"(?iu)(\d{{1,2}})[./-](\d{{1,2}})[./-](20\d{{2}})\s*(?:р\.?\s*)?(\d{{1,2}}):(\d{{2}})|(\d{{1,2}})\s+{_MONTH}(?:\s+(20\d{{2}}))?\s*(?:р\.?\s*)?(\d{{1,2}}):(\d{{2}})"
+#: A weekday's name or an apostrophe may stand between, and twelve characters before the time, as catalogue cards have it; fixed pattern.
+CATALOGUE_DATE = rf"(?iu)(\d{{1,2}})\s+(?:[а-яіїєґ]+\s+)?{_MONTH}\s*(?:['’]\s*)?(20\d{{2}})?[^0-9]{{0,12}}(\d{{1,2}}):(\d{{2}})"
+#: A weekday's name may stand between, as month pages have it; fixed pattern.
+MONTH_PAGE_DATE = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(\d{{1,2}})\s+(?:[а-яіїєґ]+\s+)?{_MONTH}\s*[’']?\s*(20\d{{2}})?\s*,?\s*(\d{{1,2}}):(\d{{2}})"
+#: A line that is a date and a time, as markdown city pages have it; fixed pattern.
+MARKDOWN_DATE = rf"(?iu)^(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}}),\s*(\d{{1,2}}):(\d{{2}})$"
 
 
 def to_local(instant: Column, zone: str = ZONE) -> Column:
@@ -76,3 +84,49 @@ def year_in_text(text: Column, now: Column) -> Column:
 def month_slots(start: Column, months: int) -> Column:
     """The first days of `months` months from start's."""
     return F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda k: F.add_months(F.trunc(start, "month"), k))
+
+
+def _day(at: Column) -> Column:
+    return F.date_trunc("day", at)
+
+
+def date_generic(text: Column, now: Column) -> Column:
+    """A generic card's date: the first in the text; a missing year is now's, or the next one if the day is past; null if it is no date."""
+    part = [F.nullif(F.regexp_extract(text, GENERIC_DATE, k), F.lit("")) for k in range(1, 11)]
+    base = F.coalesce(part[7].cast("int"), F.year(now))
+    named = _stamp(base, month_number(part[6]), part[5], part[8], part[9])
+    later = _stamp(base + 1, month_number(part[6]), part[5], part[8], part[9])
+    named = F.when(part[7].isNull() & (named < _day(now)), later).otherwise(named)
+    return F.when(part[0].isNotNull(), _stamp(part[2], part[1], part[0], part[3], part[4])).otherwise(named).cast("timestamp_ntz")
+
+
+def date_catalogue(text: Column, default_year: Column) -> Column:
+    """A catalogue card's date; a missing year is the default's; null if there is none or it is no date."""
+    day, month, year, hour, minute = _parts(text, CATALOGUE_DATE)
+    return _stamp(F.coalesce(year.cast("int"), default_year), month_number(month), day, hour, minute).cast("timestamp_ntz")
+
+
+def date_month_page(text: Column, default_year: Column) -> Column:
+    day, month, year, hour, minute = _parts(text, MONTH_PAGE_DATE)
+    return _stamp(F.coalesce(year.cast("int"), default_year), month_number(month), day, hour, minute).cast("timestamp_ntz")
+
+
+def date_markdown(line: Column) -> Column:
+    day, month, year, hour, minute = _parts(line, MARKDOWN_DATE)
+    return _stamp(year, month_number(month), day, hour, minute).cast("timestamp_ntz")
+
+
+def iso_local(text: Column) -> Column:
+    """The local fields of an ISO time; its offset or Z is dropped; null if it is none."""
+    bare = F.regexp_replace(text, r"(?<=\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$", "$1")
+    return F.regexp_replace(bare, r"([T ]\d{1,2}:\d{2})$", "$1:00").try_cast("timestamp_ntz")
+
+
+#: Names of months in the addresses of month pages, fixed values.
+MONTH_SLUGS = "january february march april may june july august september october november december".split()
+
+
+def month_urls(base: str, now: str, months: int = 6) -> list[str]:
+    """Addresses of the month pages from now's month on; December is followed by January."""
+    first = int(now[5:7]) - 1
+    return [f"{base.rstrip('/')}/{MONTH_SLUGS[(first + k) % 12]}/" for k in range(months)]

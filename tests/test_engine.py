@@ -159,8 +159,8 @@ def test_upsert_and_changes(spark):
 def test_jsonld(spark):
     html = """<script type="application/ld+json">{"@graph":[{"@type":"MusicEvent","name":"N","startDate":"2026-08-01T19:00:00Z","location":[{"name":"P","address":{"streetAddress":"S 1"}}],"offers":{"price":100,"url":"http://t"}},
     {"@type":"Thing"},{"@type":["Event"],"name":"M","startDate":"2026-08-02","location":"Hall"}]}</script><script type="application/ld+json">broken</script>"""
-    got = [tuple(r)[2:] for r in pages.jsonld_events(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("pos").collect()]
-    assert got == [("N", "2026-08-01T19:00:00Z", "P", "S 1", "100", "http://t"), ("M", "2026-08-02", "Hall", None, None, None)]
+    got = [(r.title, r.start_at, r.venue, r.address, r.price_text, r.ticket_url) for r in pages.jsonld_events(spark.createDataFrame([(1, "http://p/x", html), (2, "http://p/y", None)], "page_id long, url string, html string")).orderBy("pos").collect()]
+    assert got == [("N", datetime(2026, 8, 1, 19), "P", "S 1", "100 грн", "http://t"), ("M", datetime(2026, 8, 2), None, None, None, None)]
 
 
 def test_line_catalogue(spark):
