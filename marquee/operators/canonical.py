@@ -25,7 +25,19 @@ TILE, BINS, HEAD = 2048, 256, 256
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, seconds: int = TOLERANCE, order: tuple[str, ...] = ()) -> DataFrame:
-    """df with island: the number of gaps over seconds before a row, within its keys."""
+    """df with island: a number of the stretch of time, within its keys, that no gap over seconds cuts.
+
+    Without keys the rows are cut into cells of that width first: no gap inside a cell is wider, so only the cells' first and
+    last times are put in order, a row for each cell of time that has data, and rows are joined with their cell.
+    """
+    if not keys:
+        micros, cell = F.unix_micros(F.col(ts).cast("timestamp")), "_cell"
+        rows = df.withColumn(cell, F.floor(micros / (seconds * 1_000_000)))
+        cells = rows.groupBy(cell).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"))
+        w = W.orderBy(cell)
+        cut = F.when(F.col("_first") - F.lag("_last").over(w) > seconds * 1_000_000, 1).otherwise(0)
+        cells = cells.withColumn("_cut", cut).withColumn("island", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return rows.join(cells.select(F.col(cell).alias("_of"), "island"), F.col(cell).eqNullSafe(F.col("_of"))).drop(cell, "_of")
     w = W.partitionBy(*keys).orderBy(ts, *order)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
     flagged = df.withColumn("_cut", F.when(gap > seconds * 1_000_000, 1).otherwise(0))
@@ -93,8 +105,10 @@ def fuzzy_clusters(df: DataFrame, order: str, rule: str = "leader", seconds: int
             first.setdefault(k, row[order])
         return pd.DataFrame({order: pdf[order], "cluster": [str(first[k]) for k in found]})
 
-    named = narrow.groupBy(*block, "island").applyInPandas(cluster, f"`{order}` {dict(df.dtypes)[order]}, cluster string")
-    return dated.join(named, order).select(*df.columns, "cluster").unionByName(undated)
+    sized = narrow.withColumn("rows", F.count("*").over(W.partitionBy(*block, "island")))
+    named = sized.where("rows > 1").groupBy(*block, "island").applyInPandas(cluster, f"`{order}` {dict(df.dtypes)[order]}, cluster string")
+    named = named.unionByName(sized.where("rows = 1").select(order, F.col(order).cast("string").alias("cluster")))  # no Python for islands of one row
+    return df.where("start_at is not null").join(named, order).select(*df.columns, "cluster").unionByName(undated)
 
 
 class Titles:
@@ -303,15 +317,6 @@ def representatives(df: DataFrame, rule: str = "leader") -> DataFrame:
     return df.groupBy("cluster").agg(best.alias("event"), F.min("start_at").alias("start_at"), F.array_sort(F.collect_list(offer)).alias("offers"), F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"))
 
 
-def related_keys(df: DataFrame, group_key: str, seconds: int = TOLERANCE) -> DataFrame:
-    """Keys of the cluster around the earliest row of a key: active rows in the band around it, any-member rule by (start_at, id)."""
-    seed = df.where(F.col("group_key") == group_key).agg(F.min(F.struct("start_at", "id")).alias("seed"))
-    near = df.where("status = 'active'").join(F.broadcast(seed), F.abs(F.unix_timestamp("start_at") - F.unix_timestamp("seed.start_at")) <= seconds)
-    order = F.row_number().over(W.orderBy("start_at", "id"))  # rows of one band
-    grouped = fuzzy_clusters(near.withColumn("ord", order), "ord", "any", 4 * seconds)
-    return grouped.where(F.col("id") == F.col("seed.id")).select("cluster").join(grouped, "cluster").select("group_key").union(df.sparkSession.createDataFrame([(group_key,)], "group_key string")).distinct()
-
-
 def duplicate_candidates(df: DataFrame, similarity: float = 0.90, seconds: int = TOLERANCE, block: tuple[str, ...] = ()) -> DataFrame:
     """(external_id_a, external_id_b, similarity) of rows of different sources, close in time, with similar titles; a before b in ord.
 

@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, timeutil
-from ..operators import canonical, changes, dedupe, health, quality
+from ..operators import canonical, changes, dedupe, health, quality, state
+from ..sources import cards
 from ..sources import pages as page_sources
 from ..streaming import jobs
+from . import entries
 
 NOW, DAY = "2024-01-15 00:00:00", "2024-01-15"
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -135,16 +137,14 @@ def canonical_leader(spark, d):
     """Leader clusters with an equality key: in time order a row joins the last leader if it is near enough; a fold over the sorted times of an island, as no leader spans a gap of more."""
     rows = t(spark, d, "events").where(timeutil.in_range(F.col("ts"), "2024-01-10", "2024-01-25"))
     rows = canonical.islands(rows.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", 720 * 60, ("event_id",))
+    at = lambda x: F.struct(F.unix_micros(x["ts"].cast("timestamp")).alias("at"), x["event_id"].alias("cluster"))
+    leader = "struct<at:bigint,cluster:bigint>"
+    far = lambda a, x: F.coalesce(F.unix_micros(x["ts"].cast("timestamp")) - F.try_element_at(a, F.lit(-1))["at"] > 720 * 60_000_000, F.lit(True))
+    # leaders alone are appended, one for each 720 minutes at most; a row's cluster is the last leader before it
     packed = rows.groupBy("user_id", "event_type", "island").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("rows"))
-    micros = lambda x: F.unix_micros(x["ts"].cast("timestamp"))
-    start = F.struct(F.lit(None).cast("long").alias("lead"), F.lit(None).cast("long").alias("cluster"), F.array().cast("array<struct<event_id:bigint,cluster:bigint>>").alias("out"))
-
-    def step(a, x):
-        near = F.coalesce(micros(x) - a["lead"] <= 720 * 60_000_000, F.lit(False))
-        cluster = F.when(near, a["cluster"]).otherwise(x["event_id"])
-        return F.struct(F.when(near, a["lead"]).otherwise(micros(x)).alias("lead"), cluster.alias("cluster"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), cluster.alias("cluster")))).alias("out"))
-
-    return packed.select(F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("c")).select("c.*")
+    led = packed.select("rows", F.aggregate("rows", F.array().cast(f"array<{leader}>"), lambda a, x: F.when(far(a, x), F.array_append(a, at(x))).otherwise(a)).alias("leaders"))
+    rows = led.select("leaders", F.explode("rows").alias("r"))
+    return rows.select("r.event_id", F.array_max(F.filter("leaders", lambda x: x <= at(F.col("r"))))["cluster"].alias("cluster"))
 
 
 @query(None)
@@ -196,17 +196,16 @@ def duplicate_candidates_fuzzy(spark, d):
     return canonical.title_duplicates(classes.withColumn("external_id", F.col("ord").cast("string")))
 
 
-@query("""WITH tok AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),
-e AS (SELECT item_id, unnest(w) AS x FROM tok)
-SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.item_id < b.item_id JOIN tok p ON p.item_id = a.item_id JOIN tok q ON q.item_id = b.item_id
-GROUP BY a.item_id, b.item_id, len(p.w), len(q.w) HAVING count(*) >= 0.35 * least(len(p.w), len(q.w)) AND least(len(p.w), len(q.w)) >= 3""")
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+e AS (SELECT item_id, len(w) AS n, unnest(w) AS x FROM b), f AS (SELECT doc_id, len(w) AS m, unnest(w) AS x FROM d)
+SELECT item_id, doc_id, count(*) AS shared FROM e JOIN f USING (x) GROUP BY item_id, doc_id, n, m HAVING count(*) >= 0.35 * least(n, m) AND least(n, m) >= 3""")
 def token_overlap_pairs(spark, d):
-    """Overlap of word sets by an equi-join on words; only sets that share a word meet."""
-    rows = t(spark, d, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1)).alias("w"))
-    word = rows.select("item_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    a, b = word.alias("a"), word.alias("b")
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), F.least("a.n", "b.n").alias("least")).agg(F.count("*").alias("shared"))
-    return pairs.where((F.col("shared") >= 0.35 * F.col("least")) & (F.col("least") >= 3)).select("item_a", "item_b", "shared")
+    """Items of the benchmark and documents whose word sets share 35 % of the smaller set, which has three words at least."""
+    words = lambda name, key: t(spark, d, name).select(key, F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9_]+)"), 1)).alias("w"))
+    return dedupe.overlapping_sets(words("benchmark", "item_id"), "item_id", words("documents", "doc_id"), "doc_id", 0.35, 3)
 
 
 # ---- de-duplication and sets ---------------------------------------------------------------------------------------
@@ -377,7 +376,8 @@ def freshness_counts(spark, d):
 def _batch(spark, d) -> DataFrame:
     k = F.col("page_id")
     return t(spark, d, "pages").select(
-        F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"),
+        k.alias("ord"),
+        F.concat(F.lit("s"), F.expr("page_id div 3").cast("string")).alias("source"),
         F.when(k % 31 == 0, "").otherwise(k.cast("string")).alias("external_id"),
         F.when(k % 37 == 1, " ").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
         F.when(k % 29 == 2, F.concat(F.lit("ftp://x/"), k.cast("string"))).when(k % 43 == 3, F.lit("")).otherwise(F.col("url")).alias("source_url"),
@@ -386,7 +386,7 @@ def _batch(spark, d) -> DataFrame:
     )
 
 
-_BATCH = """WITH b AS (SELECT 's' || (page_id % 7) AS source, CASE WHEN page_id % 31 = 0 THEN '' ELSE page_id::VARCHAR END AS external_id, CASE WHEN page_id % 37 = 1 THEN ' ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title,
+_BATCH = """WITH b AS (SELECT 's' || (page_id // 3) AS source, CASE WHEN page_id % 31 = 0 THEN '' ELSE page_id::VARCHAR END AS external_id, CASE WHEN page_id % 37 = 1 THEN ' ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title,
 CASE WHEN page_id % 29 = 2 THEN 'ftp://x/' || page_id WHEN page_id % 43 = 3 THEN '' ELSE url END AS source_url, CASE WHEN page_id % 23 <> 4 THEN make_timestamp(2024, 1, page_id % 28 + 1, 12, 0, 0) END AS start_at,
 CASE WHEN page_id % 7 = 5 THEN 'mailto:x' ELSE url END AS ticket_url FROM pages),
 i AS (SELECT source, external_id, 'error' AS severity, 'missing_external_id' AS code FROM b WHERE trim(external_id) = '' UNION ALL SELECT source, external_id, 'error', 'missing_title' FROM b WHERE trim(title) = ''
@@ -400,12 +400,11 @@ def quality_issues(spark, d):
     return quality.issues(_batch(spark, d), NOW)
 
 
-@query(_BATCH + " SELECT source, external_id FROM b WHERE source NOT IN (SELECT source FROM i WHERE code = 'invalid_ticket_url')")
+@query(_BATCH + " SELECT source, external_id FROM b WHERE source NOT IN (SELECT source FROM i WHERE severity = 'error')")
 def quality_gate(spark, d):
-    """The gate with broken ticket links as the error: every source of these tables has errors of other kinds, at any size."""
+    """Rows of sources (three pages each) without an error of any kind."""
     rows = _batch(spark, d)
-    broken = quality.issues(rows, NOW).where("code = 'invalid_ticket_url'").withColumn("severity", F.lit("error"))
-    return quality.gate(rows, broken).select("source", "external_id")
+    return quality.gate(rows, quality.issues(rows, NOW)).select("source", "external_id")
 
 
 @query(_BATCH + " SELECT b.source, b.n AS collected, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM (SELECT source, count(*) AS n FROM b GROUP BY 1) b LEFT JOIN (SELECT source, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM i GROUP BY 1) USING (source)")
@@ -590,13 +589,215 @@ def local_day_bucket(spark, d):
     return t(spark, d, "events").groupBy(F.to_date(local).alias("day")).agg(F.date_format(F.min(local), "dd.MM.yyyy HH:mm").alias("first"), F.count("*").alias("n"))
 
 
-@query(None)
+@query(_BATCH + """, s AS (SELECT b.source, b.n AS collected, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM (SELECT source, count(*) AS n FROM b GROUP BY 1) b LEFT JOIN (SELECT source, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM i GROUP BY 1) USING (source))
+SELECT '{"collected":' || sum(collected)::BIGINT || ',"errors":' || sum(errors)::BIGINT || ',"warnings":' || sum(warnings)::BIGINT || ',"sources":[' || string_agg('{"source":"' || source || '","collected":' || collected || ',"errors":' || errors || ',"warnings":' || warnings || '}', ',' ORDER BY source) || ']}' AS report FROM s""")
 def run_report_json(spark, d):
     rows = _batch(spark, d)
     found = quality.summary(rows, quality.issues(rows, NOW))
     return found.agg(F.to_json(F.struct(F.sum("collected").alias("collected"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.array_sort(F.collect_list(F.struct("source", "collected", "errors", "warnings"))).alias("sources"))).alias("report"))
 
 
+# ---- lists, state and runs, as users ask for them -----------------------------------------------------------------------
+
+
+def _snapshot(spark, d) -> DataFrame:
+    """Stored events: a row per event of the table, titles by user and type, every fifth type cancelled."""
+    k = F.col("event_id")
+    return t(spark, d, "events").select(
+        k.alias("id"), F.md5(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))).alias("group_key"), F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")).alias("title"), F.col("event_type").alias("category"),
+        F.when(k % 50 != 0, F.col("ts")).alias("start_at"), F.when(F.col("event_type") == "error", "cancelled").otherwise("active").alias("status"), F.concat((k % 3 * 100).cast("string"), F.lit(" грн")).alias("price_text"),
+        F.when(k % 4 == 0, F.concat(F.lit("http://t/"), k.cast("string"))).alias("ticket_url"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.lit(None).cast("string").alias("venue"), "user_id",
+    )
+
+
+_STORED = """WITH e AS (SELECT event_id AS id, md5(event_type || ':' || user_id) AS group_key, event_type || ' ' || user_id AS title, event_type AS category, CASE WHEN event_id % 50 <> 0 THEN ts END AS start_at,
+CASE WHEN event_type = 'error' THEN 'cancelled' ELSE 'active' END AS status, (event_id % 3 * 100) || ' грн' AS price_text, user_id FROM events)"""
+
+
+def _occurrences_sql(where: str, rest: str, pick: str = "") -> str:
+    """Occurrences of rows of e: stretches of a title's times without a gap of over 15 minutes; undated rows alone."""
+    return f"""{_STORED}{pick}, r AS (SELECT * FROM {'p' if pick else 'e'} WHERE status = 'active' AND {where}),
+f AS (SELECT *, CASE WHEN start_at - lag(start_at) OVER (PARTITION BY title ORDER BY start_at, id) > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS cut FROM r),
+i AS (SELECT *, CASE WHEN start_at IS NULL THEN 'u' || id ELSE sum(cut) OVER (PARTITION BY title, start_at IS NULL ORDER BY start_at, id ROWS UNBOUNDED PRECEDING)::VARCHAR END AS island FROM f),
+o AS (SELECT title, any_value(group_key) AS group_key, any_value(category) AS category, min(start_at) AS start_at, min(id) AS low, string_agg(DISTINCT price_text, ', ' ORDER BY price_text) AS prices, count(*) AS n_rows FROM i GROUP BY title, island)
+{rest}"""
+
+
+_TOP = "SELECT title, start_at, prices, n_rows, greatest(total - 20, 0) AS more FROM (SELECT *, count(*) OVER () AS total FROM o) ORDER BY start_at NULLS LAST, title, low LIMIT 20"
+
+
+def _listed(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("title", "start_at", F.array_join("prices", ", ").alias("prices"), "n_rows", *more)
+
+
+_BY_TITLE = entries.equal("title")
+
+
+@query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-15 22:00:00' AND start_at < TIMESTAMP '2024-01-16 22:00:00'", _TOP))
+def day_list(spark, d):
+    """Tomorrow's occurrences as a user sees them: the local day, clusters, representatives, the top 20 and how many more."""
+    return _listed(entries.day_list(_snapshot(spark, d), "2024-01-15 10:00:00", 1, _BY_TITLE), "more")
+
+
+@query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-19 22:00:00' AND start_at < TIMESTAMP '2024-01-21 22:00:00'", _TOP))
+def weekend_list(spark, d):
+    return _listed(entries.weekend_list(_snapshot(spark, d), "2024-01-15 10:00:00", _BY_TITLE), "more")
+
+
+@query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-14 22:00:00' AND start_at < TIMESTAMP '2024-02-13 22:00:00'", _TOP.replace("FROM o)", "FROM o WHERE category = 'signup')")))
+def category_list(spark, d):
+    return _listed(entries.category_list(_snapshot(spark, d), "signup", "2024-01-15 10:00:00", clustering=_BY_TITLE), "more")
+
+
+@query(_occurrences_sql("TRUE", _TOP.replace("greatest(total - 20, 0)", "0::BIGINT"), ", p AS (SELECT * FROM e WHERE status = 'active' AND contains(title, 'purchase 1') AND (start_at IS NULL OR start_at >= TIMESTAMP '2024-01-14 22:00:00') ORDER BY start_at NULLS LAST, title, id LIMIT 60)"))
+def search_list(spark, d):
+    return _listed(entries.search_list(_snapshot(spark, d), "  Purchase   1", "2024-01-15 10:00:00", clustering=_BY_TITLE), "more")
+
+
+_KEYS = ", k AS (SELECT DISTINCT c_custkey % 40 AS owner, md5(c_mktsegment || ':' || c_custkey) AS group_key FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'purchase' ELSE 'click' END AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0))"
+
+
+def _keys(spark, d) -> DataFrame:
+    kind = F.when(F.col("c_custkey") % 2 == 0, "purchase").otherwise("click")
+    return t(spark, d, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") % 40).alias("user_id"), F.md5(F.concat(kind, F.lit(":"), F.col("c_custkey").cast("string"))).alias("group_key")).distinct()
+
+
+@query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-20'", "SELECT owner AS user_id, title, start_at, prices, n_rows FROM o JOIN k USING (group_key)", "").replace(", r AS", f"{_KEYS}, r AS", 1))
+def favorites_list(spark, d):
+    return _listed(entries.kept_list(_snapshot(spark, d).drop("user_id"), _keys(spark, d), "2024-01-20 00:00:00", _BY_TITLE), "user_id")
+
+
+@query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-20'", "SELECT owner AS user_id, title, start_at, prices, n_rows FROM o JOIN k USING (group_key) WHERE owner % 4 <> 1", "").replace(", r AS", f"{_KEYS}, r AS", 1))
+def reminders_list(spark, d):
+    subscriptions = _keys(spark, d).withColumn("enabled", F.col("user_id") % 4 != 1)
+    return _listed(entries.reminder_list(_snapshot(spark, d).drop("user_id"), subscriptions, "2024-01-20 00:00:00", _BY_TITLE), "user_id")
+
+
+@query("""WITH f AS (SELECT c_custkey AS user_id, c_custkey % 7 AS g FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT c_custkey AS user_id, c_custkey % 5 AS g FROM customer)
+SELECT r.user_id, r.g::VARCHAR AS group_key, f.user_id IS NULL AS added FROM r LEFT JOIN f ON f.user_id = r.user_id AND f.g = r.g""")
+def favorites_add(spark, d):
+    """Requests to add favourites, with whether each is new."""
+    c = t(spark, d, "customer")
+    at = F.lit(NOW).cast("timestamp_ntz")
+    pair = lambda n: c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % n).cast("string").alias("group_key"))
+    return state.add_favorites(pair(7).where("user_id % 3 = 0").withColumn("created_at", at), pair(5).withColumn("at", at))[1].select("user_id", "group_key", "added")
+
+
+@query("""WITH s AS (SELECT c_custkey AS user_id, (c_custkey % 7)::VARCHAR AS group_key, 60 AS lead_time, FALSE AS enabled, TIMESTAMP '2024-01-01' AS last FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT c_custkey AS user_id, (c_custkey % 5)::VARCHAR AS group_key, CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 1440 END AS lead_time FROM customer)
+SELECT user_id, group_key, lead_time AS notify_before_minutes, enabled, last AS last_notified_at FROM s WHERE (user_id, group_key) NOT IN (SELECT user_id, group_key FROM r) UNION ALL SELECT user_id, group_key, lead_time, TRUE, NULL FROM r""")
+def subscriptions_upsert(spark, d):
+    """Subscriptions after requests: existing ones are enabled again with the lead asked for and no last notice."""
+    c = t(spark, d, "customer")
+    pair = lambda n: c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % n).cast("string").alias("group_key"))
+    old = pair(7).where("user_id % 3 = 0").withColumns({"notify_before_minutes": F.lit(60), "enabled": F.lit(False), "last_notified_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+    return state.subscribe(old, pair(5).withColumn("notify_before_minutes", F.when(F.col("user_id") % 2 == 0, 30)))[0]
+
+
+@query("""SELECT c_custkey AS telegram_id, CASE WHEN c_custkey % 4 = 0 THEN 'n' || c_custkey WHEN c_custkey % 3 = 0 THEN c_name END AS first_name, 'Europe/Kyiv' AS timezone FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
+def users_ensure(spark, d):
+    """Users after requests: unknown ones are made, known ones take a new name that isn't empty."""
+    k = F.col("c_custkey")
+    users = t(spark, d, "customer").where(k % 3 == 0).select(k.alias("telegram_id"), F.col("c_name").alias("first_name"), F.lit("Europe/Kyiv").alias("timezone"))
+    asked = t(spark, d, "customer").where(k % 2 == 0).select(k.alias("ord"), k.alias("telegram_id"), F.when(k % 4 == 0, F.concat(F.lit("n"), k.cast("string"))).otherwise("").alias("first_name"))
+    off = users.select("telegram_id", *(F.lit(False).alias(c) for c in ("daily_tomorrow", "new_ticket_sales", "weekend_digest")), F.lit(18).alias("send_hour"))
+    return state.ensure_users(users, off, asked)[0]
+
+
+@query("""WITH r AS (SELECT event_type AS source, date_trunc('day', ts)::TIMESTAMP AS started_at, count(*)::INT AS n FROM events GROUP BY 1, 2)
+SELECT source, started_at, CASE WHEN day(started_at) % 5 <> 0 THEN started_at + INTERVAL 1 HOUR END AS finished_at, CASE WHEN day(started_at) % 5 <> 0 THEN 'success' ELSE 'running' END AS status,
+CASE WHEN day(started_at) % 5 <> 0 THEN n ELSE 0 END AS collected_count FROM r""")
+def run_brackets(spark, d):
+    """States of runs from their log: a row that opens and, but for every fifth day, one that closes."""
+    daily = t(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.count("*").cast("int").alias("n"))
+    row = lambda at, status, n: daily.select(F.concat_ws("|", "source", "at").alias("run_id"), "source", at.alias("at"), F.lit(status).alias("status"), n.alias("collected_count"), F.lit(0).alias("changed_count"), F.lit(None).cast("string").alias("error_text"))
+    log = row(F.col("at"), "running", F.lit(0)).unionByName(row(F.col("at") + F.expr("INTERVAL 1 HOUR"), "success", F.col("n")).where(F.dayofmonth("at") % 5 != 0))
+    return state.run_states(log).select("source", "started_at", "finished_at", "status", "collected_count")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN make_timestamp(2031, 1 + p_partkey % 12, 1 + p_partkey % 24, p_partkey % 20, 30, 0) - INTERVAL (CASE WHEN p_partkey % 12 + 1 BETWEEN 4 AND 10 THEN 3 ELSE 2 END) HOUR END AS start_at,
+p_partkey % 3 = 0 AS repaired FROM part""")
+def stored_date_repair(spark, d):
+    """Undated stored events whose titles have a local date get it, in UTC."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*map(F.lit, timeutil.MONTHS)), (k % 12 + 1).cast("int"))
+    dated = F.concat("p_name", F.lit(" "), (k % 24 + 1).cast("string"), F.lit(" "), name, F.lit(" 2031, "), (k % 20).cast("string"), F.lit(":30"))
+    rows = t(spark, d, "part").select(k.alias("id"), F.lit("k").alias("group_key"), F.when(k % 3 != 1, dated).otherwise(F.col("p_name")).alias("title"), F.lit(None).cast("timestamp_ntz").alias("start_at"), F.when(k % 3 == 2, "cancelled").otherwise("active").alias("status"), F.lit(None).cast("string").alias("venue"))
+    return state.repaired_dates(rows, NOW).select("id", "start_at", "repaired")
+
+
+@query(_SNAP + """, a AS (SELECT id, TIMESTAMP '2024-01-01' + INTERVAL (id % 30) DAY AS at FROM c WHERE change_type = 'ticket_sale_started')
+SELECT a.id AS event_id, o_orderpriority AS title, c_name AS venue, a.at AS detected_at FROM a JOIN orders ON o_orderkey = a.id LEFT JOIN customer ON c_custkey = o_custkey WHERE a.at >= TIMESTAMP '2024-01-15'""")
+def ticket_alerts(spark, d):
+    """Changes joined with their events and venues: ticket sales that started since a time, once per event."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("external_id") % 30).cast("int"))
+    log = changes.changes(*_snapshots(spark, d), ["external_id"]).select(F.col("external_id").alias("event_id"), "change_type", at.alias("detected_at"))
+    events = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("start_at"), F.lit("10").alias("price_text"), F.lit(None).cast("string").alias("ticket_url"), F.col("o_custkey").alias("venue_id"))
+    venues = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return state.ticket_alerts(log, events, venues, NOW).select("event_id", "title", "venue", "detected_at")
+
+
+@query(_islands_sql("user_id", 360, _MONTH) + """, k AS (SELECT *, md5(event_type || event_id) AS group_key FROM i), c AS (SELECT user_id, island, min(group_key) AS canonical_key FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT event_id, 'canonical_group_assigned' AS change_type, group_key AS old_value, canonical_key AS new_value FROM k JOIN c USING (user_id, island) WHERE group_key <> canonical_key""")
+def key_assignment_log(spark, d):
+    rows = _month_clusters(spark, d, 6 * 3600, ["user_id"]).withColumn("group_key", F.md5(F.concat("event_type", F.col("event_id").cast("string"))))
+    return changes.key_log(changes.propagated_keys(rows), ["event_id"]).select("event_id", "change_type", "old_value", "new_value")
+
+
+@query(_islands_sql("user_id, event_type", 15, _MONTH) + """ SELECT min(event_id) AS cluster, arg_min(event_id, (ts, event_id)) AS representative, min(ts) AS start_at, count(*) AS n_rows, count(DISTINCT event_id % 3) AS n_sources FROM i GROUP BY user_id, event_type, island""")
+def cluster_representatives(spark, d):
+    rows = _month_clusters(spark, d, 900, ["user_id", "event_type"]).withColumns({"id": F.col("event_id"), "source": (F.col("event_id") % 3).cast("string"), "title": F.col("event_type"), "start_at": F.col("ts"), "price_text": F.lit(None).cast("string"), "ticket_url": F.lit(None).cast("string")})
+    best = canonical.representatives(rows.withColumn("cluster", F.concat_ws("|", "user_id", "cluster")), "any")
+    return best.select(F.split_part("cluster", F.lit("|"), F.lit(2)).cast("long").alias("cluster"), F.col("event.event_id").alias("representative"), "start_at", "n_rows", "n_sources")
+
+
+def _collected(spark, d) -> dict[str, DataFrame]:
+    batch = _batch(spark, d).withColumns({"category": F.lit(None).cast("string"), "venue": F.lit(None).cast("string"), "price_text": F.lit("10 грн")})
+    names = ("source", "external_id", "title", "category", "start_at", "venue", "price_text", "ticket_url", "source_url")
+    old = batch.where("external_id like '%7'").select(*names).withColumn("price_text", F.lit("5 грн"))
+    return entries.collected(old, batch.select("ord", *names), NOW, _runs(spark, d))
+
+
+@query(_BATCH + """, good AS (SELECT * FROM b WHERE source NOT IN (SELECT source FROM i WHERE severity = 'error'))
+SELECT count(*) FILTER (external_id NOT LIKE '%7') AS created, count(*) FILTER (external_id LIKE '%7') AS price_changed, (SELECT count(*) FROM b) AS collected, (SELECT count(*) FROM i WHERE severity = 'error') AS errors, FALSE AS passed FROM good""")
+def collection_run(spark, d):
+    """A whole collection over pages as a batch: what was created and changed, totals, and whether the run passes its gate."""
+    run = _collected(spark, d)
+    log = run["changes"].agg(F.count_if(F.col("change_type") == "event_created").alias("created"), F.count_if(F.col("change_type") == "price_changed").alias("price_changed"))
+    return log.join(run["totals"].select("collected", "errors")).join(run["gate"].select("passed"))  # one row each
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 0 END AS n FROM pages WHERE url LIKE '%/en/%'")
+def path_link_counts(spark, d):
+    """Links below /en/ that pages hold in their own addresses, found in plain text."""
+    rows = t(spark, d, "pages").select("page_id", "url", F.concat(F.lit("see "), "url", F.lit(")")).alias("body"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    found = F.array_distinct(F.regexp_extract_all("body", F.lit(r"https?://[A-Za-z0-9.-]+/en/[A-Za-z0-9_./%?=&-]*"), 0))
+    return rows.select("page_id", F.size(found).alias("n")).where("n > 0")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN make_timestamp(2026, 9, 1 + page_id % 28, 19, 30, 0) ELSE make_timestamp(2026, 10, 1 + page_id % 28, 18, 0, 0) END AS start_at, 'Подія ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'Зал ' || page_id || 'а' END AS venue FROM pages")
+def card_events(spark, d):
+    """Cards put into the table's pages, read back by two readers: catalogue cards on even pages, times on odd ones."""
+    k = F.col("page_id").cast("string")
+    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    even = F.concat(F.lit('<div class="event-card"><h3>Подія '), k, F.lit('</h3><a href="/e/'), k, F.lit('">Купити</a> '), day, F.lit(" вересня 2026, 19:30 Тернопіль • Зал "), k, F.lit("а 200 грн</div>"))
+    odd = F.concat(F.lit("<div><h3>Подія "), k, F.lit("</h3><p>Тернопіль</p><p><time datetime='2026-10-"), day, F.lit("T18:00:00+03:00'>18</time></p></div>"))
+    card = F.when(F.col("page_id") % 2 == 0, even).otherwise(odd)
+    rows = t(spark, d, "pages").select("page_id", "url", F.concat(F.regexp_replace("html", "</body>(?s).*", ""), card, F.lit("</body></html>")).alias("html"))
+    now = "2026-01-01 00:00:00"
+    both = cards.catalogue_cards(rows.where("page_id % 2 = 0"), now).unionByName(cards.time_cards(rows.where("page_id % 2 = 1"), now))
+    return both.select("page_id", "start_at", "title", "venue")
+
+
+@query("SELECT page_id, 'N' || page_id AS title, make_timestamp(2026, 9, 1 + page_id % 28, 16, 0, 0) AS start_at, (page_id % 9) || ' грн' AS price_text FROM pages")
+def jsonld_of_pages(spark, d):
+    """JSON-LD events put into the table's pages, nested in lists and graphs, read back."""
+    k = F.col("page_id").cast("string")
+    body = F.concat(F.lit('<script type="application/ld+json">{"@graph":[[{"@type":["MusicEvent"],"name":"N'), k, F.lit('","startDate":"2026-09-'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit('T19:00:00+03:00","offers":[{"price":'), (F.col("page_id") % 9).cast("string"), F.lit("}]}]]}</script>"))
+    rows = t(spark, d, "pages").select("page_id", "url", F.concat("html", body).alias("html"))
+    return page_sources.jsonld_events(rows).select("page_id", "title", "start_at", "price_text")
+
+
 # ---- streaming twins -----------------------------------------------------------------------------------------------
 
 _SEEN = "SELECT user_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY user_id"

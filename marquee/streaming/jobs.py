@@ -44,14 +44,56 @@ def due(subscriptions: DataFrame, events: DataFrame, now: str) -> DataFrame:
     )
 
 
-def deliver(batch: DataFrame, ledger: str) -> None:
-    """For foreachBatch: append what the ledger folder doesn't hold yet; a repeated batch adds nothing."""
-    spark = batch.sparkSession
-    keys = ["user_id", "group_key", "target"]
+KEYS = ["user_id", "group_key", "target"]
+
+
+def ledger_rows(spark: SparkSession, ledger: str, since: str | None = None) -> DataFrame:
+    """What the ledger folder holds, from the day of `since` on; empty before the first delivery. The ledger is parted by the target's day."""
+    empty = spark.createDataFrame([], "user_id long, group_key string, target timestamp_ntz, day date")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not at.getFileSystem(conf).exists(at):
+        return empty
+    rows = spark.read.schema(empty.schema).parquet(ledger)
+    return rows.where(F.col("day") >= F.to_date(F.lit(since))) if since else rows
+
+
+def deliver(batch: DataFrame, ledger: str, send=None) -> None:
+    """For foreachBatch: send what the ledger doesn't hold yet, then mark it; a repeated batch adds nothing.
+
+    batch: (user_id, group_key, target, ...). send takes the rows as a DataFrame and raises if it fails: then nothing is marked, and
+    the next try sends again (at least once). Only the ledger's days from the batch's first target on are read.
+    """
+    batch = batch.dropDuplicates(KEYS).persist()
     try:
-        sent = spark.read.parquet(ledger).select(*keys)
-        batch = batch.join(sent, keys, "left_anti")
-    except Exception as e:  # the first batch: no ledger yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    batch.dropDuplicates(keys).write.mode("append").parquet(ledger)
+        first = batch.agg(F.min("target").alias("first")).first()["first"]
+        if first is None:
+            return
+        fresh = batch.join(ledger_rows(batch.sparkSession, ledger, str(first)).select(*KEYS), KEYS, "left_anti")
+        if send:
+            send(fresh)
+        fresh.select(*KEYS, F.to_date("target").alias("day")).write.mode("append").partitionBy("day").parquet(ledger)
+    finally:
+        batch.unpersist()
+
+
+def reminder_stream(ticks: DataFrame, due_at, ledger: str, checkpoint: str, send=None, trigger: dict | None = None):
+    """A stream of ticks (at: a time each): at every batch the reminders due at its last tick are delivered and marked.
+
+    due_at(spark, now) gives the due rows from the tables as they are then. By default a batch starts each minute. A batch that
+    fails ends the query; started again from its checkpoint it runs the same batch, and the ledger keeps what was marked.
+    """
+
+    def run(batch: DataFrame, _: int) -> None:
+        last = batch.agg(F.max("at").alias("at")).first()["at"]
+        if last is not None:
+            rows = due_at(batch.sparkSession, str(last))
+            deliver(rows, ledger, send)
+
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
+def marked(subscriptions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """subscriptions whose last_notified_at is the ledger's last target of theirs, where that is later."""
+    last = ledger.groupBy("user_id", "group_key").agg(F.max("target").alias("sent"))
+    return subscriptions.join(last, ["user_id", "group_key"], "left").withColumn("last_notified_at", F.greatest("last_notified_at", "sent")).drop("sent")
