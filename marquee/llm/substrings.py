@@ -228,7 +228,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     a shorter text's end stops there. Columns that keep doesn't name are ignored; an empty table gives an empty result.
     lengths adds the column longest (see repeated_lengths; 0 for none).
     """
-    names = [f"c{k}" for k in range(len(keep))]
+    names = [f"c{k}" for k in range(len(keep))] + ["longest"] * lengths
 
     def run(batches):
         for batch in batches:
@@ -240,13 +240,15 @@ def substring_dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
 
     scratch = Scratch(docs.sparkSession, "substrings", scratch)
     spans, reach = repeated_spans(docs, length, scratch, lengths)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long, n_words long, n_removed long, text string", *(f"`{n}` {kinds[c]}" for c, n in zip(keep, names, strict=True))])
-    out = in_batches(given.join(_listed(spans), "doc_id", "left").select("doc_id", "text", "spans", *names), run, schema)
+    lists = _listed(spans)
     if lengths:
-        out = out.join(reach, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_words", "n_removed", "text", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *(["longest"] if lengths else []))
+        lists = lists.join(reach, "doc_id", "full")  # here, as what is joined after the texts moves them once more
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(n) for c, n in zip(keep, names, strict=False))).join(lists, "doc_id", "left")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, text string", *(f"`{n}` {kinds[c]}" for c, n in zip(keep, names, strict=False)), *["longest long"] * lengths])
+    rest = [F.coalesce("longest", F.lit(0).cast("long")).alias("longest")] if lengths else []
+    out = in_batches(given.select("doc_id", "text", "spans", *names[: len(keep)], *rest), run, schema)
+    return out.select("doc_id", "n_words", "n_removed", "text", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=False)), *names[len(keep) :])
 
 
 def kept_digest(cleaned: DataFrame) -> DataFrame:
