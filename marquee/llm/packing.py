@@ -9,9 +9,6 @@ Remainders are then numbered within their length, and the number decides sequenc
 
 from __future__ import annotations
 
-import re
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,18 +21,13 @@ from .common import free_names, in_batches
 CAPACITY, END = 2048, 1
 #: Remainders of a length that one task numbers, about.
 PART_ROWS = 1 << 18
-#: Chunks whose ids a worker remembers.
-REMEMBER = 1_000_000
-#: Unicode white space, as the tokenizer's pattern has it.
-_S = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{_S}]+(?![^{_S}])| ?[^{_S}]+|[{_S}]+")
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as little-endian 32-bit numbers, by the tokenizer file `name`.json and the same vocabulary's ranks.
 
-    The tokenizer's pattern never joins what lies on both sides of a chunk's border, so ids of chunks can be remembered.
-    Texts that hold a special token's string are left to the tokenizer itself.
+    Texts that hold a special token's string are left to the tokenizer itself, and so are those on which the ranks' pattern
+    runs out of its stack, as it does in very long runs of white space.
     """
 
     def __init__(self, name: str):
@@ -49,21 +41,15 @@ class Encoder(dict):
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        found = self.part.encode_ordinary(chunk)
-        ids = struct.pack(f"<{len(found)}I", *found)
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        if not any(s in text for s in self.special):
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -432,6 +432,12 @@ def test_packing_round_trip(spark):
     assert packing.packed(parts.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n" * 1_200_000 + "x", "a" * 1_200_000, "a \u3000\x85\xa0 \n\n b" * 1000, "<|endoftext|> x"])
+def test_ids_of_odd_texts_are_the_tokenizers(text):
+    encoder = packing.Encoder("byte_bpe_50k")
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_deals_numbers_in_parts(spark):
     parts = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "if(id % 3 = 0, 700L, 5 + id % 40) AS length")
     got = packing.packed(parts, part_rows=50).collect()
