@@ -9,6 +9,8 @@ Remainders are then numbered within their length, and the number decides sequenc
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,26 +25,40 @@ CAPACITY, END = 2048, 1
 PART_ROWS = 1 << 18
 
 
+def tokenizer_file(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+def special_strings(name: str) -> list[str]:
+    """Strings of the special tokens of the tokenizer file `name`.json."""
+    return [t.content for t in tokenizer_file(name).get_added_tokens_decoder().values()]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, by the tokenizer file `name`.json and the same vocabulary's ranks.
 
-    Texts that hold a special token's string are left to the tokenizer itself, and so are those on which the ranks' pattern
-    runs out of its stack, as it does in very long runs of white space.
+    Texts that hold one of its special strings are left to the tokenizer itself, and so are those on which the ranks' pattern
+    runs out of its stack, as it does in very long runs of white space. The tokenizer is loaded when the first such text comes.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, special: list[str] | None = None):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.name, self.special = name, special_strings(name) if special is None else special
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        return tokenizer_file(self.name)
+
     def ids(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
             try:
@@ -61,9 +77,10 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
     ids are little-endian unsigned 32-bit numbers. A null or empty text is the end id alone.
     """
 
+    special = special_strings(tokenizer)
+
     def run(batches):
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, special))
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
