@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; a longer document makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Bytes of an Arrow batch, about; a longer row makes a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Bits of the mask of asked_rows.
