@@ -1,15 +1,16 @@
-"""The queries op1 to op10, each an operator with production parameters over its whole table, and their SQL where there is any."""
+"""The queries op1 to op13, each an operator with production parameters over its whole table, and their SQL where there is any."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, minhash, mixing, packing, quality_rules, sharding, substrings, tiff, url_rules
+from . import bpe, html_extract, language_id, lloyd, minhash, mixing, packing, periodic, quality_rules, sharding, substrings, tiff, url_rules
 from ..tables import Scratch
-from .common import table
+from .common import WORD, table
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -82,8 +83,48 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by hash, the words from one place on become a repetition of those that follow it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    sized = words.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, g % n, 0L)")).withColumn("p", F.expr("1L + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])), ' ')")
+    return sized.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapsed(with_planted_runs(table(spark, sf_dir, "documents")), shortest=12)
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"), "n_words").select(
+        "doc_id",
+        "n_runs",
+        (-F.col("most.start")).alias("start"),
+        F.col("most.length").alias("length"),
+        (-F.col("most.period")).alias("period"),
+        F.expr("1000 * most.length div -most.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+        "n_words",
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    back = bpe.decoded(ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256")), path, public_tokenizers.PATTERN)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = lloyd.integers(table(spark, sf_dir, "embeddings"), dims=64)
+    found, centroids = lloyd.clustered(vectors, lloyd.first_centroids(vectors, 8, seed=3), rounds=10)
+    return lloyd.with_inertia(found, centroids)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_html_extraction, op3_language_id, op4_mixing, op5_packing, op6_sharding, op7_minhash_dedup, op8_substring_dedup, op9_tiff, op10_url_rules)
+    found = (op1_quality_rules, op2_html_extraction, op3_language_id, op4_mixing, op5_packing, op6_sharding, op7_minhash_dedup, op8_substring_dedup, op9_tiff, op10_url_rules, op11_periodic_runs, op12_byte_bpe, op13_delta_lloyd)
     return {f.__name__: f for f in found}
 
 
@@ -111,5 +152,18 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 """
 
 
+_OWNED = "a{r} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v.x) AS x, min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 8 + c) AS near FROM kept v, c{r} c GROUP BY r)"
+_MEANS = """c{n} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+  SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT near % 8 AS c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) m ON m.c = c.c)"""
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e) AND abs(1024 * e::DOUBLE) <= {lloyd.LARGEST})) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept ORDER BY h NULLS LAST, x LIMIT 8)),
+{", ".join(_OWNED.format(r=r) + ", " + _MEANS.format(r=r, n=r + 1) for r in range(10))}, {_OWNED.format(r=10)}
+SELECT vec_id, (near % 8)::INT AS cluster, near // 8 AS distance, sum(near // 8) OVER (PARTITION BY near % 8)::BIGINT AS cluster_inertia, sum(near // 8) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a10 JOIN c10 c ON c.c = near % 8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op1_quality_rules": quality_rules.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_url_rules": OP10_SQL}
+    return {"op6_sharding": OP6_SQL, "op1_quality_rules": quality_rules.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_url_rules": OP10_SQL, "op13_delta_lloyd": OP13_SQL}
