@@ -9,12 +9,12 @@ ZONE = "Europe/Kyiv"
 #: Month names in the genitive, fixed values.
 MONTHS = {"січня": 1, "лютого": 2, "березня": 3, "квітня": 4, "травня": 5, "червня": 6, "липня": 7, "серпня": 8, "вересня": 9, "жовтня": 10, "листопада": 11, "грудня": 12}
 _MONTH = "(" + "|".join(MONTHS) + ")"
-#: A day, a month's name, perhaps a year, perhaps a time: groups day, month, year, hour, minute.
+#: A day, a month's name, perhaps a year, perhaps a time: groups day, month, year, hour, minute; fixed pattern.
 DATE_IN_TEXT = rf"(?iu)(\d{{1,2}})\s+{_MONTH}(?:\s+(20\d{{2}}))?(?:\s*[,|—-]?\s*(\d{{1,2}}):(\d{{2}}))?"
-#: A month's name with a time at least: groups day, month, year, hour, minute.
+#: A month's name with a time at least: groups day, month, year, hour, minute; fixed pattern.
 DATE_LINE = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(\d{{1,2}})\s+{_MONTH}\s+(?:(20\d{{2}})\s*[,—-]?\s*)?(\d{{1,2}}):(\d{{2}})(?!\p{{N}})"
-#: Numbers only: groups day, month, year, hour, minute.
-NUMERIC = r"(?<!\d)(\d{1,2})\.(\d{1,2})\.(20\d{2})\s+(\d{1,2}):(\d{2})"
+#: Numbers with a time: groups day, month, year, hour, minute; fixed pattern.
+NUMBERS = r"(\d{1,2})[./-](\d{1,2})[./-](20\d{2})\s*(?:[рР]\.?\s*)?(\d{1,2}):(\d{2})"
 #: Numbers or a month's name, with a time, as generic cards have it; fixed pattern.
 GENERIC_DATE = rf"(?iu)(\d{{1,2}})[./-](\d{{1,2}})[./-](20\d{{2}})\s*(?:р\.?\s*)?(\d{{1,2}}):(\d{{2}})|(\d{{1,2}})\s+{_MONTH}(?:\s+(20\d{{2}}))?\s*(?:р\.?\s*)?(\d{{1,2}}):(\d{{2}})"
 #: A weekday's name or an apostrophe may stand between, and twelve characters before the time, as catalogue cards have it; fixed pattern.
@@ -66,10 +66,9 @@ def date_in_text(text: Column, now: Column, default_year: Column | None = None)
 
 
 def date_of_line(line: Column, default_year: Column) -> Column:
-    """A catalogue line's date, which must have a time: a month's name, or numbers; null if there is none."""
+    """A catalogue line's date, a month's name with a time; numbers alone are none; null if there is none or it is no date."""
     day, month, year, hour, minute = _parts(line, DATE_LINE)
-    d2, m2, y2, h2, n2 = _parts(line, NUMERIC)
-    return F.coalesce(_stamp(F.coalesce(year.cast("int"), default_year), month_number(month), day, hour, minute), _stamp(y2, m2, d2, h2, n2))
+    return _stamp(F.coalesce(year.cast("int"), default_year), month_number(month), day, hour, minute)
 
 
 def iso_instant(text: Column) -> Column:
@@ -90,6 +89,12 @@ def _day(at: Column) -> Column:
     return F.date_trunc("day", at)
 
 
+def date_numeric(text: Column) -> Column:
+    """The first date of numbers alone, with a time; null if there is none or it is no date."""
+    day, month, year, hour, minute = _parts(text, NUMBERS)
+    return _stamp(year, month, day, hour, minute)
+
+
 def date_generic(text: Column, now: Column) -> Column:
     """A generic card's date: the first in the text; a missing year is now's, or the next one if the day is past; null if it is no date."""
     part = [F.nullif(F.regexp_extract(text, GENERIC_DATE, k), F.lit("")) for k in range(1, 11)]

@@ -515,7 +515,7 @@ def parse_dates_multi(spark, d):
     name = F.element_at(F.array(*map(F.lit, timeutil.MONTHS)), F.month(at))
     worded = F.concat(F.dayofmonth(at).cast("string"), F.lit(" "), name, F.lit(" "), F.year(at).cast("string"), F.lit(", "), F.date_format(at, "HH:mm"))
     line = F.when(k % 4 == 0, worded).when(k % 4 == 1, F.date_format(at, "d.M.yyyy HH:mm")).when(k % 4 == 2, F.date_format(at, "yyyy-MM-dd'T'HH:mm'Z'")).otherwise("31.2.2005 10:00")
-    parsed = F.coalesce(timeutil.date_of_line(line, F.lit(2024)), timeutil.iso_instant(line))
+    parsed = F.coalesce(timeutil.date_of_line(line, F.lit(2024)), timeutil.date_numeric(line), timeutil.iso_instant(line))
     return t(spark, d, "orders").select("o_orderkey", parsed.cast("timestamp_ntz").alias("at"))
 
 
@@ -532,8 +532,8 @@ def category_ladder(spark, d):
     return t(spark, d, "documents").select("doc_id", text.category_of(F.element_at(words, (F.col("doc_id") % 6 + 1).cast("int"))).alias("category"))
 
 
-@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS root, list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda x: regexp_replace(x, '[)\\],.;]+$', ''))) AS hs FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(x, '^[A-Za-z]+:') THEN x WHEN starts_with(x, '/') THEN root || x ELSE root || '/' || x END AS href FROM (SELECT page_id, root, unnest(hs) AS x FROM h)""")
+@query("""WITH x AS (SELECT DISTINCT page_id, url, rtrim(split_part(part, '"', 1), ')],.;') AS h FROM (SELECT page_id, url, unnest(string_split(html, '<a href="')[2:]) AS part FROM pages))
+SELECT page_id, CASE WHEN contains(h, '://') THEN h ELSE split_part(url, '://', 1) || '://' || split_part(split_part(url, '://', 2), '/', 1) || h END AS href FROM x""")
 def page_links(spark, d):
     return page_sources.links(t(spark, d, "pages")).select("page_id", "href")
 
@@ -767,12 +767,12 @@ def collection_run(spark, d):
     return log.join(run["totals"].select("collected", "errors")).join(run["gate"].select("passed"))  # one row each
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 0 END AS n FROM pages WHERE url LIKE '%/en/%'")
+@query("""WITH u AS (SELECT page_id, rtrim(url, ')],.;') AS whole, rtrim(split_part(url, '#', 1), ')],.;') AS bare FROM pages WHERE contains(url, '/en/'))
+SELECT page_id, bare AS href FROM u UNION SELECT page_id, whole FROM u""")
 def path_link_counts(spark, d):
-    """Links below /en/ that pages hold in their own addresses, found in plain text."""
-    rows = t(spark, d, "pages").select("page_id", "url", F.concat(F.lit("see "), "url", F.lit(")")).alias("body"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
-    found = F.array_distinct(F.regexp_extract_all("body", F.lit(r"https?://[A-Za-z0-9.-]+/en/[A-Za-z0-9_./%?=&-]*"), 0))
-    return rows.select("page_id", F.size(found).alias("n")).where("n > 0")
+    """Links below /en/ of pages that end with their own address, as an anchor and in the text."""
+    own = F.concat(F.lit("<p>See <a href='"), "url", F.lit("'>here</a>, "), "url", F.lit(").</p>"))
+    return page_sources.path_links(t(spark, d, "pages").select("page_id", "url", F.concat("html", own).alias("body")), "/en/").select("page_id", "href")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN make_timestamp(2026, 9, 1 + page_id % 28, 19, 30, 0) ELSE make_timestamp(2026, 10, 1 + page_id % 28, 18, 0, 0) END AS start_at, 'Подія ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'Зал ' || page_id || 'а' END AS venue FROM pages")

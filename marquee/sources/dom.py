@@ -17,22 +17,39 @@ CLIMB = 10
 #: Element names of the HTML standard, fixed values.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template".split())
+#: What an opening tag ends, and the elements it doesn't reach out of; names of the HTML standard, fixed values.
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "optgroup": ("option", "optgroup"), "tr": ("tr", "caption"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "caption"), "tfoot": ("tbody", "thead"), "thead": ("caption",)}
+_TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+_CELLS = frozenset("table caption td th button template".split())
+SCOPES = {"li": ("ul", "ol", "menu", "table"), "dd": ("dl", "table"), "dt": ("dl", "table"), "option": ("select",), "optgroup": ("select",), **dict.fromkeys("tr tbody tfoot thead".split(), ("table",)), **dict.fromkeys(("td", "th"), ("table", "tr"))}
+#: Elements before which an open paragraph ends; names of the HTML standard, fixed values.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 NODE = "struct<i int, tag string, cls string, href string, at string, upto int, first int, last int, path array<int>>"
 PAGE = f"struct<nodes array<{NODE}>, strings array<string>>"
 
 
 class _Tree(HTMLParser):
-    """Elements in page order, each with the strings from first to last and its descendants up to upto."""
+    """Elements in page order, each with the strings from first to last and its descendants up to upto.
+
+    An opening tag ends the elements of ENDS and open paragraphs, an end tag what is open inside its element; neither reaches
+    out of the scopes of SCOPES. Places of the open elements are kept by name, so that a page takes time by its length only.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.strings: list[str] = []
         self.open: list[dict] = []
+        self.at: dict[str, list[int]] = {}  # places in open by name, the innermost last
+
+    def _place(self, names: tuple[str, ...] | frozenset[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "li" and any(n["tag"] == "li" for n in self.open) and self.open[-1]["tag"] == "li":
-            self._close()
+        for ended, scope in ((ENDS.get(tag, ()), SCOPES.get(tag, ())), (("p",) if tag in _ENDS_P else (), _CELLS)):
+            place = self._place(ended)
+            if place > self._place(scope):
+                self._close(place)
         found = dict(attrs)
         path = [n["i"] for n in self.open[: -CLIMB - 1 : -1]] if "href" in found or "datetime" in found else []
         node = {"i": len(self.nodes), "tag": tag, "cls": found.get("class") or "", "href": found.get("href"), "at": found.get("datetime"), "upto": 0, "first": len(self.strings), "last": 0, "path": path}
@@ -40,17 +57,20 @@ class _Tree(HTMLParser):
         if tag in _VOID:
             node["upto"], node["last"] = len(self.nodes), len(self.strings)
         else:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
-    def _close(self):
-        node = self.open.pop()
-        node["upto"], node["last"] = len(self.nodes), len(self.strings)
+    def _close(self, place: int) -> None:
+        """Close what is open from a place on."""
+        while len(self.open) > place:
+            node = self.open.pop()
+            self.at[node["tag"]].pop()
+            node["upto"], node["last"] = len(self.nodes), len(self.strings)
 
     def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.open[-64:]):  # an end tag further up closes nothing
-            while self.open[-1]["tag"] != tag:
-                self._close()
-            self._close()
+        place = self._place((tag,))
+        if place > (-1 if tag in _TABLE else self._place(_CELLS)):
+            self._close(place)
 
     def handle_data(self, data):
         data = " ".join(data.split())
@@ -59,11 +79,22 @@ class _Tree(HTMLParser):
 
     def page(self) -> dict:
         self.close()
-        while self.open:
-            self._close()
+        self._close(0)
         return {"nodes": self.nodes, "strings": self.strings}
 
 
+class _Anchors(HTMLParser):
+    """Targets of the anchors of a page, in page order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hrefs: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.hrefs += [v for k, v in attrs if k == "href" and v is not None][:1]
+
+
 def _tree(html: str | None) -> dict:
     tree = _Tree()
     tree.feed(html or "")
@@ -79,6 +110,21 @@ def parsed(html: Column | str) -> Column:
     return F.pandas_udf(_parsed, PAGE)(html)
 
 
+def _hrefs(html: pd.Series) -> pd.Series:
+    def of(page: str | None) -> list[str]:
+        found = _Anchors()
+        found.feed(page or "")
+        found.close()
+        return found.hrefs
+
+    return pd.Series([of(h) for h in html], dtype=object)
+
+
+def hrefs(html: Column | str) -> Column:
+    """Targets of a page's anchors in page order, however they are quoted; what scripts and comments hold is none."""
+    return F.pandas_udf(_hrefs, "array<string>")(html)
+
+
 def _join(base: str | None, href: str | None) -> str | None:
     try:
         return urljoin(base or "", href or "")

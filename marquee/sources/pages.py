@@ -26,14 +26,14 @@ MONTH_LABELS = ("концерти", "театри", "дітям", "stand-up", "
 CITY_HEADINGS = ("Події у місті", "Вистави та концерти у Тернополі")
 
 
+def _whole(hrefs: Column) -> Column:
+    """Absolute links, without brackets and stops at their ends, each once."""
+    return F.array_distinct(F.filter(F.transform(hrefs, lambda h: F.regexp_replace(h, r"[)\],.;]+$", "")), lambda h: h.isNotNull()))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href): targets of anchors in page order, trailing brackets and stops cut, made absolute, each once per page."""
-    raw = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
-    root = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1)
-    # links of these pages are absolute or begin at the root or beside it; dom.absolute resolves ../ and the like
-    absolute = lambda h: F.when(h.rlike("^[A-Za-z]+:"), h).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(root, F.lit("/"), h))
-    hrefs = F.array_distinct(F.transform(raw, lambda h: absolute(F.regexp_replace(h, r"[)\],.;]+$", ""))))
-    return pages.select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+    """(page_id, pos, href): targets of anchors of pages (page_id, url, html) in page order, made absolute, trailing brackets and stops cut, each once per page."""
+    return pages.select("page_id", F.posexplode(_whole(dom.absolute_all("url", dom.hrefs("html")))).alias("pos", "href"))
 
 
 def first_match(html: Column, tag: str) -> Column:
@@ -46,8 +46,6 @@ def lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(plain, r"\R"), text.squeezed), lambda x: x != "")
 
 
-#: Levels of a JSON-LD value that are walked; deeper ones can't be read by the JSON parser either.
-DEEPEST = 500
 _JSONLD = "array<struct<name string, start string, venue string, address string, price string, ticket_url string, url string, description string>>"
 
 
@@ -104,16 +102,18 @@ def jsonld_events(pages: DataFrame, local: bool = False) -> DataFrame:
     return keep_last(rows, ["page_id", "external_id"], "pos").select("page_id", "pos", *cards.EVENT, "description")
 
 
-def path_links(pages: DataFrame, prefix: str, site: str) -> DataFrame:
+def path_links(pages: DataFrame, prefix: str, site: str | None = None) -> DataFrame:
     """(page_id, pos, href): links of pages (page_id, url, body) whose path holds prefix, from anchors, then absolute and bare ones in the text.
 
-    Made absolute, trailing brackets and stops cut, each once per page in that order.
+    Made absolute, trailing brackets and stops cut, each once per page in that order. Without site, absolute links of the text
+    may be of any host.
     """
     path = re.escape(prefix) + r"[A-Za-z0-9_./%?=&-]+"
-    anchors = F.filter(F.regexp_extract_all("body", F.lit(r"""(?i)<a\s[^>]*?href=["']([^"']*)["']"""), 1), lambda h: F.contains(h, F.lit(prefix)))
-    found = F.concat(anchors, F.regexp_extract_all("body", F.lit(f"https?://{re.escape(site)}{path}"), 0), F.regexp_extract_all("body", F.lit(f"(?:https?://{re.escape(site)})?{path}"), 0))
-    whole = F.transform(dom.absolute_all("url", found), lambda h: F.regexp_replace(h, r"[)\],.;]+$", ""))
-    return pages.select("page_id", F.posexplode(F.array_distinct(F.filter(whole, lambda h: F.contains(h, F.lit(prefix))))).alias("pos", "href"))
+    root = f"https?://{re.escape(site) if site else '[A-Za-z0-9.-]+'}"
+    anchors = F.filter(dom.hrefs("body"), lambda h: F.contains(h, F.lit(prefix)))
+    found = F.concat(anchors, F.regexp_extract_all("body", F.lit(f"{root}{path}"), 0), F.regexp_extract_all("body", F.lit(f"(?:{root})?{path}"), 0))
+    whole = F.filter(_whole(dom.absolute_all("url", found)), lambda h: F.contains(h, F.lit(prefix)))
+    return pages.where("body is not null").select("page_id", F.posexplode(whole).alias("pos", "href"))
 
 
 def _window(lines: Column, at: Column, back: int, ahead: int) -> tuple[Column, Column]:
@@ -142,8 +142,7 @@ def line_events(pages: DataFrame, now: str, city: str = text.CITY, back: int = 6
         before, after = _window(F.col("lines"), k, back, ahead)
         return F.struct(k.alias("pos"), timeutil.date_of_line(line, F.col("year")).cast("timestamp_ntz").alias("start_at"), before.alias("before"), after.alias("window"))
 
-    is_date = lambda line: line.rlike(timeutil.DATE_LINE) | line.rlike(timeutil.NUMERIC)
-    spots = F.filter(F.transform("lines", lambda x, k: F.when(is_date(x), dated(x, k))), lambda d: d["start_at"] >= at)
+    spots = F.filter(F.transform("lines", lambda x, k: F.when(x.rlike(timeutil.DATE_LINE), dated(x, k))), lambda d: d["start_at"] >= at)
     rows = rows.select("page_id", "url", F.explode(spots).alias("d")).select("page_id", "url", "d.*").withColumn("city_at", _city_at(F.col("window"), city)).where("city_at > 0")
     between = F.filter(F.slice("window", F.lit(1), F.col("city_at") - 1), usable)
     rows = rows.withColumn("title", F.coalesce(F.try_element_at(F.filter("before", usable), F.lit(-1)), F.get(between, F.lit(0))))
