@@ -29,8 +29,8 @@ from .common import in_batches
 
 #: Bytes of a word that the plain recursion works; positions must fit into eight bits.
 SHORT = 128
-#: Words whose ids a task remembers; beyond, it starts anew.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers, some 200 bytes each; beyond, it starts anew.
+REMEMBERED = 400_000
 #: Texts are worked in blocks of so many characters, ids in slices of so many; one long text or word is a block of its own.
 BLOCK_CHARS, SLICE_IDS = 1 << 20, 1 << 19
 
@@ -43,7 +43,7 @@ WITH RECURSIVE step(word, pos, nxt, id, nid, round) AS (
   FROM step s JOIN (
     SELECT h.word, h.pos, h.nxt, h.made, r.nxt AS nxt2, r.nid AS nid2 FROM (
       SELECT word, (min(k) & 255)::INT AS pos, (min(k) >> 8)::INT AS made, arg_min(nxt, k) AS nxt
-      FROM (SELECT s.word, s.nxt, m.made::BIGINT * 256 + s.pos AS k FROM step s JOIN merges m ON s.id = m.a AND s.nid = m.b) GROUP BY word) h
+      FROM (SELECT s.word, s.nxt, m.made * 256 + s.pos AS k FROM step s JOIN merges m ON s.id = m.a AND s.nid = m.b) GROUP BY word) h
     JOIN step r ON r.word = h.word AND r.pos = h.nxt) b ON s.word = b.word
   WHERE s.pos <> b.nxt)
 SELECT s.word, list(s.id ORDER BY s.pos) AS ids FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) GROUP BY s.word ORDER BY s.word
