@@ -2,7 +2,7 @@
 
 Rows can only match within a tolerance of time, so a gap wider than that between neighbours in time ends an island, and
 clustering runs island by island. With an equality key, clusters of the any-member rule are the islands of each key. Without
-one, the order-dependent greedy rules run in a grouped map per block, where a block is an island of one key.
+one, rows that match are the edges of a graph, and the order-dependent greedy rules run along the edges of each component.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..tables import Scratch
+from .graph import greedy
+from .titles import similar_pairs
 
 TOLERANCE = 15 * 60
-#: Titles on either side of a tile, about; bins of a tile's counts of pairs of letters; titles whose clusters are found first.
-TILE, BINS, HEAD = 2048, 256, 256
+#: Bins of counts of pairs of letters; titles whose clusters are found first.
+BINS, HEAD = 256, 256
 
 
 def islands(df: DataFrame, keys: list[str], ts: str, seconds: int = TOLERANCE, order: tuple[str, ...] = ()) -> DataFrame:
@@ -83,32 +85,69 @@ def same_occurrence(seconds: int = TOLERANCE, keyed: bool = False) -> Callable[[
     return same
 
 
-def fuzzy_clusters(df: DataFrame, order: str, rule: str = "leader", seconds: int = TOLERANCE, block: tuple[str, ...] = ()) -> DataFrame:
-    """df (.., title, venue, start_at) with cluster, by greedy first match in the order given.
+def _title_matches(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(first, second) of all titles of keys (t, distinct) of which the second is a variant of the first: themselves, similar ones, and those that share their words."""
+    titles = scratch.cut(keys.orderBy("t").withColumn("ord", F.monotonically_increasing_id()), "keys")
+    met = similar_pairs(titles, both=True, scratch=scratch).select("a", "b")
+    words = word_pairs(titles, scratch=scratch)
+    met = scratch.cut(met.unionByName(words).unionByName(words.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "matches")
+    name = lambda side, to: titles.select(F.col("ord").alias(side), F.col("t").alias(to))
+    return met.join(name("a", "first"), "a").join(name("b", "second"), "b").select("first", "second").unionByName(titles.select(F.col("t").alias("first"), F.col("t").alias("second")))
 
-    rule: leader (scraped batches) or any (stored rows, where equal group_key within the tolerance also matches).
-    block: columns whose equality any match implies; islands of time are taken within them. Undated rows are clusters of
-    their own. Memory: the rows of an island in a block; data so dense that islands grow need a block.
+
+def _match_edges(nodes: DataFrame, seconds: int, keyed: bool, block: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """(a, b, at_a, at_b) of nodes (ord, at, title_key, venue_key, [group_key], block) close in time, a before b, of which b is a variant of a or has its group key.
+
+    Rows meet in cells of time: of one title's variants, or of one group key. Venues are compared for rows whose titles match.
+    """
+    tolerance = seconds * 1_000_000
+    cell = F.floor(F.col("at") / max(tolerance, 1))
+    titles = scratch.cut(_title_matches(nodes.select(F.col("title_key").alias("t")).distinct(), scratch), "titles")
+    around = F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")
+    same = [*block, "cell"]
+    left = nodes.select(F.col("ord").alias("a"), F.col("at").alias("at_a"), F.col("title_key").alias("first"), F.col("venue_key").alias("venue_a"), *block, around)
+    right = nodes.select(F.col("ord").alias("b"), F.col("at").alias("at_b"), F.col("title_key").alias("second"), F.col("venue_key").alias("venue_b"), *block, cell.alias("cell"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= tolerance)
+    met = left.join(titles, "first").join(right, ["second", *same]).where(near)
+    v, w = F.col("venue_a"), F.col("venue_b")
+    plain = (v == "") | (w == "") | F.contains(v, w) | F.contains(w, v)
+    alike = met.where(plain).unionByName(met.where(~plain & text.could_reach(v, w, 0.80)).where(text.sequence_ratio(v, w) >= 0.80))
+    out = alike.select("a", "b", "at_a", "at_b")
+    if keyed:
+        key = lambda df, side: df.select(side, f"at_{side}", *same, "group_key")
+        l = nodes.select(F.col("ord").alias("a"), F.col("at").alias("at_a"), "group_key", *block, around)
+        r = nodes.select(F.col("ord").alias("b"), F.col("at").alias("at_b"), "group_key", *block, cell.alias("cell"))
+        out = out.unionByName(key(l, "a").join(key(r, "b"), ["group_key", *same]).where(near).select("a", "b", "at_a", "at_b")).distinct()
+    return out
+
+
+def fuzzy_clusters(df: DataFrame, order: str, rule: str = "leader", seconds: int = TOLERANCE, block: tuple[str, ...] = (), timed: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """df (.., title, venue, start_at) with cluster, by greedy first match in the order given: the order of the cluster's first row.
+
+    rule: leader (scraped batches) or any (stored rows, where equal group_key within the tolerance also matches). The order is
+    unique; timed says that it never goes back in time, so that labels can be forgotten. block: columns whose equality any match
+    implies. Undated rows are clusters of their own. Rows that agree in all that is compared are one node under leader; under
+    any give each of them once.
     """
     keyed = rule == "any" and "group_key" in df.columns
-    given = df.withColumn("title_key", text.normalized(text.bare_title(F.coalesce("title", F.lit(""))), compose=True)).withColumn("venue_key", text.normalized(F.coalesce("venue", F.lit("")), compose=True))
-    dated = islands(given.where("start_at is not null"), list(block), "start_at", seconds, (order,))
-    undated = given.where("start_at is null").select(*df.columns, F.concat(F.lit("undated:"), F.col(order).cast("string")).alias("cluster"))
-    narrow = dated.select(*block, "island", order, "title_key", "venue_key", "start_at", *(["group_key"] if keyed else []))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = pdf.to_dict("records")
-        found = (by_any_member if rule == "any" else by_leader)(rows, same_occurrence(seconds, keyed))
-        first = {}
-        for row, k in zip(rows, found, strict=True):
-            first.setdefault(k, row[order])
-        return pd.DataFrame({order: pdf[order], "cluster": [str(first[k]) for k in found]})
-
-    sized = narrow.withColumn("rows", F.count("*").over(W.partitionBy(*block, "island")))
-    named = sized.where("rows > 1").groupBy(*block, "island").applyInPandas(cluster, f"`{order}` {dict(df.dtypes)[order]}, cluster string")
-    named = named.unionByName(sized.where("rows = 1").select(order, F.col(order).cast("string").alias("cluster")))  # no Python for islands of one row
-    return df.where("start_at is not null").join(named, order).select(*df.columns, "cluster").unionByName(undated)
+    scratch = Scratch(df.sparkSession, "fuzzy", scratch)
+    key = lambda c: text.normalized(c, compose=True)
+    given = df.withColumns({"title_key": key(text.bare_title(F.coalesce("title", F.lit("")))), "venue_key": key(F.coalesce("venue", F.lit(""))), "at": F.unix_micros(F.col("start_at").cast("timestamp"))})
+    undated = df.where("start_at is null").select(*df.columns, F.concat(F.lit("undated:"), F.col(order).cast("string")).alias("cluster"))
+    features = ["at", "title_key", "venue_key", *block]
+    rows = scratch.cut(given.where("start_at is not null"), "rows")
+    nodes = rows.select(*features, *(["group_key"] if keyed else []), F.col(order).alias("first_row")) if rule == "any" else rows.groupBy(*features).agg(F.min(order).alias("first_row"))
+    nodes = scratch.cut(nodes.orderBy("first_row").withColumn("ord", F.monotonically_increasing_id()), "nodes")
+    edges = _match_edges(nodes, seconds, keyed, block, scratch)
+    found = greedy(edges, rule, seconds * 1_000_000 if timed else None, scratch)
+    opener = nodes.select(F.col("ord").alias("opener"), F.col("first_row").cast("string").alias("cluster"))
+    joined = scratch.cut(found.join(opener, "opener").select(F.col("node").alias("ord"), "cluster"), "joined")
+    named = nodes.join(joined, "ord", "left").withColumn("cluster", F.coalesce("cluster", F.col("first_row").cast("string")))
+    if rule == "any":
+        out = rows.join(named.select(F.col("first_row").alias(order), "cluster"), order)
+    else:
+        out = rows.join(named.select(*features, "cluster"), features)
+    return out.select(*df.columns, "cluster").unionByName(undated)
 
 
 class Titles:
@@ -178,51 +217,6 @@ class Titles:
         return self.order[low:high][shared >= 3 * m - total - 1]
 
 
-def similar_pairs(titles: DataFrame, least: float = 0.90, both: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b, similarity): all pairs of titles (ord, t), ord and t unique, whose ratio, the lesser ord first, reaches least. both: either first.
-
-    Such pairs lie in one band of lengths or in neighbouring ones. Bands are compared in tiles of bounded size, which return
-    pairs that reach it only.
-    """
-    width = (2 - least) / least * 1.0001
-    scratch = Scratch(titles.sparkSession, "titles", scratch)
-    banded = scratch.cut(titles.where("length(t) > 0").select("ord", "t", F.floor(F.log(F.length("t").cast("double")) / float(np.log(width))).cast("int").alias("band")), "banded")
-    blocks = {r["band"]: r["count"] // TILE + 1 for r in banded.groupBy("band").count().collect()}  # a row for each band of lengths
-    if not blocks:
-        return titles.select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(None).cast("double").alias("similarity")).where("false")
-    many = F.create_map(*(F.lit(x) for item in blocks.items() for x in item))
-    of = lambda band: F.coalesce(F.element_at(many, band), F.lit(0))
-    placed = banded.withColumn("block", F.pmod(F.xxhash64("ord"), of(F.col("band"))).cast("int"))
-    band, block = F.col("band"), F.col("block")
-    every = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
-    tile = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
-    own = every(of(band), lambda j: tile(band, band, F.least(block, j), F.greatest(block, j)))
-    up = every(of(band + 1), lambda j: tile(band, band + 1, block, j))
-    down = every(of(band - 1), lambda j: tile(band - 1, band, j, block))
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high, i, j = (pdf[c].iloc[0] for c in ("low", "high", "i", "j"))
-        left, right = (pdf[(pdf["band"] == b) & (pdf["block"] == k)] for b, k in ((low, i), (high, j)))
-        same = low == high and i == j
-        out, (ords, others) = [], (left["ord"].to_numpy(), right["ord"].to_numpy())
-        if len(left) and len(right):
-            ours, theirs = Titles(left["t"].tolist()), Titles(right["t"].tolist())
-            for k in range(len(ours.texts)):
-                for x in theirs.alike(ours, k, least):
-                    if same and others[x] <= ords[k]:
-                        continue
-                    a, b = ((ords[k], ours.texts[k]), (others[x], theirs.texts[x]))[:: 1 if ords[k] < others[x] else -1]
-                    for p, q in ((a, b), (b, a)) if both else ((a, b),):
-                        found = text.ratio(p[1], q[1])
-                        if found >= least:
-                            out.append((p[0], q[0], found))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    tiles = placed.select("ord", "t", "band", "block", F.explode(F.concat(own, up, down)).alias("at")).select("ord", "t", "band", "block", "at.*")
-    n = sum(m * (m + 1) // 2 + m * blocks.get(b + 1, 0) for b, m in blocks.items())  # few bytes for much work, so that Spark must not merge partitions
-    return tiles.repartition(min(max(_partitions(titles), n), 4096), "low", "high", "i", "j").groupBy("low", "high", "i", "j").applyInPandas(compared, "a long, b long, similarity double")
-
-
 def word_pairs(titles: DataFrame, least: float = 0.85, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a before b: all pairs of titles (ord, t) of which one has least of the other's distinct words, which are three at least.
 
@@ -244,8 +238,7 @@ def title_clusters(df: DataFrame, order: str, scratch: Scratch | None = None) ->
     """df (.., title) with cluster, the order of its leader: by_leader with same_title over all rows in the order given, without a block.
 
     Rows of one normalised title are one, with their least order. Clusters of the first titles are found first, so that a large
-    group's pairs are not listed. The others' leaders follow from all pairs that match: a title is a leader if none before it
-    that it matches is one; rounds decide those whose matches before them are decided.
+    group's pairs are not listed. The others' leaders follow from all pairs that match, along the edges of each component.
     """
     key = text.normalized(text.bare_title(F.coalesce("title", F.lit(""))), compose=True)
     scratch = Scratch(df.sparkSession, "titles", scratch)
@@ -274,14 +267,7 @@ def title_clusters(df: DataFrame, order: str, scratch: Scratch | None = None) ->
     placed = scratch.cut(titles.repartition(_partitions(df)).withColumn("cluster", joined("t")), "placed")
     rest = placed.where("cluster is null").select("ord", "t")
     pairs = scratch.cut(similar_pairs(rest, scratch=scratch).select("a", "b").unionByName(word_pairs(rest, scratch=scratch)).distinct(), "pairs")
-    left, members = pairs, pairs.select(F.col("b").alias("ord")).where("false")
-    while not left.isEmpty():
-        roots = left.select(F.col("a").alias("root")).distinct().join(left.select(F.col("b").alias("root")), "root", "left_anti")
-        hit = scratch.cut(left.join(roots, F.col("a") == F.col("root"), "left_semi").select(F.col("b").alias("ord")).distinct(), "hit")
-        members = members.unionByName(hit)
-        gone = hit.unionByName(roots.select(F.col("root").alias("ord")))
-        left = scratch.cut(left.join(gone, F.col("a") == F.col("ord"), "left_anti").join(gone, F.col("b") == F.col("ord"), "left_anti"), "left")
-    found = pairs.join(members, F.col("a") == F.col("ord"), "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+    found = greedy(pairs, "leader", scratch=scratch).select(F.col("node").alias("b"), F.col("opener").alias("leader"))
     named = scratch.cut(placed.join(found, F.col("ord") == F.col("b"), "left").select("t", F.coalesce("cluster", "leader", "ord").cast("string").alias("cluster")), "named")
     scratch.keep_only(keyed, named)
     return keyed.join(named, F.col("_t") == F.col("t")).select(*df.columns, "cluster")

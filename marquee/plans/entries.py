@@ -21,9 +21,15 @@ Clustering = Callable[[DataFrame], DataFrame]
 
 
 def fuzzy(rows: DataFrame) -> DataFrame:
-    """Greedy any-member clusters in the order of (start_at, title, id)."""
-    order = F.concat_ws("|", F.coalesce(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("~")), F.coalesce("title", F.lit("")), F.lpad(F.col("id").cast("string"), 20, "0"))
-    return canonical.fuzzy_clusters(rows.withColumn("ord", order), "ord", "any").drop("ord")
+    """Greedy any-member clusters in the order of (start_at, title, venue, group_key); rows equal in these are one to it, however many."""
+    empty = F.lit("")
+    keys = {"_title": F.coalesce("title", empty), "_venue": F.coalesce("venue", empty), "_key": F.coalesce("group_key", empty)}
+    given = rows.withColumns(keys).withColumn("_ord", F.concat_ws("\x01", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), *keys))
+    dated = given.where("start_at is not null")
+    nodes = dated.groupBy("_ord").agg(F.first("start_at").alias("start_at"), *(F.first(k).alias(c) for k, c in zip(keys, ("title", "venue", "group_key"), strict=True)))
+    named = canonical.fuzzy_clusters(nodes, "_ord", "any", timed=True).select("_ord", "cluster")
+    undated = rows.where("start_at is null").withColumn("cluster", F.concat(F.lit("undated:"), F.col("id").cast("string")))
+    return dated.join(named, "_ord").select(*rows.columns, "cluster").unionByName(undated)
 
 
 def equal(*keys: str) -> Clustering:
@@ -37,15 +43,20 @@ def equal(*keys: str) -> Clustering:
 
 
 def occurrences(rows: DataFrame, clustering: Clustering = fuzzy) -> DataFrame:
-    """One row per occurrence: its representative's columns, prices (distinct, sorted), keys, n_rows and offers."""
-    row = F.struct(*rows.columns)
+    """One row per occurrence: its representative's columns, prices (distinct, sorted) and n_rows."""
+    return _occurrences(clustering(rows), rows.columns)
+
+
+def _occurrences(clustered: DataFrame, columns: list[str]) -> DataFrame:
     order = F.struct(F.col("start_at").isNull(), "start_at", -F.length(text.normalized(text.bare_title(F.coalesce("title", F.lit(""))))), "source", "id")
     price = F.nullif("price_text", F.lit(""))
-    found = clustering(rows).groupBy("cluster").agg(
-        F.min_by(row, order).alias("event"), F.array_sort(F.collect_set(price)).alias("prices"), F.collect_set("group_key").alias("keys"), F.count("*").alias("n_rows"),
-        F.array_sort(F.collect_list(F.when(F.coalesce("ticket_url", F.lit("")) != "", F.struct("source", "ticket_url")))).alias("offers"),
-    )
-    return found.select("cluster", "event.*", "prices", "keys", "n_rows", "offers")
+    found = clustered.groupBy("cluster").agg(F.min_by(F.struct(*columns), order).alias("event"), F.array_sort(F.collect_set(price)).alias("prices"), F.count("*").alias("n_rows"))
+    return found.select("cluster", "event.*", "prices", "n_rows")
+
+
+def offers(clustered: DataFrame) -> DataFrame:
+    """(cluster, source, ticket_url), distinct: where an occurrence's tickets are sold; clustered is what a clustering gives."""
+    return clustered.where(F.coalesce("ticket_url", F.lit("")) != "").select("cluster", "source", "ticket_url").distinct()
 
 
 def shown(found: DataFrame, limit: int = SHOWN) -> DataFrame:
@@ -92,9 +103,9 @@ def search_list(events: DataFrame, words: str, now: str, limit: int = FOUND, clu
 def kept_list(events: DataFrame, keys: DataFrame, now: str, clustering: Clustering = fuzzy) -> DataFrame:
     """(user_id, occurrence columns): coming occurrences any of whose rows has a key of the user. keys: (user_id, group_key)."""
     rows = events.where((F.col("status") == "active") & (F.col("start_at") >= F.lit(now).cast("timestamp_ntz")))
-    found = occurrences(rows, clustering)
-    hit = found.select("cluster", F.explode("keys").alias("group_key")).join(keys.select("user_id", "group_key").distinct(), "group_key").select("user_id", "cluster").distinct()
-    return hit.join(found, "cluster")
+    clustered = clustering(rows)
+    hit = clustered.select("cluster", "group_key").distinct().join(keys.select("user_id", "group_key").distinct(), "group_key").select("user_id", "cluster").distinct()
+    return hit.join(_occurrences(clustered, rows.columns), "cluster")
 
 
 def reminder_list(events: DataFrame, subscriptions: DataFrame, now: str, clustering: Clustering = fuzzy) -> DataFrame:

@@ -100,43 +100,41 @@ def _islands_sql(keys: str, minutes: int, where: str = "TRUE") -> str:
 i AS (SELECT *, sum(cut) OVER (PARTITION BY {keys} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM f)"""
 
 
-_MONTH = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25'"
 
 
-def _month_clusters(spark, d, seconds: int, keys: list[str]) -> DataFrame:
-    rows = t(spark, d, "events").where(timeutil.in_range(F.col("ts"), "2024-01-10", "2024-01-25")).select("event_id", "ts", "user_id", "event_type", "value")
+def _event_clusters(spark, d, seconds: int, keys: list[str]) -> DataFrame:
+    rows = t(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return canonical.clusters(rows, keys, "ts", "event_id", seconds)
 
 
-@query(_islands_sql("user_id, event_type", 15, _MONTH) + " SELECT category, count(*) AS n FROM (SELECT arg_min(event_type, (ts, event_id)) AS category FROM i GROUP BY user_id, event_type, island) GROUP BY category ORDER BY n DESC, category")
+@query(_islands_sql("user_id, event_type", 15) + " SELECT category, count(*) AS n FROM (SELECT arg_min(event_type, (ts, event_id)) AS category FROM i GROUP BY user_id, event_type, island) GROUP BY category ORDER BY n DESC, category")
 def category_counts_canonical(spark, d):
     best = F.min_by("event_type", F.struct("ts", "event_id")).alias("category")
-    rows = _month_clusters(spark, d, 900, ["user_id", "event_type"]).groupBy("user_id", "cluster").agg(best)
+    rows = _event_clusters(spark, d, 900, ["user_id", "event_type"]).groupBy("user_id", "cluster").agg(best)
     return rows.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(12)
 
 
-@query(_islands_sql("user_id", 360, _MONTH) + """ SELECT user_id, start_at, n_rows FROM (SELECT user_id, min(ts) AS start_at, count(*) AS n_rows, arg_min(event_type, (ts, event_id)) AS category
+@query(_islands_sql("user_id", 360) + """ SELECT user_id, start_at, n_rows FROM (SELECT user_id, min(ts) AS start_at, count(*) AS n_rows, arg_min(event_type, (ts, event_id)) AS category
 FROM i GROUP BY user_id, island) WHERE category = 'purchase'""")
 def category_after_cluster(spark, d):
-    rows = _month_clusters(spark, d, 6 * 3600, ["user_id"]).groupBy("user_id", "cluster").agg(F.min("ts").alias("start_at"), F.count("*").alias("n_rows"), F.min_by("event_type", F.struct("ts", "event_id")).alias("category"))
+    rows = _event_clusters(spark, d, 6 * 3600, ["user_id"]).groupBy("user_id", "cluster").agg(F.min("ts").alias("start_at"), F.count("*").alias("n_rows"), F.min_by("event_type", F.struct("ts", "event_id")).alias("category"))
     return rows.where("category = 'purchase'").select("user_id", "start_at", "n_rows")
 
 
-@query(_islands_sql("user_id", 360, _MONTH) + """ SELECT min(event_id) AS cluster, user_id, min(ts) AS start_at, count(*) AS n_rows, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM i GROUP BY user_id, island""")
+@query(_islands_sql("user_id", 360) + """ SELECT min(event_id) AS cluster, user_id, min(ts) AS start_at, count(*) AS n_rows, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM i GROUP BY user_id, island""")
 def canonical_any_member(spark, d):
     kinds = F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")
-    return _month_clusters(spark, d, 6 * 3600, ["user_id"]).groupBy("cluster", "user_id").agg(F.min("ts").alias("start_at"), F.count("*").alias("n_rows"), kinds)
+    return _event_clusters(spark, d, 6 * 3600, ["user_id"]).groupBy("cluster", "user_id").agg(F.min("ts").alias("start_at"), F.count("*").alias("n_rows"), kinds)
 
 
-@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25'),
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_type, k, ts AS lead_ts, event_id AS cluster, event_id FROM o WHERE k = 1
 UNION ALL SELECT o.user_id, o.event_type, o.k, CASE WHEN o.ts - r.lead_ts <= INTERVAL 720 MINUTE THEN r.lead_ts ELSE o.ts END, CASE WHEN o.ts - r.lead_ts <= INTERVAL 720 MINUTE THEN r.cluster ELSE o.event_id END, o.event_id
 FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.k = r.k + 1)
 SELECT event_id, cluster FROM r""")
 def canonical_leader(spark, d):
     """Leader clusters with an equality key: in time order a row joins the last leader if it is near enough; a fold over the sorted times of an island, as no leader spans a gap of more."""
-    rows = t(spark, d, "events").where(timeutil.in_range(F.col("ts"), "2024-01-10", "2024-01-25"))
-    rows = canonical.islands(rows.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", 720 * 60, ("event_id",))
+    rows = canonical.islands(t(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", 720 * 60, ("event_id",))
     at = lambda x: F.struct(F.unix_micros(x["ts"].cast("timestamp")).alias("at"), x["event_id"].alias("cluster"))
     leader = "struct<at:bigint,cluster:bigint>"
     far = lambda a, x: F.coalesce(F.unix_micros(x["ts"].cast("timestamp")) - F.try_element_at(a, F.lit(-1))["at"] > 720 * 60_000_000, F.lit(True))
@@ -154,6 +152,29 @@ def canonical_fuzzy_titles(spark, d):
     return canonical.title_clusters(docs, "doc_id").select("doc_id", "cluster")
 
 
+def listings(docs: DataFrame) -> DataFrame:
+    """Listings (ord, title, start_at, venue, group_key) of all documents, in a dense half hour: first lines as titles, four venues spelled in two ways or missing."""
+    k = F.col("doc_id")
+    at = F.lit("2026-08-01 18:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(k * 7 % 31).cast("int"))
+    hall = F.concat(F.lit("Зал "), F.element_at(F.array(*map(F.lit, ("опери", "балету", "драми", "цирку"))), (F.length("source") % 4 + 1).cast("int")))
+    venue = F.when(k % 3 == 0, hall).when(k % 3 == 1, F.concat(F.upper(hall), F.lit(", вхід з двору")))
+    return docs.where("text is not null").select(k.alias("ord"), F.substring_index("text", "\n", 1).alias("title"), at.alias("start_at"), venue.alias("venue"), F.md5("source").alias("group_key"))
+
+
+@query(None)
+def canonical_fuzzy_leader(spark, d):
+    """Greedy leader clusters of all documents as listings, by title, time and venue, in the order of doc_id."""
+    rows = listings(t(spark, d, "documents")).drop("group_key")
+    return canonical.fuzzy_clusters(rows, "ord", "leader").select(F.col("ord").alias("doc_id"), "cluster")
+
+
+@query(None)
+def canonical_fuzzy_any(spark, d):
+    """Greedy any-member clusters of all documents as listings, by title, time and venue, in the order of time, title, venue."""
+    rows = listings(t(spark, d, "documents")).withColumn("id", F.col("ord")).withColumn("group_key", F.md5("title"))
+    return entries.fuzzy(rows).select(F.col("ord").alias("doc_id"), F.sha2("cluster", 256).alias("cluster"))
+
+
 @query("""SELECT o_custkey, day, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS prices, count(*) AS n_offers FROM (SELECT *, o_orderdate::DATE AS day FROM orders) GROUP BY o_custkey, day""")
 def cluster_offers(spark, d):
     rows = t(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day"))
@@ -474,10 +495,10 @@ def snapshot_upsert(spark, d):
     return changes.upserted(*_snapshots(spark, d), ["external_id"]).select("external_id", "title", "start_at", "ticket_url")
 
 
-@query(_islands_sql("user_id", 360, _MONTH) + """, k AS (SELECT *, md5(event_type || event_id) AS group_key FROM i), c AS (SELECT user_id, island, min(group_key) AS canonical_key FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
+@query(_islands_sql("user_id", 360) + """, k AS (SELECT *, md5(event_type || event_id) AS group_key FROM i), c AS (SELECT user_id, island, min(group_key) AS canonical_key FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT event_id, canonical_key, group_key <> canonical_key AS reassigned FROM k JOIN c USING (user_id, island)""")
 def key_propagation(spark, d):
-    rows = _month_clusters(spark, d, 6 * 3600, ["user_id"]).withColumn("group_key", F.md5(F.concat("event_type", F.col("event_id").cast("string"))))
+    rows = _event_clusters(spark, d, 6 * 3600, ["user_id"]).withColumn("group_key", F.md5(F.concat("event_type", F.col("event_id").cast("string"))))
     return changes.propagated_keys(rows).select("event_id", "canonical_key", "reassigned")
 
 
@@ -601,25 +622,27 @@ def run_report_json(spark, d):
 
 
 def _snapshot(spark, d) -> DataFrame:
-    """Stored events: a row per event of the table, titles by user and type, every fifth type cancelled."""
+    """Stored events: a row per event of the table. Titles name a type and a user's hash, with variants in letters and case; every fifth type is cancelled."""
     k = F.col("event_id")
+    owner = F.md5(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")))
+    title = F.concat("event_type", F.lit(" "), owner)
     return t(spark, d, "events").select(
-        k.alias("id"), F.md5(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))).alias("group_key"), F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")).alias("title"), F.col("event_type").alias("category"),
+        k.alias("id"), owner.alias("group_key"), F.when(k % 5 == 2, F.concat(title, F.lit("q"))).when(k % 7 == 3, F.upper(title)).otherwise(title).alias("title"), F.col("event_type").alias("category"),
         F.when(k % 50 != 0, F.col("ts")).alias("start_at"), F.when(F.col("event_type") == "error", "cancelled").otherwise("active").alias("status"), F.concat((k % 3 * 100).cast("string"), F.lit(" грн")).alias("price_text"),
-        F.when(k % 4 == 0, F.concat(F.lit("http://t/"), k.cast("string"))).alias("ticket_url"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.lit(None).cast("string").alias("venue"), "user_id",
+        F.when(k % 4 == 0, F.concat(F.lit("http://t/"), k.cast("string"))).alias("ticket_url"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.when(k % 2 == 0, F.concat(F.lit("Зал "), F.col("user_id").cast("string"))).alias("venue"), "user_id",
     )
 
 
-_STORED = """WITH e AS (SELECT event_id AS id, md5(event_type || ':' || user_id) AS group_key, event_type || ' ' || user_id AS title, event_type AS category, CASE WHEN event_id % 50 <> 0 THEN ts END AS start_at,
-CASE WHEN event_type = 'error' THEN 'cancelled' ELSE 'active' END AS status, (event_id % 3 * 100) || ' грн' AS price_text, user_id FROM events)"""
+_STORED = """WITH e AS (SELECT *, CASE WHEN id % 5 = 2 THEN base || 'q' WHEN id % 7 = 3 THEN upper(base) ELSE base END AS title FROM (SELECT event_id AS id, md5(event_type || ':' || user_id) AS group_key, event_type || ' ' || md5(event_type || ':' || user_id) AS base, event_type AS category,
+CASE WHEN event_id % 50 <> 0 THEN ts END AS start_at, CASE WHEN event_type = 'error' THEN 'cancelled' ELSE 'active' END AS status, (event_id % 3 * 100) || ' грн' AS price_text, user_id FROM events))"""
 
 
 def _occurrences_sql(where: str, rest: str, pick: str = "") -> str:
-    """Occurrences of rows of e: stretches of a title's times without a gap of over 15 minutes; undated rows alone."""
+    """Occurrences of rows of e: stretches of a title's times (variants count as one) without a gap of over 15 minutes; undated rows alone."""
     return f"""{_STORED}{pick}, r AS (SELECT * FROM {'p' if pick else 'e'} WHERE status = 'active' AND {where}),
-f AS (SELECT *, CASE WHEN start_at - lag(start_at) OVER (PARTITION BY title ORDER BY start_at, id) > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS cut FROM r),
-i AS (SELECT *, CASE WHEN start_at IS NULL THEN 'u' || id ELSE sum(cut) OVER (PARTITION BY title, start_at IS NULL ORDER BY start_at, id ROWS UNBOUNDED PRECEDING)::VARCHAR END AS island FROM f),
-o AS (SELECT title, any_value(group_key) AS group_key, any_value(category) AS category, min(start_at) AS start_at, min(id) AS low, string_agg(DISTINCT price_text, ', ' ORDER BY price_text) AS prices, count(*) AS n_rows FROM i GROUP BY title, island)
+f AS (SELECT *, CASE WHEN start_at - lag(start_at) OVER (PARTITION BY base ORDER BY start_at, id) > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS cut FROM r),
+i AS (SELECT *, CASE WHEN start_at IS NULL THEN 'u' || id ELSE sum(cut) OVER (PARTITION BY base, start_at IS NULL ORDER BY start_at, id ROWS UNBOUNDED PRECEDING)::VARCHAR END AS island FROM f),
+o AS (SELECT arg_min(title, (coalesce(start_at, TIMESTAMP '2000-01-01'), -length(title), id % 3, id)) AS title, any_value(group_key) AS group_key, any_value(category) AS category, min(start_at) AS start_at, min(id) AS low, string_agg(DISTINCT price_text, ', ' ORDER BY price_text) AS prices, count(*) AS n_rows FROM i GROUP BY base, island)
 {rest}"""
 
 
@@ -630,28 +653,25 @@ def _listed(found: DataFrame, *more: str) -> DataFrame:
     return found.select("title", "start_at", F.array_join("prices", ", ").alias("prices"), "n_rows", *more)
 
 
-_BY_TITLE = entries.equal("title")
-
-
 @query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-15 22:00:00' AND start_at < TIMESTAMP '2024-01-16 22:00:00'", _TOP))
 def day_list(spark, d):
     """Tomorrow's occurrences as a user sees them: the local day, clusters, representatives, the top 20 and how many more."""
-    return _listed(entries.day_list(_snapshot(spark, d), "2024-01-15 10:00:00", 1, _BY_TITLE), "more")
+    return _listed(entries.day_list(_snapshot(spark, d), "2024-01-15 10:00:00", 1), "more")
 
 
 @query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-19 22:00:00' AND start_at < TIMESTAMP '2024-01-21 22:00:00'", _TOP))
 def weekend_list(spark, d):
-    return _listed(entries.weekend_list(_snapshot(spark, d), "2024-01-15 10:00:00", _BY_TITLE), "more")
+    return _listed(entries.weekend_list(_snapshot(spark, d), "2024-01-15 10:00:00"), "more")
 
 
 @query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-14 22:00:00' AND start_at < TIMESTAMP '2024-02-13 22:00:00'", _TOP.replace("FROM o)", "FROM o WHERE category = 'signup')")))
 def category_list(spark, d):
-    return _listed(entries.category_list(_snapshot(spark, d), "signup", "2024-01-15 10:00:00", clustering=_BY_TITLE), "more")
+    return _listed(entries.category_list(_snapshot(spark, d), "signup", "2024-01-15 10:00:00"), "more")
 
 
-@query(_occurrences_sql("TRUE", _TOP.replace("greatest(total - 20, 0)", "0::BIGINT"), ", p AS (SELECT * FROM e WHERE status = 'active' AND contains(title, 'purchase 1') AND (start_at IS NULL OR start_at >= TIMESTAMP '2024-01-14 22:00:00') ORDER BY start_at NULLS LAST, title, id LIMIT 60)"))
+@query(_occurrences_sql("TRUE", _TOP.replace("greatest(total - 20, 0)", "0::BIGINT"), ", p AS (SELECT * FROM e WHERE status = 'active' AND contains(lower(title), 'purchase 1') AND (start_at IS NULL OR start_at >= TIMESTAMP '2024-01-14 22:00:00') ORDER BY start_at NULLS LAST, title, id LIMIT 60)"))
 def search_list(spark, d):
-    return _listed(entries.search_list(_snapshot(spark, d), "  Purchase   1", "2024-01-15 10:00:00", clustering=_BY_TITLE), "more")
+    return _listed(entries.search_list(_snapshot(spark, d), "  Purchase   1", "2024-01-15 10:00:00"), "more")
 
 
 _KEYS = ", k AS (SELECT DISTINCT c_custkey % 40 AS owner, md5(c_mktsegment || ':' || c_custkey) AS group_key FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'purchase' ELSE 'click' END AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0))"
@@ -664,13 +684,13 @@ def _keys(spark, d) -> DataFrame:
 
 @query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-20'", "SELECT owner AS user_id, title, start_at, prices, n_rows FROM o JOIN k USING (group_key)", "").replace(", r AS", f"{_KEYS}, r AS", 1))
 def favorites_list(spark, d):
-    return _listed(entries.kept_list(_snapshot(spark, d).drop("user_id"), _keys(spark, d), "2024-01-20 00:00:00", _BY_TITLE), "user_id")
+    return _listed(entries.kept_list(_snapshot(spark, d).drop("user_id"), _keys(spark, d), "2024-01-20 00:00:00"), "user_id")
 
 
 @query(_occurrences_sql("start_at >= TIMESTAMP '2024-01-20'", "SELECT owner AS user_id, title, start_at, prices, n_rows FROM o JOIN k USING (group_key) WHERE owner % 4 <> 1", "").replace(", r AS", f"{_KEYS}, r AS", 1))
 def reminders_list(spark, d):
     subscriptions = _keys(spark, d).withColumn("enabled", F.col("user_id") % 4 != 1)
-    return _listed(entries.reminder_list(_snapshot(spark, d).drop("user_id"), subscriptions, "2024-01-20 00:00:00", _BY_TITLE), "user_id")
+    return _listed(entries.reminder_list(_snapshot(spark, d).drop("user_id"), subscriptions, "2024-01-20 00:00:00"), "user_id")
 
 
 @query("""WITH f AS (SELECT c_custkey AS user_id, c_custkey % 7 AS g FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT c_custkey AS user_id, c_custkey % 5 AS g FROM customer)
@@ -737,16 +757,16 @@ def ticket_alerts(spark, d):
     return state.ticket_alerts(log, events, venues, NOW).select("event_id", "title", "venue", "detected_at")
 
 
-@query(_islands_sql("user_id", 360, _MONTH) + """, k AS (SELECT *, md5(event_type || event_id) AS group_key FROM i), c AS (SELECT user_id, island, min(group_key) AS canonical_key FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
+@query(_islands_sql("user_id", 360) + """, k AS (SELECT *, md5(event_type || event_id) AS group_key FROM i), c AS (SELECT user_id, island, min(group_key) AS canonical_key FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT event_id, 'canonical_group_assigned' AS change_type, group_key AS old_value, canonical_key AS new_value FROM k JOIN c USING (user_id, island) WHERE group_key <> canonical_key""")
 def key_assignment_log(spark, d):
-    rows = _month_clusters(spark, d, 6 * 3600, ["user_id"]).withColumn("group_key", F.md5(F.concat("event_type", F.col("event_id").cast("string"))))
+    rows = _event_clusters(spark, d, 6 * 3600, ["user_id"]).withColumn("group_key", F.md5(F.concat("event_type", F.col("event_id").cast("string"))))
     return changes.key_log(changes.propagated_keys(rows), ["event_id"]).select("event_id", "change_type", "old_value", "new_value")
 
 
-@query(_islands_sql("user_id, event_type", 15, _MONTH) + """ SELECT min(event_id) AS cluster, arg_min(event_id, (ts, event_id)) AS representative, min(ts) AS start_at, count(*) AS n_rows, count(DISTINCT event_id % 3) AS n_sources FROM i GROUP BY user_id, event_type, island""")
+@query(_islands_sql("user_id, event_type", 15) + """ SELECT min(event_id) AS cluster, arg_min(event_id, (ts, event_id)) AS representative, min(ts) AS start_at, count(*) AS n_rows, count(DISTINCT event_id % 3) AS n_sources FROM i GROUP BY user_id, event_type, island""")
 def cluster_representatives(spark, d):
-    rows = _month_clusters(spark, d, 900, ["user_id", "event_type"]).withColumns({"id": F.col("event_id"), "source": (F.col("event_id") % 3).cast("string"), "title": F.col("event_type"), "start_at": F.col("ts"), "price_text": F.lit(None).cast("string"), "ticket_url": F.lit(None).cast("string")})
+    rows = _event_clusters(spark, d, 900, ["user_id", "event_type"]).withColumns({"id": F.col("event_id"), "source": (F.col("event_id") % 3).cast("string"), "title": F.col("event_type"), "start_at": F.col("ts"), "price_text": F.lit(None).cast("string"), "ticket_url": F.lit(None).cast("string")})
     best = canonical.representatives(rows.withColumn("cluster", F.concat_ws("|", "user_id", "cluster")), "any")
     return best.select(F.split_part("cluster", F.lit("|"), F.lit(2)).cast("long").alias("cluster"), F.col("event.event_id").alias("representative"), "start_at", "n_rows", "n_sources")
 
