@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, timeutil
@@ -45,12 +46,23 @@ def related_keys(events: DataFrame, keys: DataFrame, seconds: int = TOLERANCE) -
     return found.unionByName(asked.select("asked", F.col("asked").alias("group_key"))).distinct()
 
 
+def _ranked(requests: DataFrame, keys: list[str], *order: str) -> tuple[DataFrame, list[str]]:
+    """requests with _rank, the place of a request among those of its keys: by order, then ord if there is one, else as the rows come."""
+    numbered = requests.withColumn("_n", F.col("ord") if "ord" in requests.columns else F.monotonically_increasing_id())
+    return numbered.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order, "_n"))), requests.columns
+
+
 def add_favorites(favorites: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(next favourites, requests with added): favourites (user_id, group_key, created_at), requests (user_id, group_key, at). A pair is added once."""
+    """(next favourites, requests with added): favourites (user_id, group_key, created_at), requests (user_id, group_key, at[, ord]).
+
+    A pair is added once, by its first request: the earliest, of equal times the one with the least ord.
+    """
     keys = ["user_id", "group_key"]
-    fresh = requests.join(favorites.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.min("at").alias("created_at"))
-    result = requests.join(fresh.withColumnRenamed("created_at", "first_at"), keys, "left").withColumn("added", F.coalesce(F.col("at") == F.col("first_at"), F.lit(False))).drop("first_at")
-    return favorites.unionByName(fresh), result
+    known = favorites.select(*keys).distinct().withColumn("_known", F.lit(True))
+    ranked, columns = _ranked(requests, keys, "at")
+    result = ranked.join(known, keys, "left").withColumn("added", (F.col("_rank") == 1) & F.col("_known").isNull())
+    fresh = result.where("added").select(*keys, F.col("at").alias("created_at"))
+    return favorites.unionByName(fresh), result.select(*columns, "added")
 
 
 def _removed(table: DataFrame, requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,14 +82,22 @@ def subscribe(subscriptions: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     """(next subscriptions, requests with created): an existing one is enabled again, with the lead asked for and no last notice.
 
     subscriptions (user_id, group_key, notify_before_minutes, enabled, last_notified_at), requests (user_id, group_key,
-    notify_before_minutes, null for a day). Of repeated requests the longest lead counts.
+    notify_before_minutes, null for a day[, ord]). Of repeated requests the first may create, and the last one's lead counts.
     """
     keys = ["user_id", "group_key"]
-    lead = F.max(F.coalesce("notify_before_minutes", F.lit(LEAD_MINUTES))).alias("notify_before_minutes")
-    asked = requests.groupBy(*keys).agg(lead).withColumn("enabled", F.lit(True)).withColumn("last_notified_at", F.lit(None).cast("timestamp_ntz"))
-    known = subscriptions.select(*keys).distinct().withColumn("known", F.lit(True))
+    ranked, columns = _ranked(requests, keys)
+    lead = F.max_by(F.coalesce("notify_before_minutes", F.lit(LEAD_MINUTES)), "_rank").alias("notify_before_minutes")
+    asked = ranked.groupBy(*keys).agg(lead).withColumn("enabled", F.lit(True)).withColumn("last_notified_at", F.lit(None).cast("timestamp_ntz"))
+    known = subscriptions.select(*keys).distinct().withColumn("_known", F.lit(True))
     following = subscriptions.join(asked.select(*keys), keys, "left_anti").unionByName(asked)
-    return following, requests.join(known, keys, "left").withColumn("created", F.col("known").isNull()).drop("known")
+    result = ranked.join(known, keys, "left").withColumn("created", (F.col("_rank") == 1) & F.col("_known").isNull())
+    return following, result.select(*columns, "created")
+
+
+def subscribe_users(users: DataFrame, preferences: DataFrame, subscriptions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(next users, next preferences, next subscriptions, requests with created): subscribe, where unknown users are made."""
+    asked = requests.select(F.lit(0).alias("ord"), F.col("user_id").alias("telegram_id"), F.lit(None).cast("string").alias("first_name"))
+    return *ensure_users(users, preferences, asked), *subscribe(subscriptions, requests)
 
 
 def unsubscribe(subscriptions: DataFrame, requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -59,11 +59,24 @@ def offers(clustered: DataFrame) -> DataFrame:
     return clustered.where(F.coalesce("ticket_url", F.lit("")) != "").select("cluster", "source", "ticket_url").distinct()
 
 
-def shown(found: DataFrame, limit: int = SHOWN) -> DataFrame:
-    """The first `limit` occurrences by (start_at, title), with more, the number of others, and card, the text to show."""
+def shown(found: DataFrame, limit: int = SHOWN, clustered: DataFrame | None = None) -> DataFrame:
+    """The first `limit` occurrences by (start_at, title), with more, the number of others, and card, the text to show.
+
+    With clustered, the rows the occurrences were made of, also keys: the group keys of those that are shown.
+    """
     total = found.agg(F.count("*").alias("total"))
     top = found.orderBy(F.col("start_at").asc_nulls_last(), "title", "id").limit(limit).join(F.broadcast(total))  # one row
-    return top.withColumn("more", F.greatest(F.col("total") - limit, F.lit(0))).withColumn("card", text.event_card(F.col("title"), F.col("start_at"), F.col("venue"), F.col("prices"))).drop("total")
+    top = top.withColumn("more", F.greatest(F.col("total") - limit, F.lit(0))).withColumn("card", text.event_card(F.col("title"), F.col("start_at"), F.col("venue"), F.col("prices"))).drop("total")
+    if clustered is None:
+        return top
+    keys = clustered.select("cluster", "group_key").join(F.broadcast(top.select("cluster")), "cluster").groupBy("cluster").agg(F.array_sort(F.collect_set("group_key")).alias("keys"))  # limit rows
+    return top.join(keys, "cluster")
+
+
+def _list(rows: DataFrame, clustering: Clustering, kept: Column | None = None) -> DataFrame:
+    clustered = clustering(rows)
+    found = _occurrences(clustered, rows.columns)
+    return shown(found if kept is None else found.where(kept), clustered=clustered).orderBy(F.col("start_at").asc_nulls_last(), "title", "id")
 
 
 def between(events: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -73,20 +86,20 @@ def between(events: DataFrame, start: Column, end: Column) -> DataFrame:
 def day_list(events: DataFrame, now: str, days: int = 0, clustering: Clustering = fuzzy) -> DataFrame:
     """Occurrences of the local day `days` after now's (UTC)."""
     day = F.date_add(F.to_date(timeutil.to_local(F.lit(now).cast("timestamp_ntz"))), days)
-    return shown(occurrences(between(events, timeutil.to_utc(day), timeutil.to_utc(F.date_add(day, 1))), clustering))
+    return _list(between(events, timeutil.to_utc(day), timeutil.to_utc(F.date_add(day, 1))), clustering)
 
 
 def weekend_list(events: DataFrame, now: str, clustering: Clustering = fuzzy) -> DataFrame:
     """Occurrences of the next local Saturday and Sunday; on a Sunday of the next weekend."""
     saturday = timeutil.weekend_start(F.to_date(timeutil.to_local(F.lit(now).cast("timestamp_ntz"))))
-    return shown(occurrences(between(events, timeutil.to_utc(saturday), timeutil.to_utc(F.date_add(saturday, 2))), clustering))
+    return _list(between(events, timeutil.to_utc(saturday), timeutil.to_utc(F.date_add(saturday, 2))), clustering)
 
 
 def category_list(events: DataFrame, category: str, now: str, days: int = 30, clustering: Clustering = fuzzy) -> DataFrame:
     """Occurrences of a category in the local days from now's on; the representative's category counts, a missing one is the default."""
     day = F.to_date(timeutil.to_local(F.lit(now).cast("timestamp_ntz")))
-    found = occurrences(between(events, timeutil.to_utc(day), timeutil.to_utc(F.date_add(day, days))), clustering)
-    return shown(found.where(F.coalesce(F.nullif("category", F.lit("")), F.lit(text.DEFAULT_CATEGORY)) == category))
+    kept = F.coalesce(F.nullif("category", F.lit("")), F.lit(text.DEFAULT_CATEGORY)) == category
+    return _list(between(events, timeutil.to_utc(day), timeutil.to_utc(F.date_add(day, days))), clustering, kept)
 
 
 def search_list(events: DataFrame, words: str, now: str, limit: int = FOUND, clustering: Clustering = fuzzy) -> DataFrame:

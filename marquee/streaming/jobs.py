@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Scratch
+from . import messages
+
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream over Parquet files that arrive in path."""
@@ -45,39 +52,64 @@ def due(subscriptions: DataFrame, events: DataFrame, now: str) -> DataFrame:
 
 
 KEYS = ["user_id", "group_key", "target"]
+LEDGER = "user_id long, group_key string, target timestamp_ntz, error string, batch string, day date"
 
 
-def ledger_rows(spark: SparkSession, ledger: str, since: str | None = None) -> DataFrame:
-    """What the ledger folder holds, from the day of `since` on; empty before the first delivery. The ledger is parted by the target's day."""
-    empty = spark.createDataFrame([], "user_id long, group_key string, target timestamp_ntz, day date")
+def _ledger(spark: SparkSession, ledger: str) -> DataFrame:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    if not at.getFileSystem(conf).exists(at):
-        return empty
-    rows = spark.read.schema(empty.schema).parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger) if at.getFileSystem(conf).exists(at) else spark.createDataFrame([], LEDGER)
+
+
+def ledger_rows(spark: SparkSession, ledger: str, since: str | None = None) -> DataFrame:
+    """(user_id, group_key, target, day) of what was sent, from the day of `since` on; empty before the first delivery. The ledger is parted by the target's day."""
+    rows = _ledger(spark, ledger).where("error is null").select(*KEYS, "day")
     return rows.where(F.col("day") >= F.to_date(F.lit(since))) if since else rows
 
 
-def deliver(batch: DataFrame, ledger: str, send=None) -> None:
-    """For foreachBatch: send what the ledger doesn't hold yet, then mark it; a repeated batch adds nothing.
+def deliver(batch: DataFrame, ledger: str, send: Callable[[Row], None] | None = None) -> None:
+    """For foreachBatch: send what the ledger doesn't hold yet, each message by itself, and enter how it went.
 
-    batch: (user_id, group_key, target, ...). send takes the rows as a DataFrame and raises if it fails: then nothing is marked, and
-    the next try sends again (at least once). Only the ledger's days from the batch's first target on are read.
+    batch: (user_id, group_key, target, ...). send takes a row in a task and raises if it fails (see messages.sender). What was
+    sent is entered whatever happens to others; once all is entered, a failure is a DeliveryError, and the next try sends the
+    failed ones alone. A task that is lost before its rows are written sends its own again. Only the ledger's days from the
+    batch's first target on are read.
     """
-    batch = batch.dropDuplicates(KEYS).persist()
-    try:
-        first = batch.agg(F.min("target").alias("first")).first()["first"]
-        if first is None:
-            return
-        fresh = batch.join(ledger_rows(batch.sparkSession, ledger, str(first)).select(*KEYS), KEYS, "left_anti")
-        if send:
-            send(fresh)
-        fresh.select(*KEYS, F.to_date("target").alias("day")).write.mode("append").partitionBy("day").parquet(ledger)
-    finally:
-        batch.unpersist()
-
-
-def reminder_stream(ticks: DataFrame, due_at, ledger: str, checkpoint: str, send=None, trigger: dict | None = None):
+    spark, name = batch.sparkSession, uuid.uuid4().hex
+    batch = batch.dropDuplicates(KEYS)
+    first = batch.agg(F.min("target").alias("first")).first()["first"]
+    if first is None:
+        return
+    fresh = batch.join(ledger_rows(spark, ledger, str(first)).select(*KEYS), KEYS, "left_anti")
+
+    def tried(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            errors = []
+            for row in pdf.to_dict("records"):
+                try:
+                    if send:
+                        send(row)
+                    errors.append(None)
+                except Exception as e:  # any failure of one message is that message's alone
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf[KEYS].assign(error=pd.Series(errors, index=pdf.index, dtype=object))
+
+    results = fresh.mapInPandas(tried, "user_id long, group_key string, target timestamp_ntz, error string")
+    results = results.withColumn("batch", F.lit(name)).withColumn("day", F.to_date("target"))
+    results.write.mode("append").partitionBy("day").parquet(ledger)
+    failed = _ledger(spark, ledger).where((F.col("batch") == name) & (F.col("day") >= F.to_date(F.lit(str(first)))) & F.col("error").isNotNull())
+    if row := failed.agg(F.count("*").alias("n"), F.min("error").alias("error")).where("n > 0").first():
+        raise messages.DeliveryError(f"{row['n']} messages failed, the first: {row['error']}")
+
+
+def compact_ledger(spark: SparkSession, ledger: str, day: str, scratch: Scratch | None = None) -> None:
+    """Rewrite one day of the ledger, of many small files, as one file of what was sent; not while a delivery writes that day."""
+    with Scratch(spark, "ledger", scratch) as own:
+        rows = own.cut(_ledger(spark, ledger).where((F.col("day") == F.to_date(F.lit(day))) & F.col("error").isNull()).dropDuplicates(KEYS), "day")
+        rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(ledger)
+
+
+def reminder_stream(ticks: DataFrame, due_at, ledger: str, checkpoint: str, send: Callable[[Row], None] | None = None, trigger: dict | None = None):
     """A stream of ticks (at: a time each): at every batch the reminders due at its last tick are delivered and marked.
 
     due_at(spark, now) gives the due rows from the tables as they are then. By default a batch starts each minute. A batch that

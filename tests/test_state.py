@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marquee.operators import canonical, changes, dedupe, state
 from marquee.plans import entries
-from marquee.streaming import jobs
+from marquee.streaming import jobs, messages
+from tests.answering import answering
 
 NOW = "2026-08-15 09:00:00"
 EVENTS = "id long, group_key string, title string, category string, start_at timestamp_ntz, status string, price_text string, ticket_url string, source string, venue string"
@@ -170,24 +171,16 @@ def test_reminder_stream_fails_and_starts_again(spark, tmp_path):
     assert {r.user_id for r in due(spark, NOW).collect()} == {7, 8}
     spark.createDataFrame([(datetime(2026, 8, 15, 9),)], "at timestamp_ntz").write.parquet(str(tmp_path / "ticks"))
     ticks = jobs.stream_of(spark, str(tmp_path / "ticks"), "at timestamp_ntz")
-    sent, broken = [], [True]
-
-    def send(rows):
-        for r in rows.orderBy("user_id").collect():
-            sent.append((r.user_id, r.text.split("\n")[2]))
-            if broken and len(sent) == 2:
-                broken.clear()
-                raise RuntimeError("the sender broke")
-
-    run = lambda: jobs.reminder_stream(ticks, due, str(tmp_path / "ledger"), str(tmp_path / "state"), send, {"availableNow": True})
-    with pytest.raises(Exception, match="the sender broke"):
+    with answering(fails={2}) as (url, calls):
+        run = lambda: jobs.reminder_stream(ticks, due, str(tmp_path / "ledger"), str(tmp_path / "state"), messages.sender(url, "t"), {"availableNow": True})
+        with pytest.raises(Exception, match="1 messages failed"):
+            run().awaitTermination(120)
+        assert sorted(calls) == [7, 8] and jobs.ledger_rows(spark, str(tmp_path / "ledger")).count() == 1
+        run().awaitTermination(120)
+        assert sorted(calls) == sorted([7, 8, calls[1]]) and jobs.ledger_rows(spark, str(tmp_path / "ledger")).count() == 2
+        spark.createDataFrame([(datetime(2026, 8, 15, 9, 1),)], "at timestamp_ntz").write.mode("append").parquet(str(tmp_path / "ticks"))
         run().awaitTermination(120)
-    assert jobs.ledger_rows(spark, str(tmp_path / "ledger")).count() == 0
-    run().awaitTermination(120)
-    assert sent == [(7, "<b>T</b>"), (8, "<b>U</b>")] * 2 and jobs.ledger_rows(spark, str(tmp_path / "ledger")).count() == 2
-    spark.createDataFrame([(datetime(2026, 8, 15, 9, 1),)], "at timestamp_ntz").write.mode("append").parquet(str(tmp_path / "ticks"))
-    run().awaitTermination(120)
-    assert len(sent) == 4
+        assert len(calls) == 3
     marked = jobs.marked(subs, jobs.ledger_rows(spark, str(tmp_path / "ledger")))
     assert jobs.due(marked, events, NOW).select("user_id").collect()[0].user_id == 9
 
