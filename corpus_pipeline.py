@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm import language_id, minhash, mixing, packing, substrings
+from marquee.llm.common import text_key
 from marquee.llm.queries import held_out
 from marquee.tables import Scratch, delete, shared_dir
 
@@ -17,6 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OVER_CHANCE = 1.2
 
 
+#: The folder of the stage that run is at; a stage that is called alone leaves its scratch tables to the shared folder.
+_within: Scratch | None = None
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    return Scratch(spark, name, _within)
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: `und` goes, and so does what no language fits; lang becomes the prediction.
 
@@ -33,18 +42,21 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8): the one with the least doc_id.
 
-    Of rows that repeat the kept doc_id the first by text, lang, source and n_chars stays (nulls last); rows with a null doc_id
-    all stay. Null and empty texts are like nothing and stay. Texts of any length count whole. Further columns are left out; an
+    Rows that repeat a doc_id with other texts are documents of their own; of those that repeat it with one text the first by
+    lang, source and n_chars stays (nulls last); rows with a null doc_id all stay. Null and empty texts are like nothing and stay. Texts of any length count whole. Further columns are left out; an
     empty table gives an empty result.
     """
-    with Scratch(spark, "near-duplicates") as scratch:
-        groups = minhash.near_duplicates(docs, scratch=scratch)
-        kept = Scratch(spark, "kept").cut(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    scratch = _scratch(spark, "near-duplicates")
+    groups = minhash.near_duplicates(docs, scratch=scratch, keyed=True)
+    rows = scratch.cut(groups.where("kept and doc_id is not null").groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows")), "groups")
+    one = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "key", "rows")).alias("one")).select("one.*")
+    kept = scratch.cut(one.unionByName(rows.where("group is null").drop("group")).withColumnRenamed("key", "_key"), "kept")
+    scratch.keep_only(kept)
     docs = docs.select(*COLUMNS)
-    held = docs.where("doc_id is not null").join(kept, "doc_id")
+    held = docs.where("doc_id is not null").withColumn("_key", text_key()).join(kept, ["doc_id", "_key"])
     found = held.where("rows = 1").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
     if not kept.where("rows > 1").isEmpty():  # else there is no second pass over the texts
-        order = W.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_last() for c in COLUMNS[1:]))
+        order = W.partitionBy("doc_id", "_key").orderBy(*(F.col(c).asc_nulls_last() for c in COLUMNS[1:]))
         found = found.unionByName(held.where("rows > 1").withColumn("place", F.row_number().over(order)).where("place = 1").select(*COLUMNS))
     return found
 
@@ -53,10 +65,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without passages that an earlier one holds (50-word windows); those with nothing left go.
 
     A document that loses nothing keeps its text as it is, null and empty ones too. A null doc_id is neither a source nor
-    changed; rows that repeat a doc_id don't remove each other. Texts of any length count whole. Further columns are left out;
+    changed; rows that repeat a doc_id don't remove each other, and each loses what its own text repeats. Texts of any length count whole. Further columns are left out;
     an empty table gives an empty result.
     """
-    clean = substrings.substring_dedup(docs, length=50, keep=("lang", "source"))
+    clean = substrings.substring_dedup(docs, length=50, keep=("lang", "source"), scratch=_scratch(spark, "passages"))
     words = F.col("n_words") - F.col("n_removed")
     return clean.where((F.col("n_removed") == 0) | (words > 0)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
@@ -68,7 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat a doc_id draw alike; a null doc_id draws as the empty string does. Texts may be of any length. Further columns
     are left out; an empty table gives an empty result.
     """
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(docs.select(*COLUMNS), scratch=_scratch(spark, "mixing"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +89,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is the end id alone. Texts of any length are cut into windows, none is dropped. Rows that repeat a
     doc_id and null ones are packed like others. Other columns are left out; an empty table gives an empty result.
     """
-    return packing.packed(Scratch(spark, "pieces").cut(packing.pieces(docs), "pieces"))
+    return packing.packed(_scratch(spark, "pieces").cut(packing.pieces(docs), "pieces"))
 
 
 STAGES = [
@@ -93,11 +105,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written and read again; what a stage has read is deleted once its own rows are written."""
+    """The stages one after the other, each written and read again; what a stage has read and its scratch tables go once its own rows are written."""
+    global _within
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with Scratch(spark, f"stage-{name}") as _within:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        _within = None
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             delete(spark, f"{folder}/{before}")

@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 18
 #: Bytes of an Arrow batch, about; a longer row makes a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bits of the mask of asked_rows.
 MASK = 1 << 23
 
@@ -46,8 +46,8 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def asked_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, ...) whose doc_id is in asked (doc_id, each once; a written table, as it is read twice).
+def asked_rows(docs: DataFrame, asked: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of docs (doc_id, ...) whose doc_id, and columns more, are in asked (each once; a written table, as it is read twice).
 
     The join with asked decides. Before it, a mask of MASK bits of hashed ids keeps most other rows, with their texts, out
     of the shuffle. The mask is broadcast: it has MASK / 64 rows of two numbers at most, 2 MB, whatever asked holds; where
@@ -58,7 +58,12 @@ def asked_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     mask = asked.select(cell.alias("_cell"), one.alias("_one")).groupBy("_cell").agg(F.bit_or("_one").alias("_bits"))
     held = docs.withColumn("_at", cell).withColumn("_one", one)
     held = held.join(F.broadcast(mask), (F.col("_at") == F.col("_cell")) & (F.col("_bits").bitwiseAND(F.col("_one")) != 0))
-    return held.drop("_at", "_one", "_cell", "_bits").join(asked, "doc_id")
+    return held.drop("_at", "_one", "_cell", "_bits").join(asked, ["doc_id", *more])
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """A number that tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def n_words(text: Column) -> Column:

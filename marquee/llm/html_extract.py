@@ -35,7 +35,7 @@ CLOSES_P = BLOCK - {"button", "option", "legend", "summary", "title", "head", "h
 #: A quote opens a value only after =, and the value ends at the same quote however far; without one, at the next ">". Groups are possessive, so that each
 #: tag is read once. A tag that the end of the page cuts off is no text, as the standard says.
 _TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"'][^>]*+|[^\s>]++)?+)?+)*+)(>|\Z)|[!?/][^>]*>)", re.S
+    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"'][^>]*+|[^\s>]++)?+)?+)*+)(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 #: What these hold is text up to their end tag.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Scratch
-from .common import asked_rows, gram_hashes, hashed_documents, in_batches, mix, signed
+from .common import asked_rows, gram_hashes, hashed_documents, in_batches, mix, signed, text_key
 from .components import components
 
 HASHES, ROWS = 200, 5
@@ -35,7 +35,7 @@ TILE = 128
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-SKETCH = "doc_id long, n_shingles long, print binary, signature binary, bands array<long>"
+SKETCH = "doc_id long, key long, n_shingles long, print binary, signature binary, bands array<long>"
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """SKETCH of every document: doc_id, and what follows from its whole text."""
+    """SKETCH of every row of docs (doc_id, text): doc_id, the key of the text, and what follows from the whole text."""
 
     def run(batches):
         for batch in batches:
@@ -74,16 +74,16 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 least = np.stack([minima(x) for _, x in part])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array([k for k, _ in part])),
+                        *(batch.column(c).take(pa.array([k for k, _ in part])) for c in (0, 2)),
                         pa.array([len(x) for _, x in part], pa.int64()),
                         pa.array([_print(x) for _, x in part], pa.binary()),
                         pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary()),
                         pa.array(list(signed(band_keys(least))), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "print", "signature", "bands"],
+                    names=["doc_id", "key", "n_shingles", "print", "signature", "bands"],
                 )
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")), run, SKETCH)
 
 
 def _print(items: np.ndarray) -> bytes:
@@ -91,19 +91,18 @@ def _print(items: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, items) for docs (doc_id, text, print): the sorted distinct shingles as packed 64-bit hashes, of rows with that fingerprint."""
+    """(node, items) for docs (node, text): the sorted distinct shingles as packed 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
-            items = [shingles(words, n) for _, words in hashed_documents(batch.column(1), lower=True)]
-            own = pa.array([k for k, (x, p) in enumerate(zip(items, batch.column(2).to_pylist(), strict=True)) if _print(x) == p], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array([items[k].tobytes() for k in own.to_pylist()], pa.large_binary()).cast(pa.binary())], names=["doc_id", "items"])
+            items = [shingles(words, n).tobytes() for _, words in hashed_documents(batch.column(1), lower=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.large_binary()).cast(pa.binary())], names=["node", "items"])
 
-    return in_batches(docs.select("doc_id", "text", "print"), run, "doc_id long, items binary")
+    return in_batches(docs.select("node", "text"), run, "node long, items binary")
 
 
 def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose signatures in marks (doc_id, signature) agree well enough."""
+    """Pairs (u, v) whose signatures in marks (node, signature) agree well enough."""
     chance = 1 / 256
 
     def run(batches):
@@ -114,11 +113,11 @@ def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame
                 keep = np.flatnonzero(e >= similarity - SLACK)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["u", "v"])
 
-    left, right = (marks.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}")) for k in "uv")
+    left, right = (marks.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}")) for k in "uv")
     return in_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, prints: DataFrame, n: int, similarity: float, scratch: Scratch) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) with how u's set differs from v's: sizes, what v has and u hasn't (missing), the symmetric difference, and whether they are linked."""
     percent = round(100 * similarity)
 
@@ -135,9 +134,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, prints: DataFrame, n: int, simi
                 columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["u", "v", "size", "leader_size", "missing", "differ", "linked"])
 
-    asked = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(prints, "doc_id"), "asked")
-    sets = scratch.cut(shingle_sets(asked_rows(docs, asked), n).dropDuplicates(["doc_id"]), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
+    asked = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node").select("doc_id", "key", "node"), "asked")
+    sets = scratch.cut(shingle_sets(asked_rows(docs, asked, ("key",)), n).dropDuplicates(["node"]), "sets")
+    left, right = (sets.select(F.col("node").alias(k), F.col("items").alias(f"s{k}")) for k in "uv")
     return in_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long, size long, leader_size long, missing long, differ binary, linked boolean")
 
 
@@ -187,30 +186,48 @@ def _searched(member: DataFrame, compared: DataFrame, similarity: float, scratch
     return asking.unionByName(asked).groupBy("v", "row", "column").applyInPandas(tile, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+def _classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(print, doc_id, key, node) of prints (doc_id, print, key): its least doc_id stands for a fingerprint and is its node.
+
+    Where ids repeat with other texts, one id can stand for two fingerprints: the least is the id's, the others' nodes are
+    numbers above all ids.
+    """
+    least = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+    found = scratch.cut(prints.join(least, ["print", "doc_id"]), "least")
+    twice = scratch.cut(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("print").alias("own")).where("n > 1"), "twice")
+    if twice.isEmpty():
+        return found.withColumn("node", F.col("doc_id"))
+    top = prints.agg(F.max("doc_id")).first()[0]
+    shared = F.col("own").isNotNull() & (F.col("own") != F.col("print"))
+    return scratch.cut(found.join(twice, "doc_id", "left").withColumn("node", F.when(shared, top + 1 + F.monotonically_increasing_id()).otherwise(F.col("doc_id"))).drop("n", "own"), "classes")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None, keyed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
 
     Words are runs of other than the six white-space characters, A-Z folded. Two documents are linked if the Jaccard
     similarity of their shingle sets reaches similarity; component_id is the least doc_id that can be reached.
     A document with fewer words than a shingle is one shingle; one without words (empty or null) is linked with nothing.
     Texts of any length are read whole. Rows with a null doc_id can't be linked or named: component_id is null and kept is true.
-    Rows that repeat a doc_id each get a row, all with the id's component; if their texts differ, the one with the least
-    fingerprint is compared for the id. Other columns of docs are ignored; an empty table gives an empty result.
+    Rows that repeat a doc_id each get a row, and are documents of their own: each is linked by its own text. keyed adds key,
+    the common.text_key of a row's text, which tells such rows apart, and group, a number of the component (null without words),
+    as two components can have one least doc_id then. Other columns of docs are ignored; an empty table gives
+    an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates", scratch)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = scratch.cut(sketches(docs, shingle), "sketches")  # bands and signatures; the last join reads three columns of it
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    marks = scratch.cut(sketches(docs, shingle), "sketches")  # bands and signatures; the last join reads four columns of it
     whole = marks.where("n_shingles > 0 and doc_id is not null")
-    prints = scratch.cut(whole.groupBy("doc_id").agg(F.min("print").alias("print")), "prints")
-    classes = scratch.cut(prints.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "classes")
-    first = scratch.cut(whole.join(classes, ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "first")
-    member = first.select("doc_id", F.explode("bands").alias("bucket"))
+    prints = scratch.cut(whole.groupBy("doc_id", "print").agg(F.min("key").alias("key")), "prints")
+    classes = scratch.cut(_classes(prints, scratch), "classes")
+    first = scratch.cut(whole.join(classes, ["print", "doc_id", "key"]).select("node", "bands", "signature").dropDuplicates(["node"]), "first")
+    member = first.select("node", F.explode("bands").alias("bucket"))
     sizes = scratch.cut(member.groupBy("bucket").count().where("count > 1"), "buckets")
     member = scratch.cut(member.join(sizes, "bucket"), "members")
-    central = member.groupBy("doc_id").agg(F.sum("count").alias("central"))
-    leaders = member.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus")))["minus"].alias("minus"))
+    central = member.groupBy("node").agg(F.sum("count").alias("central"))
+    leaders = member.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
     leaders = scratch.cut(leaders.select("bucket", (-F.col("minus")).alias("v")), "leaders")
-    met = scratch.cut(member.join(leaders, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "met")
+    met = scratch.cut(member.join(leaders, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "met")
     near = scratch.cut(verified(met, first, similarity), "near")
     scratch.keep_only(marks, prints, classes, met, near)
     compared = scratch.cut(_compared(near, docs, classes, shingle, similarity, scratch), "compared")
@@ -223,12 +240,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     links = scratch.cut(links.unionByName(known.where("linked").join(rest, ["u", "v"], "left_semi").select("u", "v")).unionByName(_searched(mixed, known, similarity, scratch)), "links")
     group = components(links, scratch)
 
-    named = classes.withColumnRenamed("doc_id", "node").join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    named = scratch.cut(prints.join(named, "print").select("doc_id", "component"), "named")
-    out = scratch.cut(marks.select("doc_id", "n_shingles"), "rows")
+    named = scratch.cut(classes.join(group, "node", "left").select("print", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+    least = scratch.cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
+    named = named.join(least, "component").select("print", "component_id", "component")
+    named = scratch.cut(prints.select("doc_id", "print").join(named, "print").select(F.col("doc_id").alias("id"), F.col("print").alias("of"), "component_id", "component"), "named")
+    out = scratch.cut(marks.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")), "rows")
     scratch.keep_only(out, named)
     return (
-        out.join(named.withColumnRenamed("doc_id", "node"), (F.col("doc_id") == F.col("node")) & (F.col("n_shingles") > 0), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        out.join(named, (F.col("doc_id") == F.col("id")) & (F.col("print") == F.col("of")), "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["key", F.col("component").alias("group")] if keyed else []))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

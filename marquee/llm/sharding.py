@@ -18,6 +18,8 @@ Tree = list[tuple[str, list[tuple[str, list[tuple[int, float]]]]]]
 BASE, RACK, REGION = 24, 4, 12
 #: Rows of a shard that one task numbers, about.
 SLOT_ROWS = 1 << 20
+#: Hot cells up to which their table is broadcast.
+HOT_CELLS = 100_000
 
 
 def tree(shards: int = BASE, base: int = BASE) -> Tree:
@@ -62,26 +64,36 @@ def sharded(docs: DataFrame, shards: int = BASE, slot_rows: int = SLOT_ROWS, scr
 
     doc_id and the number of shards decide, nothing else: equal ids go to one shard, a null id counts as an empty key.
     slot numbers the rows of a shard without gaps from 0: rows are numbered within a hash part of a shard, and the parts'
-    sizes are summed up before; the number of parts follows the number of rows, so no task holds a shard. Within a part rows
-    go by doc_id, then by a hash of all columns: rows that tie in both are alike, and it makes no difference which comes first.
+    sizes are summed up before; the number of parts follows the number of rows, so no task holds a shard. The rows of an id (or
+    a null one) that has more than slot_rows are dealt to parts of their own by a hash of all columns. Within a part rows go by
+    doc_id, then by that hash: rows that tie in both are alike, and it makes no difference which comes first.
     Texts may be null, empty or of any length. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c.lower() not in ("shard", "slot", "grown_shard")]
     plain = [c for c in names if not dict(docs.dtypes)[c].startswith(("map", "variant"))]  # what Spark can hash
-    at, first, tie, s, p = free_names([*names, "shard", "slot", "grown_shard"], "part", "before", "tie", "of_shard", "of_part")
+    at, first, tie, sub, own, s, p, q = free_names([*names, "shard", "slot", "grown_shard"], "part", "before", "tie", "sub", "cell", "of_shard", "of_part", "of_sub")
     key = F.col("doc_id").cast("string")
     placed = with_shard(with_shard(docs.select(*names), key, tree(shards), "shard"), key, tree(shards + 1), "grown_shard")
     scratch = Scratch(docs.sparkSession, "shards", scratch)
     cell = F.conv(F.substring(F.md5(F.coalesce(key, F.lit(""))), 1, 5), 16, 10).cast("long")  # 20 bits
     narrow = scratch.cut(placed.select(F.col("shard").alias("s"), cell.alias("h")).groupBy("s", "h").count(), "cells")
     parts = max(64, (narrow.agg(F.sum("count")).first()[0] or 0) // (shards * slot_rows) + 1)
-    sizes = narrow.groupBy(F.col("s").alias(s), F.pmod("h", F.lit(parts)).alias(p)).agg(F.sum("count").alias("n"))
-    before = sizes.withColumn(first, F.coalesce(F.sum("n").over(W.partitionBy(s).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    hot = scratch.cut(narrow.where(F.col("count") > slot_rows).select("s", "h", F.expr(f"count div {slot_rows} + 1").alias("many")), "hot")
+    placed = placed.withColumn(tie, F.xxhash64(*plain)).withColumn(at, F.pmod(cell, F.lit(parts)))
+    if hot.isEmpty():
+        placed = placed.withColumn(sub, F.lit(0).cast("long"))
+        sizes = narrow.groupBy(F.col("s").alias(s), F.pmod("h", F.lit(parts)).alias(p), F.lit(0).cast("long").alias(q)).agg(F.sum("count").alias("n"))
+    else:  # one key, or all null ones: its rows are dealt by their hash
+        of = hot.select(F.col("s").alias(s), F.col("h").alias(p), F.col("many").alias(q))
+        placed = placed.withColumn(own, cell)
+        placed = placed.join(F.broadcast(of), (F.col("shard") == F.col(s)) & (F.col(own) == F.col(p)), "left") if hot.count() < HOT_CELLS else placed.join(of, (F.col("shard") == F.col(s)) & (F.col(own) == F.col(p)), "left")
+        placed = placed.withColumn(sub, F.coalesce(F.col(own) * (1 << 30) + F.pmod(F.col(tie), F.col(q)) + 1, F.lit(0).cast("long"))).drop(s, p, q, own)
+        sizes = placed.groupBy(F.col("shard").alias(s), F.col(at).alias(p), F.col(sub).alias(q)).agg(F.count("*").alias("n"))
+    before = sizes.withColumn(first, F.coalesce(F.sum("n").over(W.partitionBy(s).orderBy(p, q).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     before = scratch.cut(before, "before")
-    scratch.keep_only(before)
-    placed = placed.withColumn(at, F.pmod(cell, F.lit(parts))).withColumn(tie, F.xxhash64(*plain))
-    within = F.row_number().over(W.partitionBy("shard", at).orderBy(F.col("doc_id").asc_nulls_last(), tie))
-    placed = placed.withColumn("slot", within).join(before, (F.col("shard") == F.col(s)) & (F.col(at) == F.col(p)))
+    scratch.keep_only(before, hot)
+    within = F.row_number().over(W.partitionBy("shard", at, sub).orderBy(F.col("doc_id").asc_nulls_last(), tie))
+    placed = placed.withColumn("slot", within).join(before, (F.col("shard") == F.col(s)) & (F.col(at) == F.col(p)) & (F.col(sub) == F.col(q)))
     return placed.withColumn("slot", (F.col("slot") - 1 + F.col(first)).cast("long")).select(*names, "shard", "slot", "grown_shard")
 
 

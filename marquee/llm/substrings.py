@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Scratch
-from .common import asked_rows, buffers, free_names, gram_hashes, hashed_documents, in_batches, mix, signed
+from .common import asked_rows, buffers, free_names, gram_hashes, hashed_documents, in_batches, mix, signed, text_key
 
 #: Levels start at half the length or at the last half that has so many words at least.
 SHORTEST = 25
-RUN = "doc_id long, anchor long, context long, first int, n int"
+RUN = "doc_id long, key long, anchor long, context long, first int, n int"
 
 
 def levels(length: int, shortest: int = SHORTEST) -> list[int]:
@@ -95,46 +95,46 @@ def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _listed(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # spans of one document: no more than it has words
+    return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))  # spans of one document: no more than it has words
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text, spans) of the documents that have spans; texts of others stay out of the shuffle as far as a bounded mask tells them apart."""
-    return asked_rows(docs, scratch.cut(_listed(spans), "lists")).select("doc_id", "text", "spans")
+    """(doc_id, text, key, spans) of the documents that have spans; texts of others stay out of the shuffle as far as a bounded mask tells them apart."""
+    return asked_rows(docs, scratch.cut(_listed(spans), "lists"), ("key",)).select("doc_id", "text", "key", "spans")
 
 
 def document_runs(docs: DataFrame, length: int, part: int) -> DataFrame:
-    """RUN of docs (doc_id, text) or (doc_id, text, spans of candidates)."""
+    """RUN of docs (doc_id, text, key) or (doc_id, text, key, spans of candidates)."""
     limited = "spans" in docs.columns
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spans = list(_spans(batch.column(2))) if limited else None
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            spans = list(_spans(batch.column(3))) if limited else None
             found = [(k, *runs(words, length, part, np.unique(_spread(*spans[k])) if limited else None)) for k, words in hashed_documents(batch.column(1)) if len(words) >= length]
             if found:
-                doc = np.repeat(ids[[x[0] for x in found]], [len(x[1]) for x in found])
+                of, n = [x[0] for x in found], [len(x[1]) for x in found]
                 cols = [np.concatenate([x[i] for x in found]) for i in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(signed(c)) for c in cols)], names=["doc_id", "anchor", "context", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[of], n)) for x in (ids, keys)] + [pa.array(signed(c)) for c in cols], names=["doc_id", "key", "anchor", "context", "first", "n"])
 
     return in_batches(docs, run, RUN)
 
 
 def window_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, at, window, proof) of the windows in the spans of docs (doc_id, text, spans); window and proof are two hashes of the words."""
+    """(doc_id, key, at, window, proof) of the windows in the spans of docs (doc_id, text, key, spans); window and proof are two hashes of the words."""
 
     def run(batches):
         for batch in batches:
-            ids, spans = batch.column(0).to_numpy(zero_copy_only=False), list(_spans(batch.column(2)))
+            ids, keys, spans = *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)), list(_spans(batch.column(3)))
             found = []
             for k, words in hashed_documents(batch.column(1)):
                 at = np.unique(_spread(*spans[k]))
                 at = at[at <= len(words) - length]
-                found.append((np.full(len(at), ids[k]), at.astype(np.int32), signed(gram_hashes(words, length)[at]), (gram_hashes(words, length, salt=99)[at] >> np.uint64(33)).astype(np.int32)))
+                found.append((np.full(len(at), ids[k]), np.full(len(at), keys[k]), at.astype(np.int32), signed(gram_hashes(words, length)[at]), (gram_hashes(words, length, salt=99)[at] >> np.uint64(33)).astype(np.int32)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in range(4)], names=["doc_id", "at", "window", "proof"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in range(5)], names=["doc_id", "key", "at", "window", "proof"])
 
-    return in_batches(docs, run, "doc_id long, at int, window long, proof int")
+    return in_batches(docs, run, "doc_id long, key long, at int, window long, proof int")
 
 
 def _in_two(rows: DataFrame, *keys: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _candidates(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Runs whose anchor is in two documents at every level below length. Each level reads what the one before has left."""
     found = None
     for part in levels(length)[:-1] or [length]:
-        given = docs if found is None else _with_spans(docs, found.select("doc_id", "first", "n"), scratch)
+        given = docs if found is None else _with_spans(docs, found.select("doc_id", "key", "first", "n"), scratch)
         seen = scratch.cut(document_runs(given, length, part), "runs")
         anchors = scratch.cut(_in_two(seen, "anchor").select("anchor"), "anchors")  # a table, so that Spark can split hot keys in the join
         found = scratch.cut(seen.join(anchors, "anchor", "left_semi"), "candidates")
@@ -157,47 +157,47 @@ def _candidates(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, scratch: Scratch | None = None, lengths: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, first, n): n consecutive windows from word first whose words also start in a document with a smaller doc_id.
+    """(doc_id, key, first, n): n consecutive windows from word first whose words also start in a document with a smaller doc_id.
 
     With lengths also repeated_lengths of the documents, else None. Both are tables of scratch.
     """
     scratch = Scratch(docs.sparkSession, "repeated", scratch)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).where("doc_id is not null")
     found = _candidates(docs, length, scratch)
     same = scratch.cut(_in_two(found, "context", "anchor"), "contexts")
     found = scratch.cut(
-        found.join(same, ["context", "anchor"], "left").select("doc_id", "first", "n", F.when(F.col("low").isNotNull(), F.xxhash64("context", "anchor")).alias("id"), F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("covered")),
+        found.join(same, ["context", "anchor"], "left").select("doc_id", "key", "first", "n", F.when(F.col("low").isNotNull(), F.xxhash64("context", "anchor")).alias("id"), F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("covered")),
         "runs",
     )
-    windows = scratch.cut(window_rows(_with_spans(docs, found.where("not covered").select("doc_id", "first", "n"), scratch), length), "windows")
+    windows = scratch.cut(window_rows(_with_spans(docs, found.where("not covered").select("doc_id", "key", "first", "n"), scratch), length), "windows")
     least = scratch.cut(_in_two(windows, "window", "proof"), "least")
-    more = windows.join(least, ["window", "proof"]).where("low < doc_id").select("doc_id", F.col("at").alias("first"), F.lit(1).alias("n"))
-    spans = scratch.cut(found.where("covered").select("doc_id", "first", "n").unionByName(more), "spans")
+    more = windows.join(least, ["window", "proof"]).where("low < doc_id").select("doc_id", "key", F.col("at").alias("first"), F.lit(1).alias("n"))
+    spans = scratch.cut(found.where("covered").select("doc_id", "key", "first", "n").unionByName(more), "spans")
     scratch.keep_only(found, spans)
-    reach = repeated_lengths(found.where("id is not null").select("doc_id", "first", (F.col("first") + F.col("n")).alias("end"), "id"), length, scratch) if lengths else None
+    reach = repeated_lengths(found.where("id is not null").select("doc_id", "key", "first", (F.col("first") + F.col("n")).alias("end"), "id"), length, scratch) if lengths else None
     scratch.keep_only(spans, *([reach] if lengths else []))
     return spans, reach
 
 
 def repeated_lengths(stretches: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, longest): words of the longest stretch of 1, 2, 4, ... neighbouring runs that is also in another document, by doubling.
+    """(doc_id, key, longest): words of the longest stretch of 1, 2, 4, ... neighbouring runs that is also in another document, by doubling.
 
-    stretches: (doc_id, first, end, id), windows first to end - 1, each found in two documents; id names its words.
+    stretches: (doc_id, key, first, end, id), windows first to end - 1, each found in two documents; id names its words.
     """
     own = Scratch(scratch.spark, "lengths", scratch)
-    at, reach = own.cut(stretches.dropDuplicates(["doc_id", "first"]), "stretches"), []
+    at, reach = own.cut(stretches.dropDuplicates(["doc_id", "key", "first"]), "stretches"), []
     while not at.isEmpty():
-        reach.append(own.cut(at.groupBy("doc_id").agg((F.max(F.col("end") - F.col("first")) - 1 + length).cast("long").alias("longest")), "reach"))
-        right = at.select("doc_id", F.col("first").alias("end"), F.col("end").alias("to"), F.col("id").alias("then"))
-        twice = own.cut(at.join(right, ["doc_id", "end"]).select("doc_id", "first", F.col("to").alias("end"), F.xxhash64("id", "then").alias("id")), "twice")
+        reach.append(own.cut(at.groupBy("doc_id", "key").agg((F.max(F.col("end") - F.col("first")) - 1 + length).cast("long").alias("longest")), "reach"))
+        right = at.select("doc_id", "key", F.col("first").alias("end"), F.col("end").alias("to"), F.col("id").alias("then"))
+        twice = own.cut(at.join(right, ["doc_id", "key", "end"]).select("doc_id", "key", "first", F.col("to").alias("end"), F.xxhash64("id", "then").alias("id")), "twice")
         own.keep_only(twice, *reach)
         kept = own.cut(_in_two(twice, "id").select("id"), "in-two")
         at = own.cut(twice.join(kept, "id", "left_semi"), "stretches")
         own.keep_only(at, *reach)
-    every = reach[0] if reach else scratch.spark.createDataFrame([], "doc_id long, longest long")
+    every = reach[0] if reach else scratch.spark.createDataFrame([], "doc_id long, key long, longest long")
     for more in reach[1:]:
         every = every.unionByName(more)
-    found = scratch.cut(every.groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
+    found = scratch.cut(every.groupBy("doc_id", "key").agg(F.max("longest").alias("longest")), "longest")
     own.close()
     return found
 
@@ -223,9 +223,8 @@ def substring_dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     A window is length consecutive words of one document; it repeats if a document with a smaller doc_id holds the same
     words in the same order, as the input has them. Where anything is removed, text is the kept words joined by one space;
     elsewhere it is the text as it came. A null text has no words and stays null; a null doc_id is neither a source nor
-    changed. Texts of any length are read whole; a batch holds one text at least. Rows that repeat a doc_id count as one
-    document: they don't remove each other, but their spans are pooled, so repeated ids should carry equal texts; a span past
-    a shorter text's end stops there. Columns that keep doesn't name are ignored; an empty table gives an empty result.
+    changed. Texts of any length are read whole; a batch holds one text at least. Rows that repeat a doc_id don't remove each
+    other, and each loses what its own text repeats (doc_id and common.text_key name a row's spans). Columns that keep doesn't name are ignored; an empty table gives an empty result.
     lengths adds the column longest (see repeated_lengths; 0 for none).
     """
     names = [f"c{k}" for k in range(len(keep))] + ["longest"] * lengths
@@ -242,8 +241,8 @@ def substring_dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     spans, reach = repeated_spans(docs, length, scratch, lengths)
     lists = _listed(spans)
     if lengths:
-        lists = lists.join(reach, "doc_id", "full")  # here, as what is joined after the texts moves them once more
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(n) for c, n in zip(keep, names, strict=False))).join(lists, "doc_id", "left")
+        lists = lists.join(reach, ["doc_id", "key"], "full")  # here, as what is joined after the texts moves them once more
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=False))).join(lists, ["doc_id", "key"], "left")
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long, n_words long, n_removed long, text string", *(f"`{n}` {kinds[c]}" for c, n in zip(keep, names, strict=False)), *["longest long"] * lengths])
     rest = [F.coalesce("longest", F.lit(0).cast("long")).alias("longest")] if lengths else []

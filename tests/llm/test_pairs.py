@@ -71,15 +71,21 @@ def test_near_duplicates_of_odd_tables(spark):
 
 
 def test_near_duplicates_of_repeated_ids(spark):
-    """All rows of an id have its component; of its different texts the one with the least fingerprint is compared."""
-    from marquee.llm.minhash import sketches
-
-    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
-    docs = spark.createDataFrame([(1, a), (1, b), (5, f"{a} x"), (6, f"{b} y"), (7, b), (8, a)], "doc_id long, text string")
-    prints = {r.n: r.print for r in sketches(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"), 5).selectExpr("doc_id AS n", "print").collect()}
-    got = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 5).collect()]
-    with_a = {5: 1, 8: 1, 6: 6, 7: 6} if bytes(prints[0]) < bytes(prints[1]) else {5: 5, 8: 5, 6: 1, 7: 1}
-    assert sorted(got) == sorted([(1, 1), (1, 1), *with_a.items()])
+    """Rows of one id with other texts are documents of their own: each is linked by its own text."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (5, f"{a} x"), (6, f"{b} y"), (7, b), (8, a), (2, b), (2, c), (9, c), (9, "z"), (None, c)]
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (8, 1, False), (2, 1, False), (2, 2, True), (9, 2, False), (9, 9, True), (None, None, True)], key=str)
+    keyed = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, keyed=True).where("doc_id = 1").collect()
+    assert len({r.group for r in keyed}) == 2 == len({r.key for r in keyed})
+
+
+def test_passages_of_repeated_ids(spark):
+    """(1, a), (2, a), (2, b): the second loses all its words, the third none."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, f"{b} {a}"), (None, a)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text[:2]) for r in got.collect()), key=str) == sorted([(1, 60, 0, "a0"), (2, 60, 60, ""), (2, 60, 0, "b0"), (2, 60, 0, "b0"), (3, 120, 120, ""), (None, 60, 0, "a0")], key=str)
 
 
 def test_operators_in_parallel_threads(spark):

@@ -581,3 +581,26 @@ def test_url_rules_against_a_loop(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_rules.judged(spark.createDataFrame(urls, "page_id long, url string"), none).collect()} == {"allow"}
     assert url_rules.judged(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
+
+
+def test_rows_of_a_hot_id_are_dealt(spark):
+    """A third of all rows have one id or none: no part of a shard holds them together, and slots have no gaps."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{k % 97}") for k in range(3000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), slot_rows=50)
+    found = got.collect()
+    for shard in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+    assert len(found) == 3000 and len({r.shard for r in found if r.doc_id == 7}) == 1 == len({r.shard for r in found if r.doc_id is None})
+    plain = {(r.doc_id, r.text): r.shard for r in sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(plain[r.doc_id, r.text] == r.shard for r in found)
+    windows = []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "row_number" in x]
+    assert windows and all("sub" in x for x in windows)
+
+
+@pytest.mark.parametrize("opening", ["<!", "</", "<?", "<", "<a ", "<!--", "&", "<p a='"])
+def test_pages_of_one_opening_take_linear_time(opening):
+    began = time.process_time()
+    html_extract.leaf_blocks("<p>text</p>" + opening * (1_000_000 // len(opening)))
+    assert time.process_time() - began < 10
