@@ -7,6 +7,7 @@ far cheaper. Lists show 20 at most and say how many more there are: that limit i
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timeutil
 from ..operators import canonical, changes, dedupe, health, quality
+from ..sources import cards, registry
 from ..streaming import jobs
+from ..tables import Scratch
 
 SHOWN, FOUND, DIGEST = 20, 20, 15
 Clustering = Callable[[DataFrame], DataFrame]
@@ -137,25 +140,79 @@ def tomorrow_text(events: DataFrame, now: str) -> DataFrame:
     return rows.agg(body.alias("body"), F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.concat(F.lit(some), "body")).otherwise(none).alias("text"))
 
 
-def collected(old: DataFrame, batch: DataFrame, now: str, runs: DataFrame, gated: bool = True) -> dict[str, DataFrame]:
-    """A collection: dates recovered from titles, rules, the gate, the next snapshot, its changes, duplicates and the health of sources.
+def read_sources(sources: list[registry.Source], pages: DataFrame, now: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(batch, failures): every production source's reader over the pages (page_id, url, html) below its address, each by itself.
+
+    A reader that fails gives a row (source, error_text) of failures and no rows of the batch; the others go on. The batch has
+    ord, by source, page and place, and source beside the columns of events. Each source's rows are a table of scratch.
+    """
+    spark, read, failed = pages.sparkSession, [], []
+    for k, s in enumerate(s for s in sources if s.production):
+        try:
+            rows = s.read(pages.where(F.startswith("url", F.lit(s.base_url))), now)
+            order = F.concat_ws("|", F.lit(f"{k:06d}"), *(F.lpad(F.col(c).cast("string"), 20, "0") for c in ("page_id", "pos")))
+            read.append(scratch.cut(rows.select(order.alias("ord"), F.lit(s.name).alias("source"), *cards.EVENT), "source"))
+        except Exception as e:  # whatever a reader raises is that source's failure alone
+            failed.append((s.name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
+    failures = spark.createDataFrame(failed, "source string, error_text string")
+    if not read:
+        kinds = ", ".join(f"{c} {'timestamp_ntz' if c == 'start_at' else 'string'}" for c in ("ord", "source", *cards.EVENT))
+        return spark.createDataFrame([], kinds), failures
+    return functools.reduce(DataFrame.unionByName, read), failures
+
+
+def collected(old: DataFrame, batch: DataFrame, now: str, runs: DataFrame, gated: bool = True, names: DataFrame | None = None, failures: DataFrame | None = None, allow_empty: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """A collection: dates recovered from titles, rules, the gate, the next snapshot, its changes, duplicates, canonical keys, this run's rows, health and a report.
 
     batch: ord, source, external_id, title, category, start_at, venue, price_text, ticket_url, source_url; old: the snapshot of
-    these columns but ord. Of equal ids of a source the last stays. Without gated (a single source) nothing is enriched or refused.
+    these columns but ord. names (source): all that should have been read, by default those of the batch; failures (source,
+    error_text): readers that failed. A source that failed, that gave no rows without being in allow_empty, or that has an
+    invalid row is an error run, and nothing of it is stored. Of equal ids of a source the last stays. Without gated (a single
+    source) nothing is enriched or refused.
     """
+    spark, at = batch.sparkSession, F.lit(now).cast("timestamp_ntz")
     rows = quality.with_recovered_dates(batch, now) if gated else batch.withColumn("recovered", F.lit(False))
     found = quality.issues(rows, now)
-    accepted = quality.gate(rows, found) if gated else rows
+    failures = spark.createDataFrame([], "source string, error_text string") if failures is None else failures
+    accepted = (quality.gate(rows, found) if gated else rows).join(failures.select("source"), "source", "left_anti")
     keys = ["source", "external_id"]
     fresh = dedupe.keep_last(accepted.select("ord", *old.columns), keys, "ord").select(*old.columns)
     log = changes.changes(old, fresh, keys)
     per = log.groupBy("source").agg(F.count("*").alias("changed"))
-    summary = quality.summary(rows, found).join(per, "source", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
-    summary = summary.join(rows.groupBy("source").agg(F.count_if("recovered").alias("repaired")), "source").withColumn("status", F.when(F.lit(gated) & (F.col("errors") > 0), "error").otherwise("success"))
-    upcoming = fresh.groupBy("source").agg(F.count_if(F.col("start_at") < F.lit(now).cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS")).alias("in_window"), F.min("start_at").alias("next_event"))
-    states = health.status(summary.select("source"), runs, upcoming)
-    totals = summary.agg(*(F.sum(c).alias(c) for c in ("collected", "changed", "errors", "warnings", "repaired")), F.count_if(F.col("status") == "error").alias("failed"))
-    return {"snapshot": changes.upserted(old, fresh, keys), "changes": log, "issues": found, "summary": summary, "totals": totals, "health": states, "gate": gate(summary, found, states)}
+    names = rows.select("source").distinct() if names is None else names.select("source").distinct()
+    summary = names.join(quality.summary(rows, found), "source", "left").join(per, "source", "left").join(rows.groupBy("source").agg(F.count_if("recovered").alias("repaired")), "source", "left")
+    summary = summary.join(failures.groupBy("source").agg(F.min("error_text").alias("failure")), "source", "left").fillna(0, ["collected", "errors", "warnings", "changed", "repaired"])
+    empty = (F.col("collected") == 0) & ~F.col("source").isin(*allow_empty)
+    why = F.coalesce("failure", F.when(empty, F.lit("no rows")), F.when(F.lit(gated) & (F.col("errors") > 0), F.concat(F.col("errors").cast("string"), F.lit(" invalid rows"))))
+    summary = summary.withColumn("error_text", why).withColumn("status", F.when(F.col("error_text").isNotNull(), "error").otherwise("success")).drop("failure")
+    this = summary.select("source", at.alias("started_at"), "status", F.when(F.col("status") == "success", F.col("collected")).otherwise(0).cast("int").alias("collected_count"), F.col("changed").cast("int").alias("changed_count"), "error_text")
+    snapshot = changes.upserted(old, fresh, keys)
+    week = (F.col("start_at") >= at) & (F.col("start_at") < at + F.expr("INTERVAL 7 DAYS"))
+    upcoming = snapshot.groupBy("source").agg(F.count_if(week).alias("in_window"), F.min(F.when(F.col("start_at") >= at, F.col("start_at"))).alias("next_event"))
+    history = ("source", "started_at", "status", "collected_count")
+    past = runs.select("source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), *history[2:])
+    states = health.status(summary.select("source"), past.unionByName(this.select(*history)), upcoming, allow_empty)
+    totals = summary.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("collected", "changed", "errors", "warnings", "repaired")), F.count_if(F.col("status") == "error").alias("failed"))
+    return {"snapshot": snapshot, "changes": log, "issues": found, "summary": summary, "totals": totals, "runs": this, "health": states, "gate": gate(summary, found, states), "accepted": accepted, "rows": rows}
+
+
+def canonical_run(run: dict[str, DataFrame], scratch: Scratch) -> dict[str, DataFrame]:
+    """What a collection's rows say of one another: duplicates (similar titles of two sources at one time), clusters (greedy leaders in the order of ord) and key_changes."""
+    rows = scratch.cut(run["rows"].withColumn("group_key", text.group_key(F.col("title"), F.col("start_at"), F.col("venue"))), "rows")
+    clusters = scratch.cut(canonical.fuzzy_clusters(rows, "ord", "leader", scratch=scratch), "clusters")
+    log = changes.key_log(changes.propagated_keys(clusters), ["source", "external_id"])
+    return {"duplicates": canonical.duplicate_candidates(rows), "clusters": clusters, "key_changes": log}
+
+
+def report(run: dict[str, DataFrame], more: dict[str, DataFrame]) -> DataFrame:
+    """One row (report: JSON): totals, quality, canonical counts, the number of duplicates, and a part for each source with its health."""
+    sizes = more["clusters"].groupBy("cluster").agg(F.count_distinct("source").alias("sources"))
+    counts = sizes.agg(F.count("*").alias("canonical_events"), F.count_if(F.col("sources") >= 2).alias("multi_source_events"))
+    keyed, twice = more["key_changes"].agg(F.count("*").alias("group_key_changes")), more["duplicates"].agg(F.count("*").alias("duplicate_candidates"))
+    each = run["summary"].join(run["health"].select("source", F.col("status").alias("health"), "anomaly", "next_event"), "source", "left")
+    parts = each.agg(F.array_sort(F.collect_list(F.struct("source", "status", "collected", "changed", "errors", "warnings", "repaired", "error_text", "health"))).alias("sources"))  # a row for each source of the registry
+    row = run["totals"].join(F.broadcast(counts)).join(F.broadcast(keyed)).join(F.broadcast(twice)).join(F.broadcast(health.overall(run["health"]))).join(F.broadcast(parts))  # one row each
+    return row.select(F.to_json(F.struct(*row.columns)).alias("report"))
 
 
 def gate(summary: DataFrame, found: DataFrame, states: DataFrame) -> DataFrame:

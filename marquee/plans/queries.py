@@ -771,10 +771,14 @@ def cluster_representatives(spark, d):
     return best.select(F.split_part("cluster", F.lit("|"), F.lit(2)).cast("long").alias("cluster"), F.col("event.event_id").alias("representative"), "start_at", "n_rows", "n_sources")
 
 
-def _collected(spark, d) -> dict[str, DataFrame]:
+def _collection(spark, d) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
     batch = _batch(spark, d).withColumns({"category": F.lit(None).cast("string"), "venue": F.lit(None).cast("string"), "price_text": F.lit("10 грн")})
     names = ("source", "external_id", "title", "category", "start_at", "venue", "price_text", "ticket_url", "source_url")
-    old = batch.where("external_id like '%7'").select(*names).withColumn("price_text", F.lit("5 грн"))
+    return batch, batch.where("external_id like '%7'").select(*names).withColumn("price_text", F.lit("5 грн")), names
+
+
+def _collected(spark, d) -> dict[str, DataFrame]:
+    batch, old, names = _collection(spark, d)
     return entries.collected(old, batch.select("ord", *names), NOW, _runs(spark, d))
 
 
@@ -787,6 +791,21 @@ def collection_run(spark, d):
     return log.join(run["totals"].select("collected", "errors")).join(run["gate"].select("passed"))  # one row each
 
 
+@query(_BATCH + """, p AS (SELECT source, count(*) AS collected FROM b GROUP BY 1),
+e AS (SELECT source, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM i GROUP BY 1),
+n AS (SELECT DISTINCT source FROM b UNION ALL SELECT unnest(['empty', 'may be empty', 'broken'])),
+x AS (SELECT source, coalesce(collected, 0) AS collected, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings,
+  CASE WHEN source IN ('broken', 's2') THEN 'it broke' WHEN collected IS NULL AND source <> 'may be empty' THEN 'no rows' WHEN errors > 0 THEN errors || ' invalid rows' END AS error_text FROM n LEFT JOIN p USING (source) LEFT JOIN e USING (source))
+SELECT *, CASE WHEN error_text IS NULL THEN collected ELSE 0 END AS changed, CASE WHEN error_text IS NULL THEN 'success' ELSE 'error' END AS status FROM x""")
+def collection_sources(spark, d):
+    """Runs of a collection's sources: read ones, one that gave nothing, one that may give nothing, two whose readers failed, one of them after it gave rows."""
+    batch, old, names = _collection(spark, d)
+    failures = spark.createDataFrame([("broken", "it broke"), ("s2", "it broke")], "source string, error_text string")
+    asked = batch.select("source").distinct().unionByName(spark.createDataFrame([("empty",), ("may be empty",), ("broken",)], "source string"))
+    run = entries.collected(old, batch.select("ord", *names), NOW, _runs(spark, d), names=asked, failures=failures, allow_empty=("may be empty",))
+    return run["summary"].select("source", "collected", "errors", "warnings", "error_text", "changed", "status")
+
+
 @query("""WITH u AS (SELECT page_id, rtrim(url, ')],.;') AS whole, rtrim(split_part(url, '#', 1), ')],.;') AS bare FROM pages WHERE contains(url, '/en/'))
 SELECT page_id, bare AS href FROM u UNION SELECT page_id, whole FROM u""")
 def path_link_counts(spark, d):

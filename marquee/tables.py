@@ -34,10 +34,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str = "scratch", within: Scratch | None = None):
         self.spark, self.folder = spark, f"{within.folder if within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame | None] = {}
+        self._made = 0
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it again: the plan is cut, and lost executors cost nothing."""
-        path = f"{self.folder}/{name}-{len(self._tables)}"
+        path = f"{self.folder}/{name}-{self._made}"
+        self._made += 1  # a write that fails leaves its path behind
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._tables[path] = out
