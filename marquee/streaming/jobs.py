@@ -1,4 +1,4 @@
-"""Structured Streaming: first and last seen, tumbling counts, sessions, and due reminders with a ledger."""
+"""Structured Streaming: first and last seen, tumbling counts, sessions, changes of snapshots, and due reminders with a ledger."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import changes
 from ..tables import Scratch
 from . import messages
 
@@ -129,3 +131,52 @@ def marked(subscriptions: DataFrame, ledger: DataFrame) -> DataFrame:
     """subscriptions whose last_notified_at is the ledger's last target of theirs, where that is later."""
     last = ledger.groupBy("user_id", "group_key").agg(F.max("target").alias("sent"))
     return subscriptions.join(last, ["user_id", "group_key"], "left").withColumn("last_notified_at", F.greatest("last_notified_at", "sent")).drop("sent")
+
+
+CHANGE = "change_type string, field_name string, old_value string, new_value string, ord long, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"
+
+
+def change_stream(rows: DataFrame, keys: list[str], tracked: tuple[str, ...] = changes.TRACKED) -> DataFrame:
+    """Stream of (keys, CHANGE): what changes.changes says of one snapshot after another, and a row `seen` of each key that a batch holds.
+
+    rows: keys, tracked fields, ord (the snapshot's number) and seen_at, from a stream. The last row of each key is its state.
+    Rows of a batch are taken in the order of ord; a row whose ord is not above the state's is late and changes nothing but the
+    first time its key was seen. Of rows of one key and ord the first by its fields counts. A key's rows of one batch are in
+    memory one after the other; keys may be null.
+    """
+    fields = list(tracked)
+    given = rows.select(*keys, *(F.col(c).cast("string").alias(c) for c in fields), "ord", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
+
+    def kind(field: str, old: str | None, new: str | None) -> str:
+        if field == "ticket_url":
+            return "ticket_sale_started" if not old and new else "ticket_link_removed" if old and not new else "ticket_link_changed"
+        return {"price_text": "price_changed", "start_at": "date_changed"}.get(field, "field_changed")
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first_seen, last_seen, number = ([*state.get[: len(fields)]], *state.get[len(fields) :]) if state.exists else (None, None, None, None)
+        out = []
+        batch = pd.concat(list(parts))
+        batch = batch.assign(**{c: batch[c].astype(object).where(batch[c].notna(), None) for c in fields})
+        for row in sorted(batch.to_dict("records"), key=lambda r: (r["ord"], [(r[c] is None, r[c] or "") for c in fields])):
+            seen = row["seen_at"].to_pydatetime()
+            first_seen = seen if first_seen is None else min(first_seen, seen)
+            if number is not None and row["ord"] <= number:
+                continue
+            last_seen = seen if last_seen is None else max(last_seen, seen)
+            now = [row[c] for c in fields]
+            if last is None:
+                out.append(("event_created", None, None, None, row["ord"]))
+            else:
+                out += [(kind(c, a, b), c, a, b, row["ord"]) for c, a, b in zip(fields, last, now, strict=True) if a != b]
+            last, number = now, row["ord"]
+        state.update((*last, first_seen, last_seen, number))
+        out.append(("seen", None, None, None, number))
+        found = pd.DataFrame(out, columns=["change_type", "field_name", "old_value", "new_value", "ord"]).assign(first_seen_at=first_seen, last_seen_at=last_seen)
+        for name, value in zip(keys[::-1], key[::-1], strict=True):
+            found.insert(0, name, value)
+        yield found
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), CHANGE])
+    held = ", ".join([*(f"`{c}` string" for c in fields), "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, ord long"])
+    return given.groupBy(*keys).applyInPandasWithState(follow, schema, held, "append", GroupStateTimeout.NoTimeout)
