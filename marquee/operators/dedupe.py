@@ -38,21 +38,10 @@ def band_pairs(left: DataFrame, right: DataFrame, ts: str, seconds: int, keys: l
 def overlapping_sets(left: DataFrame, left_key: str, right: DataFrame, right_key: str, share: float, least: int) -> DataFrame:
     """(left_key, right_key, shared): pairs of sets of words (key, w: array without repeats) that share `share` of the smaller set of `least` words at least.
 
-    Prefix filter: if sets of n and of m >= n words share c = share * n, one of the n - c + 1 rarest words of the smaller set is
-    among them. Only those are looked up in the other side's larger sets, so frequent words pair nothing by themselves.
+    Sets meet in the list of each word they share, and what meets is two keys and two sizes; the words of a pair are counted,
+    partly before the shuffle, and never carried along. Where the share is low nearly all pairs have a word in common, so
+    looking up rare words alone leaves none out and pays for the sets of every pair.
     """
-    rows = lambda df, key: df.select(F.col(key).alias("k"), "w", F.size("w").alias("n")).where(F.col("n") >= least)
-    a, b = rows(left, left_key), rows(right, right_key)
-    frequency = a.select(F.explode("w").alias("x")).unionByName(b.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("df"))
-
-    def rare(side: DataFrame) -> DataFrame:
-        word = side.select("k", "n", F.explode("w").alias("x")).join(frequency, "x")
-        sets = word.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("w"))
-        return sets.select("k", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(share * F.col("n") - 1e-9).cast("int") + 1)).alias("r")).select("k", "n", "r.x")
-
-    all_ = lambda side: side.select(F.col("k").alias("o"), F.col("n").alias("m"), F.explode("w").alias("x"))
-    met = rare(a).join(all_(b), "x").where("n <= m").select(F.col("k").alias("i"), F.col("o").alias("j"))
-    met = met.unionByName(rare(b).join(all_(a), "x").where("n < m").select(F.col("o").alias("i"), F.col("k").alias("j"))).distinct()
-    pairs = met.join(a.select(F.col("k").alias("i"), F.col("w").alias("wa"), F.col("n").alias("na")), "i").join(b.select(F.col("k").alias("j"), F.col("w").alias("wb"), F.col("n").alias("nb")), "j")
-    shared = F.size(F.array_intersect("wa", "wb")).cast("long")
-    return pairs.select(F.col("i").alias(left_key), F.col("j").alias(right_key), shared.alias("shared"), F.least("na", "nb").alias("small")).where(F.col("shared") >= share * F.col("small")).drop("small")
+    word = lambda df, key, k, n: df.select(F.col(key).alias(k), F.size("w").alias(n), F.explode("w").alias("x")).where(F.col(n) >= least)
+    met = word(left, left_key, "i", "n").join(word(right, right_key, "j", "m"), "x").groupBy("i", "j", "n", "m").agg(F.count("*").alias("shared"))
+    return met.where(F.col("shared") >= share * F.least("n", "m")).select(F.col("i").alias(left_key), F.col("j").alias(right_key), "shared")
