@@ -133,7 +133,8 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE,
     """The network for docs (doc_id, text, label); None without a labelled text.
 
     It learns from about per_language texts of each label, fewer with more than 64 labels (SAMPLE), per_text windows of each:
-    that bound holds for any size of docs, and no label is left out. Null labels and texts are. Repeated rows are sampled
+    that bound holds for any size of docs. Each text is drawn by itself, so a label with very few or only empty texts can be left
+    out; null labels and texts are. Repeated rows are sampled
     together, as a hash of doc_id decides.
     """
     found = sample_windows(docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", label), label, per_language, per_text)

@@ -74,7 +74,10 @@ _encoders: dict[str, Encoder] = {}
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens): every document's ids, then end, cut into windows of capacity.
 
-    ids are little-endian unsigned 32-bit numbers. A null or empty text is the end id alone.
+    ids are little-endian unsigned 32-bit numbers: those of `tokenizers` for the whole text without special tokens, taken from
+    the same vocabulary by the faster library where no special token's string or very long white space occurs (a test holds both
+    equal over whole tables). A null or empty text is the end id alone; texts of any length are cut, none is dropped. Rows with a
+    null doc_id and rows that repeat one get pieces of their own; other columns are ignored; an empty table gives an empty result.
     """
 
     special = special_strings(tokenizer)

@@ -269,7 +269,8 @@ def read_pages(files: DataFrame, key: str, content: str) -> DataFrame:
     """(key, PAGE...) for each page of each file in the binary column content.
 
     A null or empty content and a file that isn't a TIFF give one row with page 0, no pixels and an error; so does each
-    page that can't be decoded. Repeated keys are kept apart only by their order. Other columns are ignored.
+    page that can't be decoded. Repeated keys are kept apart only by their order. Other columns are ignored; an empty table
+    gives an empty result.
     """
     kind = dict(files.dtypes)[key]
     names = [x.split()[0] for x in PAGE.split(", ")]
