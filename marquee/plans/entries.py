@@ -17,7 +17,7 @@ from ..functions import text, timeutil
 from ..operators import canonical, changes, dedupe, health, quality
 from ..sources import cards, registry
 from ..streaming import jobs
-from ..tables import Scratch
+from ..tables import Scratch, shuffled
 
 SHOWN, FOUND, DIGEST = 20, 20, 15
 Clustering = Callable[[DataFrame], DataFrame]
@@ -32,7 +32,7 @@ def fuzzy(rows: DataFrame) -> DataFrame:
     nodes = dated.groupBy("_ord").agg(F.first("start_at").alias("start_at"), *(F.first(k).alias(c) for k, c in zip(keys, ("title", "venue", "group_key"), strict=True)))
     named = canonical.fuzzy_clusters(nodes, "_ord", "any", timed=True).select("_ord", "cluster")
     undated = rows.where("start_at is null").withColumn("cluster", F.concat(F.lit("undated:"), F.col("id").cast("string")))
-    return dated.join(named, "_ord").select(*rows.columns, "cluster").unionByName(undated)
+    return dated.join(shuffled(named), "_ord").select(*rows.columns, "cluster").unionByName(undated)
 
 
 def equal(*keys: str) -> Clustering:
@@ -120,8 +120,8 @@ def kept_list(events: DataFrame, keys: DataFrame, now: str, clustering: Clusteri
     """(user_id, occurrence columns): coming occurrences any of whose rows has a key of the user. keys: (user_id, group_key)."""
     rows = events.where((F.col("status") == "active") & (F.col("start_at") >= F.lit(now).cast("timestamp_ntz")))
     clustered = clustering(rows)
-    hit = clustered.select("cluster", "group_key").distinct().join(keys.select("user_id", "group_key").distinct(), "group_key").select("user_id", "cluster").distinct()
-    return hit.join(_occurrences(clustered, rows.columns), "cluster")
+    hit = clustered.select("cluster", "group_key").distinct().join(shuffled(keys.select("user_id", "group_key").distinct()), "group_key").select("user_id", "cluster").distinct()
+    return hit.join(shuffled(_occurrences(clustered, rows.columns)), "cluster")
 
 
 def reminder_list(events: DataFrame, subscriptions: DataFrame, now: str, clustering: Clustering = fuzzy) -> DataFrame:

@@ -137,3 +137,20 @@ def test_greedy_along_edges(spark):
     assert dict(map(tuple, graph.greedy(df, "any").collect())) == {2: 1, 3: 1, 4: 1, 12: 10, 13: 10}
     assert dict(map(tuple, graph.greedy(df, "leader").collect())) == {2: 1, 4: 1, 12: 10}
     assert graph.greedy(df.where("false"), "any").count() == 0
+
+
+def test_growing_tables_are_never_broadcast(spark, tmp_path):
+    """Spark takes the runs of titles, and packed pairs, for few bytes: a broadcast of them took more than a driver holds."""
+    some = spark.createDataFrame(list(enumerate(sorted({x.lower()[:150] for x in _titles(5)[:60]}))), "ord long, t string")
+    plans = []
+    cut = titles.Scratch.cut
+    try:
+        titles.Scratch.cut = lambda self, df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(self, df, name)
+        pairs = titles.similar_pairs(some)
+        words = canonical.word_pairs(some)
+        nodes = graph.components(pairs)
+    finally:
+        titles.Scratch.cut = cut
+    plans += [(k, df._jdf.queryExecution().executedPlan().toString()) for k, df in (("pairs", pairs), ("words", words), ("nodes", nodes))]
+    assert {"met", "large", "pairs", "words"} <= {k for k, _ in plans}
+    assert [k for k, plan in plans if "BroadcastHashJoin" in plan and k in ("met", "large", "pairs", "words", "nodes")] == []
