@@ -27,12 +27,13 @@ def fuzzy(rows: DataFrame) -> DataFrame:
     """Greedy any-member clusters in the order of (start_at, title, venue, group_key); rows equal in these are one to it, however many."""
     empty = F.lit("")
     keys = {"_title": F.coalesce("title", empty), "_venue": F.coalesce("venue", empty), "_key": F.coalesce("group_key", empty)}
-    given = rows.withColumns(keys).withColumn("_ord", F.concat_ws("\x01", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), *keys))
+    given = rows.withColumns(keys)
+    dated_key = F.concat_ws("\x01", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), *keys)
+    given = given.withColumn("_ord", F.when(F.col("start_at").isNull(), F.concat(F.lit("undated:"), F.col("id").cast("string"))).otherwise(dated_key))
     dated = given.where("start_at is not null")
     nodes = dated.groupBy("_ord").agg(F.first("start_at").alias("start_at"), *(F.first(k).alias(c) for k, c in zip(keys, ("title", "venue", "group_key"), strict=True)))
     named = canonical.fuzzy_clusters(nodes, "_ord", "any", timed=True).select("_ord", "cluster")
-    undated = rows.where("start_at is null").withColumn("cluster", F.concat(F.lit("undated:"), F.col("id").cast("string")))
-    return dated.join(shuffled(named), "_ord").select(*rows.columns, "cluster").unionByName(undated)
+    return given.join(shuffled(named), "_ord", "left").select(*rows.columns, F.coalesce("cluster", "_ord").alias("cluster"))
 
 
 def equal(*keys: str) -> Clustering:

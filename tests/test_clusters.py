@@ -1,5 +1,6 @@
 """Clusters by title, time and venue against plain loops; similar titles against all pairs; components."""
 
+import hashlib
 import random
 from collections import defaultdict
 from functools import cache
@@ -154,3 +155,13 @@ def test_growing_tables_are_never_broadcast(spark, tmp_path):
     plans += [(k, df._jdf.queryExecution().executedPlan().toString()) for k, df in (("pairs", pairs), ("words", words), ("nodes", nodes))]
     assert {"met", "large", "pairs", "words"} <= {k for k, _ in plans}
     assert [k for k, plan in plans if "BroadcastHashJoin" in plan and k in ("met", "large", "pairs", "words", "nodes")] == []
+
+
+def test_frequent_runs_are_not_indexed(spark):
+    """Titles that begin with one word don't all meet: lists of the queries' titles grew with the square of the users."""
+    some = [f"signup {hashlib.md5(str(k).encode()).hexdigest()}" for k in range(1500)]
+    some += [f"{x}q" for x in some[:40]]
+    df = spark.createDataFrame(list(enumerate(some)), "ord long, t string")
+    rare = titles._rare(titles._measured(df, 0.9), 0.9)
+    assert rare.groupBy("h").count().agg(F.max("count")).first()[0] < 80
+    assert {(r.a, r.b) for r in titles.similar_pairs(df).collect()} == {(k, 1500 + k) for k in range(40)}
