@@ -165,3 +165,58 @@ def test_frequent_runs_are_not_indexed(spark):
     rare = titles._rare(titles._measured(df, 0.9), 0.9)
     assert rare.groupBy("h").count().agg(F.max("count")).first()[0] < 80
     assert {(r.a, r.b) for r in titles.similar_pairs(df).collect()} == {(k, 1500 + k) for k in range(40)}
+
+
+@pytest.mark.parametrize(("short", "both"), [(True, False), (False, True)])
+def test_tiles_find_what_the_index_finds(spark, short, both):
+    """Sentences of one language meet in tiles; blocks are small here, so that pairs lie within and across blocks and bands."""
+    rng = random.Random(6)
+    parts = ("the", "in", "thon", "an", "ble", "ea", "ti", "er", "hand", "on", "zq", "xk")
+    sentence = lambda n: " ".join("".join(rng.choices(parts[:10], k=rng.randint(1, 3))) for _ in range(n))
+    some = {"a", "ab", "abc", "abcd", "abcde", "abcdx"}
+    for n in [rng.randint(2, 30) for _ in range(60)] + ([] if short else [rng.randint(30, 60) for _ in range(25)]):
+        base = sentence(n)
+        some.add(base)
+        for share in (10, 15, 25):
+            letters = list(base)
+            for k in rng.sample(range(len(letters)), len(letters) // share):
+                letters[k] = rng.choice(("", "q", "ä", "th"))
+            some.add("".join(letters))
+    some = rng.sample(sorted(some - {""}), len(some - {""}))
+    df = spark.createDataFrame(list(enumerate(some)), "ord long, t string")
+    want = {(i, j): ratio(some[i], some[j]) for i in range(len(some)) for j in range(len(some)) if (i < j or both and i != j) and 2 * min(len(some[i]), len(some[j])) >= 0.9 * (len(some[i]) + len(some[j])) - 1e-6 and ratio(some[i], some[j]) >= 0.9}
+    before = titles.TILE_TITLES
+    try:
+        titles.TILE_TITLES = 20
+        got = [titles.similar_pairs(df, both=both, tiles=tiles).collect() for tiles in (True, False)]
+    finally:
+        titles.TILE_TITLES = before
+    assert all({(r.a, r.b): r.similarity for r in rows} == want and len(rows) == len(want) for rows in got) and len(want) > 60
+
+
+def test_titles_choose_tiles_or_the_index(spark):
+    """Titles of one language list more by their runs than there is to compare; titles of hashes list next to nothing."""
+    rng = random.Random(2)
+    syllables = [a + b for a in "bcdfgh" for b in "aeiou"]
+    sentences = [" ".join("".join(rng.choices(syllables, k=2)) for _ in range(16)) for _ in range(1500)]
+    hashes = [f"signup {hashlib.md5(str(k).encode()).hexdigest()}" for k in range(6000)]
+    for some, tiles in ((sentences, True), (hashes, False)):
+        measured = titles._measured(spark.createDataFrame(list(enumerate(some)), "ord long, t string"), 0.9).cache()
+        bands = {r.band: (r.n, r.letters) for r in measured.groupBy("band").agg(F.count("*").alias("n"), F.sum("n").alias("letters")).collect()}
+        assert titles._tiles_are_less(measured, bands, set(), 0.9) is tiles
+
+
+def test_no_text_is_repeated_for_its_words_or_pairs(spark, tmp_path):
+    """A title's whole text went with each of its words, and with each row that matches: with the square of its length."""
+    some = [f"{'слово%d ' % (k % 9) * 3}{' '.join(f'w{i}' for i in range(400))} {k}" for k in range(12)]
+    df = spark.createDataFrame([(k, x, "Зал", "2026-08-01 18:00:00") for k, x in enumerate(some)], "ord long, title string, venue string, start string").withColumn("start_at", F.col("start").cast("timestamp_ntz"))
+    tables = []
+    cut = canonical.Scratch.cut
+    try:
+        canonical.Scratch.cut = lambda self, df, name: tables.append((name, df.columns)) or cut(self, df, name)
+        found = groups(canonical.fuzzy_clusters(df, "ord").select("ord", "cluster").collect())
+    finally:
+        canonical.Scratch.cut = cut
+    assert found == {frozenset(range(12))}
+    assert {"words", "shared", "matches"} <= {name for name, _ in tables}
+    assert [name for name, columns in tables if {"t", "first", "second"} & set(columns) and name not in ("keys", "measured", "matches")] == []
