@@ -220,3 +220,15 @@ def test_no_text_is_repeated_for_its_words_or_pairs(spark, tmp_path):
     assert found == {frozenset(range(12))}
     assert {"words", "shared", "matches"} <= {name for name, _ in tables}
     assert [name for name, columns in tables if {"t", "first", "second"} & set(columns) and name not in ("keys", "measured", "matches")] == []
+
+
+def test_lists_broadcast_rows_of_the_list_only(spark, tmp_path):
+    """weekend_list failed by the driver's memory: pairs of titles were broadcast. What is broadcast now is a total or the rows that are shown."""
+    tables = []
+    cut = titles.Scratch.cut
+    try:
+        titles.Scratch.cut = lambda self, df, name: tables.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(self, df, name)
+        queries.weekend_list(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        titles.Scratch.cut = cut
+    assert len(tables) > 10 and [name for name, plan in tables if "BroadcastHashJoin" in plan] == []
