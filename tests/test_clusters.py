@@ -232,3 +232,22 @@ def test_lists_broadcast_rows_of_the_list_only(spark, tmp_path):
     finally:
         titles.Scratch.cut = cut
     assert len(tables) > 10 and [name for name, plan in tables if "BroadcastHashJoin" in plan] == []
+
+
+def test_executed_lists_broadcast_rows_of_the_list_only(spark):
+    """The same of the plans as they ran, the result's own among them: Spark chooses joins anew while a query runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _each(store.executionsList())}
+    queries.weekend_list(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows = []
+    for k in {e.executionId() for e in _each(store.executionsList())} - before:
+        values = store.executionMetrics(k)
+        made = [m for node in _each(store.planGraph(k).allNodes()) if node.name() == "BroadcastExchange" for m in _each(node.metrics()) if m.name() == "number of output rows"]
+        rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in made if values.contains(m.accumulatorId())]
+    assert rows and max(rows) <= entries.SHOWN
+
+
+def _each(seq):
+    """The items of a Scala Seq."""
+    return [seq.apply(k) for k in range(seq.size())]
