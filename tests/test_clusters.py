@@ -251,3 +251,53 @@ def test_executed_lists_broadcast_rows_of_the_list_only(spark):
 def _each(seq):
     """The items of a Scala Seq."""
     return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_letters_in_order_and_in_blocks():
+    rng = random.Random(3)
+    matcher = titles.SequenceMatcher(None)
+    for k in range(300):
+        x = "".join(rng.choices("abcd é😀"[: rng.randint(1, 7)], k=rng.randint(0, 40) if k % 3 else rng.randint(190, 330)))
+        y = "".join(c for c in x if rng.random() < 0.9) + "ab" if k % 2 else "".join(rng.choices("abcd", k=rng.randint(0, 40)))
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = row
+            row = [0]
+            for j, e in enumerate(y):
+                row.append(before[j] + 1 if c == e else max(before[j + 1], row[j]))
+        assert titles.in_order(x, y) == row[-1]
+        want = sum(block.size for block in titles.SequenceMatcher(None, x, y).get_matching_blocks())
+        assert want <= row[-1] and titles.matched(matcher, x, y, 0) == want == titles.matched(matcher, x, y, want) and titles.matched(matcher, x, y, want + 1) is None
+
+
+def test_tiles_take_bits_and_leave_few_pairs(spark):
+    """Each tile had the texts of its titles, and each pair of a length was counted by itself."""
+    rng = random.Random(7)
+    syllables = [a + b for a in "bcdfgh" for b in "aeiou"]
+    sentence = lambda n: " ".join("".join(rng.choices(syllables, k=2)) for _ in range(n))
+    some = [sentence(n) for n in (8, 16, 33, 60) for _ in range(300)]
+    some += [f"{x}q" for x in some[::20]]
+    measured = titles._measured(spark.createDataFrame(list(enumerate(some)), "ord long, t string"), 0.9).cache()
+    bands = {r.band: (r.n, r.letters) for r in measured.groupBy("band").agg(F.count("*").alias("n"), F.sum("n").alias("letters")).collect()}
+    met = titles._tiled(measured, bands, 0.9, False, True, True)
+    found = [(r.a, r.b) for r in met.collect()]
+    assert met.columns == ["a", "b", "starts", "ways"] and len(set(found)) == len(found) < 1000
+    assert set(found) >= {(20 * k, 1200 + k) for k in range(60)}
+
+
+def test_titles_of_frequent_words_meet_only_where_they_may_match(spark):
+    """Titles of a few frequent words were listed with each other: with the square of the titles."""
+    rng = random.Random(8)
+    common = [f"w{k}" for k in range(60)]
+    some = [" ".join(rng.sample(common, rng.choice((3, 4, 9, 14, 20)))) for _ in range(800)]
+    words = [set(x.split()) for x in some]
+    tables = {}
+    cut = canonical.Scratch.cut
+    try:
+        canonical.Scratch.cut = lambda self, df, name: tables.setdefault(name, cut(self, df, name))
+        got = {(r.a, r.b) for r in canonical.word_pairs(spark.createDataFrame(list(enumerate(some)), "ord long, t string")).collect()}
+    finally:
+        canonical.Scratch.cut = cut
+    want = {(i, j) for i in range(800) for j in range(i + 1, 800) if len(words[i] & words[j]) / min(len(words[i]), len(words[j])) >= 0.85}
+    assert got == want and len(want) > 100
+    assert tables["candidates"].count() < 3 * len(want)
