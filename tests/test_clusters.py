@@ -301,3 +301,23 @@ def test_titles_of_frequent_words_meet_only_where_they_may_match(spark):
     want = {(i, j) for i in range(800) for j in range(i + 1, 800) if len(words[i] & words[j]) / min(len(words[i]), len(words[j])) >= 0.85}
     assert got == want and len(want) > 100
     assert tables["candidates"].count() < 3 * len(want)
+
+
+@pytest.mark.parametrize("name", ["canonical_fuzzy_leader"])
+def test_queries_count_the_words_of_few_pairs(spark, name):
+    """All pairs of titles that share three of their words were counted in full."""
+    counted = {}
+    cut = canonical.Scratch.cut
+
+    def kept(self, df, name):
+        out = cut(self, df, name)
+        if name == "candidates":
+            counted[name] = out.count()
+        return out
+
+    try:
+        canonical.Scratch.cut = kept
+        rows = getattr(queries, name)(spark, "/root/testdata/sf0.001").count()
+    finally:
+        canonical.Scratch.cut = cut
+    assert rows == 200 and counted["candidates"] < rows
