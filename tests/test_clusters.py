@@ -303,7 +303,7 @@ def test_titles_of_frequent_words_meet_only_where_they_may_match(spark):
     assert tables["candidates"].count() < 3 * len(want)
 
 
-@pytest.mark.parametrize("name", ["canonical_fuzzy_leader"])
+@pytest.mark.parametrize("name", ["canonical_fuzzy_leader", "canonical_fuzzy_titles"])
 def test_queries_count_the_words_of_few_pairs(spark, name):
     """All pairs of titles that share three of their words were counted in full."""
     counted = {}
